@@ -83,6 +83,12 @@ def _statistics(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(bounds, pa.array(flat))], names=["doc_id", "stats"])
 
 
+def _taught(batches):
+    for batch in batches:
+        (stats,) = _statistics([batch.select(["doc_id", "text"])])
+        yield pa.RecordBatch.from_arrays([stats["stats"], batch["y"], batch["fits"]], names=["stats", "y", "fits"])
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) per row; null text counts as empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics, "doc_id long, stats array<double>")
@@ -157,10 +163,14 @@ def labelled(labels: DataFrame, column: str, folds: int, held_out: int, most: in
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
 
-def fit(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
-    """The model, or None where no labelled document is found."""
-    rows = labelled(labels, "quality", FOLDS, HELD_OUT, most).withColumn("fits", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) > 0)
-    train = common.materialize(stats.where("doc_id is not null").join(rows, "doc_id").select("stats", "y", "fits"), "training")
+def teachers(labels: DataFrame, most: int) -> DataFrame:
+    """(doc_id, y, fits): labelled rows to fit on, and a fifth to calibrate on."""
+    return labelled(labels, "quality", FOLDS, HELD_OUT, most).withColumn("fits", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)) > 0)
+
+
+def fit(taught: DataFrame):
+    """The model of (stats, y, fits), or None where there are no rows."""
+    train = common.materialize(taught.select("stats", "y", "fits"), "training")
     moments = train.select(F.posexplode("stats").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("k").collect()
     if not moments:
         return None
@@ -190,10 +200,34 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     any labelled row every score is 0.5.  An empty table gives an empty result.
     """
     stats = common.materialize(document_statistics(docs), "statistics")
-    model = fit(stats, labels, most)
+    model = fit(stats.join(teachers(labels, most), "doc_id"))
     scored = stats.mapInArrow(lambda it: _scores(it, model), "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def _passed(batches, model):
+    """The rows whose text scores THRESHOLD or more, whole."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, offs = common.text_buffer(batch["text"])
+        mean, scale, weights, xs, vs = model
+        keep = np.zeros(batch.num_rows, dtype=bool)
+        for a, b in common.row_chunks(offs):
+            stats = statistics(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            keep[a:b] = np.interp(_fourier(stats, mean, scale) @ weights, xs, vs) >= THRESHOLD
+        yield batch.filter(pa.array(keep))
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that quality_scores would predict to be of quality, with
+    all their columns; every row where no labelled row is found."""
+    ids = F.broadcast(teachers(labels, most))  # about ``most`` ids
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
+    stats = known.mapInArrow(_taught, "stats array<double>, y int, fits boolean")
+    model = fit(stats)
+    return docs if model is None else docs.mapInArrow(lambda it: _passed(it, model), docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

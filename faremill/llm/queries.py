@@ -7,6 +7,8 @@ packing).
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import OP9_SQL, op9_source_mix
@@ -29,6 +31,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
