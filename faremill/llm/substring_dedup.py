@@ -14,8 +14,8 @@ anchor (winnowing).  The steps:
 
 Nothing is paired: a frequent passage costs rows in proportion to its copies.  Runs
 are dealt by range over (anchor, document, start), so one hot anchor spreads over
-tasks; groups that touch a task's edge (or outgrow its buffer) are settled apart by
-a pre-aggregated minimum per window.
+tasks; of a group that touches a task's edge (or outgrows its buffer), each task adds
+the windows that are earliest there, and a minimum per window settles these.
 """
 
 from __future__ import annotations
@@ -143,25 +143,32 @@ def _unpacked(wins: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(wins.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]].copy().view(np.uint64), np.diff(offs) // 8
 
 
-def _later(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Bit j of mask: the run's window j occurs earlier in this sorted batch."""
+def _later(batch: pa.RecordBatch, whole: bool):
+    """Of a sorted batch of runs: rows with a mask, whose bit j says that the run's
+    window j occurs earlier in the batch.  Unless the batch holds ``whole`` groups,
+    the earliest occurrence of each window, too, with its hash."""
+    key, n, i0 = (batch[c].to_numpy() for c in ("key", "n", "i0"))
     hashes, sizes = _unpacked(batch["wins"])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     _, lead, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     dup = lead[inverse] != np.arange(len(hashes))
     mask = np.bincount(owner[dup], weights=(1 << inside[dup]).astype(float), minlength=len(sizes)).astype(np.int32)
-    some = pa.array(mask > 0)
-    return pa.RecordBatch.from_arrays([batch["key"].filter(some), batch["n"].filter(some), batch["i0"].filter(some), pa.array(mask[mask > 0]), pa.nulls(int((mask > 0).sum()), pa.binary())], names=["key", "n", "i0", "mask", "wins"])
+    at = np.flatnonzero(mask)
+    yield _row(key[at], n[at], i0[at], mask[at], pa.nulls(len(at), pa.int64()))
+    if not whole:
+        at = owner[lead]
+        yield _row(key[at], n[at], (i0[at] + inside[lead]).astype(np.int32), np.zeros(len(at), np.int32), pa.array(hashes[lead].view(np.int64)))
 
 
-def _open(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch["key"], batch["n"], batch["i0"], pa.array(np.zeros(batch.num_rows, np.int32)), batch["wins"]], names=["key", "n", "i0", "mask", "wins"])
+def _row(key, n, i0, mask, w) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int32()), pa.array(i0, pa.int32()), pa.array(mask, pa.int32()), w], names=["key", "n", "i0", "mask", "w"])
 
 
 def _settled(batches):
-    """Settle each anchor whose runs all lie within this task.  Those of the task's
-    first and last anchor, and of one too frequent to hold, go on with their windows."""
+    """Settle each anchor whose runs all lie within this task.  Of the task's first
+    and last anchor, and of one too frequent to hold, other tasks may know earlier
+    windows: what is earliest here goes on, one row a window."""
     edge, held, over = None, None, None
     for batch in batches:
         if batch.num_rows == 0:
@@ -176,28 +183,16 @@ def _settled(batches):
         if cut:
             loose = (m[:cut] == edge) | (m[:cut] == (edge if over is None else over))
             if loose.any():
-                yield _open(head.filter(pa.array(loose)))
+                yield from _later(head.filter(pa.array(loose)), False)
             if not loose.all():
-                yield _later(head.filter(pa.array(~loose)))
-        if m[-1] in (edge, over):
-            yield _open(tail)
-        elif tail.num_rows > HELD:
+                yield from _later(head.filter(pa.array(~loose)), True)
+        if tail.num_rows > HELD:
             over = m[-1]
-            yield _open(tail)
+            yield from _later(tail, False)
         else:
             held = tail
     if held is not None:
-        yield _open(held)
-
-
-def _loose_windows(batches):
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        hashes, sizes = _unpacked(batch["wins"])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(batch["key"].to_numpy()[owner]), pa.array(batch["n"].to_numpy()[owner], pa.int32()), pa.array((batch["i0"].to_numpy()[owner] + inside).astype(np.int32))], names=["w", "key", "n", "start"])
+        yield from _later(held, False)
 
 
 def _kept(batches, window):
@@ -250,11 +245,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     seeds = runs.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_repeated, "key long, n int, i0 int")
     seeds = seeds.groupBy("key").agg(F.collect_list(F.struct("n", "i0")).alias("seeds"))
     extended = rows.select("key", "n", "text").join(seeds.hint("merge"), "key").mapInArrow(lambda it: _extended(it, window, seed), "m long, key long, n int, i0 int, wins binary")
-    settled = common.materialize(extended.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_settled, "key long, n int, i0 int, mask int, wins binary"), "repeats")
-    loose = settled.where("wins is not null").select("key", "n", "i0", "wins").mapInArrow(_loose_windows, "w long, key long, n int, start int")
-    least = loose.groupBy("w").agg(F.min(F.struct("key", "n", "start")).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w", "lead")
-    late = loose.join(least.hint("merge"), "w").where(F.struct("key", "n", "start") != F.col("lead")).select("key", "n", F.col("start").alias("i0"), F.lit(1).alias("mask"))
-    hits = settled.where("wins is null").select("key", "n", "i0", "mask").unionByName(late)
+    settled = common.materialize(extended.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_settled, "key long, n int, i0 int, mask int, w long"), "repeats")
+    first = F.struct("key", "n", "i0")
+    loose = settled.where("w is not null")
+    least = loose.groupBy("w").agg(F.min(first).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w", "lead")
+    late = loose.join(least.hint("merge"), "w").where(first != F.col("lead")).select("key", "n", "i0", F.lit(1).alias("mask"))
+    hits = settled.where("w is null").select("key", "n", "i0", "mask").unionByName(late)
     hits = hits.groupBy("key").agg(F.collect_list(F.struct("n", "i0", "mask")).alias("hits"))
     final = rows.join(hits.hint("merge"), "key", "left").select("doc_id", "n", "text", "hits")
     return final.mapInArrow(lambda it: _kept(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>")
