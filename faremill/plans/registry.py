@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import quotes
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (quotes,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
