@@ -6,19 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import consolidation, dedup, validation
-from .roles import QUOTES, RAW, STAGES, quotes, raw_observations
+from .roles import QUOTES, RAW, STAGES, quotes, raw_observations, registry
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 @query(f"WITH {RAW} SELECT code, count(*) AS n FROM (SELECT unnest(errors) AS code FROM verdicts) GROUP BY code")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import quotes
+from . import indexing, quotes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (quotes,):
+for _module in (quotes, indexing):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -14,6 +14,22 @@ SHIFT = 5000
 CLASSES = ("Economy Saver", "Economy Standard", "Economy Flexi")
 
 
+def registry():
+    """Queries and oracles of a module, and the decorator that fills them."""
+    found, oracles = {}, {}
+
+    def query(sql: str | None):
+        def add(f):
+            found[f.__name__] = f
+            if sql is not None:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return found, oracles, query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
