@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import indexing, quotes
+from . import indexing, quotes, screening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (quotes, indexing):
+for _module in (quotes, indexing, screening):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
