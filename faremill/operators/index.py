@@ -68,15 +68,26 @@ def unpriced(items: DataFrame) -> DataFrame:
     return bad.select("variant", "link_sequence", "item_id", "route_id", status.alias("item_status"), "index_eligibility_status")
 
 
+def _route_parts(items: DataFrame, basket: DataFrame) -> DataFrame:
+    """Item counts and mean logarithm of each route in a link, in one grouping."""
+    is_ = lambda name: F.col("item_status") == name
+    parts = item_relatives(items).groupBy("variant", "link_sequence", "route_id").agg(
+        F.count_if(is_("MATCHED")).alias("matched_items"),
+        F.count_if(is_("ENTERING")).alias("entering_items"),
+        F.count_if(is_("LEAVING")).alias("leaving_items"),
+        F.avg(F.ln("price_relative")).alias("mean_log"),
+    )
+    parts = parts.join(small(basket.select("route_id", F.col("traffic_weight").cast("double").alias("weight"))), "route_id")
+    there = F.when(F.col("matched_items") > 0, F.col("weight"))
+    share = there / F.sum(there).over(Window.partitionBy("variant", "link_sequence"))
+    parts = parts.withColumns({"weight": there, "normalized_weight": share})
+    return parts.withColumns({"route_index": F.exp("mean_log"), "log_contribution": F.col("normalized_weight") * F.col("mean_log")})
+
+
 def route_components(items: DataFrame, basket: DataFrame) -> DataFrame:
     """Elementary index of each route in a link, its weight among the routes there, and
     its part of the link's logarithm."""
-    matched = item_relatives(items).where("item_status = 'MATCHED'")
-    parts = matched.groupBy("variant", "link_sequence", "route_id").agg(F.count(F.lit(1)).alias("matched_items"), F.avg(F.ln("price_relative")).alias("mean_log"))
-    parts = parts.join(small(basket.select("route_id", F.col("traffic_weight").cast("double").alias("weight"))), "route_id")
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("variant", "link_sequence"))
-    parts = parts.withColumn("normalized_weight", share)
-    return parts.withColumns({"route_index": F.exp("mean_log"), "log_contribution": F.col("normalized_weight") * F.col("mean_log")})
+    return _route_parts(items, basket).where("matched_items > 0").drop("entering_items", "leaving_items")
 
 
 def coverage_status(represented, total):
@@ -86,12 +97,12 @@ def coverage_status(represented, total):
 def round_index(items: DataFrame, basket: DataFrame) -> DataFrame:
     """Level, factor and coverage of every anchored round and variant.  A link without
     a matched item holds the level; the base round is covered by its eligible items."""
-    links = route_components(items, basket).groupBy("variant", "link_sequence").agg(F.sum("log_contribution").alias("log_factor"), F.sum("matched_items").alias("matched_items"), F.count(F.lit(1)).alias("routes"), F.sum("weight").alias("weight"))
+    counts = [F.sum(n).alias(n) for n in ("matched_items", "entering_items", "leaving_items", "weight")]
+    links = _route_parts(items, basket).groupBy("variant", "link_sequence").agg(F.sum("log_contribution").alias("log_factor"), F.count("weight").alias("routes"), *counts)
     base = _sequenced(items).where("link_sequence = 0").select("variant", "route_id").distinct().join(small(basket.select("route_id", F.col("traffic_weight").cast("double").alias("w"))), "route_id").groupBy("variant").agg(F.count(F.lit(1)).alias("base_routes"), F.sum("w").alias("base_weight"))
-    counts = item_relatives(items).groupBy("variant", "link_sequence").agg(F.count_if(F.col("item_status") == "ENTERING").alias("entering_items"), F.count_if(F.col("item_status") == "LEAVING").alias("leaving_items"))
     size = basket.agg(F.count(F.lit(1)).alias("basket_routes"))
     out = rounds(items).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS])))
-    out = out.join(links, ["variant", "link_sequence"], "left").join(counts, ["variant", "link_sequence"], "left").join(F.broadcast(base), "variant", "left").crossJoin(F.broadcast(size))
+    out = out.join(links, ["variant", "link_sequence"], "left").join(F.broadcast(base), "variant", "left").crossJoin(F.broadcast(size))
     first = F.col("link_sequence") == 0
     line = Window.partitionBy("variant").orderBy("link_sequence")
     total = F.sum(F.coalesce("log_factor", F.lit(0.0))).over(line.rowsBetween(Window.unboundedPreceding, 0))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import indexing, quotes, screening
+from . import indexing, quotes, reports, screening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (quotes, indexing, screening):
+for _module in (quotes, indexing, screening, reports):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
