@@ -307,7 +307,7 @@ def packed_map(c: Column) -> Column:
 
 
 def unpacked(c: Column, separator: str = ";") -> Column:
-    return F.filter(F.transform(F.split(c, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def redacted(c: Column) -> Column:

@@ -57,7 +57,8 @@ def deduplicate(validated: DataFrame) -> DataFrame:
     c = F.col
     rows = validated.withColumn("_missing", F.array_compact(F.array(*[F.when(S.is_missing(c(n).cast("string")), F.lit(n)) for n in IDENTITY])))
     rows = rows.withColumn("_fare", S.fare_text(c("total_fare").cast("string"))).withColumn("_ts", _time(validated))
-    rows = rows.withColumn("_price", F.when(c("availability_status") == "Sold Out", "SOLD_OUT").otherwise(c("_fare")))
+    # Read three times below; kept, so that the rules behind is_valid run once.
+    rows = rows.withColumn("_price", F.when(c("availability_status") == "Sold Out", "SOLD_OUT").otherwise(c("_fare"))).persist()
     fit = c("is_valid") & (F.size("_missing") == 0) & c("_price").isNotNull()
     bucket = [*IDENTITY, "_price"]
     timed = rows.where(fit & c("_ts").isNotNull())

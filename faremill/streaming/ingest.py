@@ -33,9 +33,9 @@ def sweep(stream: DataFrame, bucket: list[str], ts: str, order: str, tolerance_m
     keyed = stream.withWatermark(ts, late).select(F.concat_ws("\x1f", *[F.coalesce(F.col(b).cast("string"), F.lit("\0")) for b in bucket]).alias("bucket"), F.col(ts).alias("ts"), F.col(order).cast("string").alias("id"))
 
     def settle(key, frames, state: GroupState):
-        held, anchor = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        held, anchor = ([tuple(x) for x in state.get[0]], state.get[1]) if state.exists else ([], None)
         for f in frames:
-            held += [[int(t.timestamp()), i] for t, i in zip(pd.to_datetime(f["ts"], utc=True), f["id"])]
+            held += [(int(t.timestamp()), i) for t, i in zip(pd.to_datetime(f["ts"], utc=True), f["id"])]
         mark = state.getCurrentWatermarkMs() // 1000
         held.sort()
         done = [x for x in held if x[0] <= mark]
@@ -47,7 +47,7 @@ def sweep(stream: DataFrame, bucket: list[str], ts: str, order: str, tolerance_m
                 anchor = (t, i)
             out.append((key[0], i, anchor[1]))
         if held or (anchor and anchor[0] + seconds > mark):
-            state.update(([tuple(x) for x in held], anchor))
+            state.update((held, anchor))
             state.setTimeoutTimestamp(max(mark + 1, (held[0][0] if held else anchor[0] + seconds)) * 1000 + 1)
         elif state.exists:
             state.remove()
