@@ -45,13 +45,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of texts equal up to the case of A-Z stays."""
     keyed = _keyed(docs)
-    return _rows(keyed.join(exact_duplicates(keyed).where("kept").select("doc_id"), "doc_id"), docs)
+    return _rows(keyed.join(exact_duplicates(keyed).where("kept").select("doc_id").hint("merge"), "doc_id"), docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints, the document that names it stays."""
     keyed = _keyed(docs)
-    return _rows(keyed.join(near_duplicates(keyed).where("doc_id = component_id").select("doc_id"), "doc_id"), docs)
+    return _rows(keyed.join(near_duplicates(keyed).where("doc_id = component_id").select("doc_id").hint("merge"), "doc_id"), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are in no budget and go."""
     keyed = _keyed(docs)
     taken = mixed(keyed).where("taken > 0").select("doc_id", "size", "taken")
-    rows = keyed.join(taken, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rows = keyed.join(taken.hint("merge"), "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
     rows = rows.withColumn("cut", F.when(words < F.col("size"), head))

@@ -123,7 +123,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     wanted = marks.where("suspect").select(key.alias("key")).distinct()
-    suspects = rows.withColumn("key", key).join(wanted, "key", "left_semi")
+    suspects = rows.withColumn("key", key).join(wanted.hint("merge"), "key", "left_semi")
     groups = suspects.groupBy(common.lower_ascii(F.col("text")).alias("norm")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     same = Window.partitionBy("sha", "doc_id").orderBy(F.lit(0))
