@@ -73,7 +73,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_chunks(offs: np.ndarray, most: int = 4 << 20):
+def row_chunks(offs: np.ndarray, most: int = 1 << 20):
     """Row ranges of at most ``most`` bytes each (one row at least)."""
     n, a = len(offs) - 1, 0
     while a < n:
