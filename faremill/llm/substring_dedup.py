@@ -25,19 +25,21 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, SEED, CUT, HELD = 20, 8, 16, 100_000
+WINDOW, SEED, CUT, HELD, COPIES = 20, 8, 16, 100_000, 10_000
 NULL_ID = -(2**63)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """key: doc_id, null as the least; n: numbers the rows of one doc_id."""
+def _distinct(docs: DataFrame) -> DataFrame:
+    """One row for rows alike in doc_id and text.  key: doc_id, null as the least; n:
+    a hash of the text, tells apart the texts of one doc_id; copies: how many rows, of
+    which known have a doc_id.  Map tasks merge what is alike before it is dealt out."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text"))))
+    return rows.groupBy("key", F.xxhash64("text").alias("n")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.count("doc_id").alias("known"))
 
 
 def _windows(data: np.ndarray, offs: np.ndarray, window: int, seed: int):
@@ -83,7 +85,7 @@ def _runs(batches, window, seed):
             until = at[np.append(lead[1:], len(at))[: len(lead)] - 1] + window - seed + 1
             lead = np.repeat(lead, 1 + (close[until] > close[at[lead]]))
             r = row[lead]
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[lead]), pa.array(key[a + r]), pa.array(n[a + r], pa.int32()), pa.array((at[lead] - first[r]).astype(np.int32))], names=["m", "key", "n", "i0"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[lead]), pa.array(key[a + r]), pa.array(n[a + r]), pa.array((at[lead] - first[r]).astype(np.int32))], names=["m", "key", "n", "i0"])
 
 
 def _repeated(batches):
@@ -116,16 +118,13 @@ def _extended(batches, window, seed):
         data, offs = common.text_buffer(batch["text"])
         key, n = batch["key"].to_numpy(), batch["n"].to_numpy()
         seeds = batch["seeds"]
-        s_off, s_val = seeds.offsets.to_numpy(), seeds.values
-        s_n, s_at = s_val.field("n").to_numpy(), s_val.field("i0").to_numpy()
+        s_off, s_at = seeds.offsets.to_numpy(), seeds.values.to_numpy()
         for a, b in common.row_chunks(offs):
             lo = offs[a]
             hashes, anchors, row, at, first, begin, _ = _windows(data[lo : offs[b]], offs[a : b + 1] - lo, window, seed)
             marked = np.zeros(first[-1] + 1, dtype=bool)
             owner = np.repeat(np.arange(b - a), np.diff(s_off[a : b + 1]))
-            mine = slice(s_off[a], s_off[b])
-            own = s_n[mine] == n[a:b][owner]
-            marked[first[owner[own]] + s_at[mine][own]] = True
+            marked[first[owner] + s_at[s_off[a] : s_off[b]]] = True
             run = np.cumsum(begin) - 1
             on = marked[at[begin]]
             wins = on[run]
@@ -134,7 +133,7 @@ def _extended(batches, window, seed):
             bounds = np.zeros(len(r) + 1, dtype=np.int32)
             np.cumsum(sizes * 8, out=bounds[1:])
             packed = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(hashes[wins].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[begin][on]), pa.array(key[a + r]), pa.array(n[a + r], pa.int32()), pa.array((heads - first[r]).astype(np.int32)), packed], names=["m", "key", "n", "i0", "wins"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[begin][on]), pa.array(key[a + r]), pa.array(n[a + r]), pa.array((heads - first[r]).astype(np.int32)), packed], names=["m", "key", "n", "i0", "wins"])
 
 
 def _unpacked(wins: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +161,7 @@ def _later(batch: pa.RecordBatch, whole: bool):
 
 
 def _row(key, n, i0, mask, w) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n, pa.int32()), pa.array(i0, pa.int32()), pa.array(mask, pa.int32()), w], names=["key", "n", "i0", "mask", "w"])
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(i0, pa.int32()), pa.array(mask, pa.int32()), w], names=["key", "n", "i0", "mask", "w"])
 
 
 def _settled(batches):
@@ -198,7 +197,7 @@ def _settled(batches):
 def _kept(batches, window):
     for batch in batches:
         data, offs = common.text_buffer(batch["text"])
-        rows, sizes, gone, digests, spans = batch["n"].to_numpy(), [], [], [], []
+        sizes, gone, digests, spans = [], [], [], []
         hits = batch["hits"].to_pylist()
         for i in range(batch.num_rows):
             words = data[offs[i] : offs[i + 1]].tobytes().split()
@@ -207,11 +206,10 @@ def _kept(batches, window):
             if hits[i]:
                 diff = np.zeros(len(words) + 1, dtype=np.int64)
                 for hit in hits[i]:
-                    if hit["n"] == rows[i]:
-                        for j in range(CUT):
-                            if hit["mask"] >> j & 1:
-                                diff[hit["i0"] + j] += 1
-                                diff[hit["i0"] + j + window] -= 1
+                    for j in range(CUT):
+                        if hit["mask"] >> j & 1:
+                            diff[hit["i0"] + j] += 1
+                            diff[hit["i0"] + j + window] -= 1
                 stay = np.cumsum(diff[:-1]) == 0
                 lost = int(len(words) - stay.sum())
                 if lost:
@@ -226,7 +224,25 @@ def _kept(batches, window):
             gone.append(lost)
             spans.append(found)
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
+        key, copies, known = (batch[c].to_numpy() for c in ("key", "copies", "known"))
+        yield _result([int(k) if c == w else None for k, c, w in zip(key, copies, known)], sizes, gone, digests, spans)
+        for i in np.flatnonzero(copies > 1):
+            yield from _copies(int(key[i]), int(copies[i]), int(known[i]), sizes[i], gone[i], digests[i], spans[i], window)
+
+
+def _copies(key, copies, known, size, lost, digest, span, window):
+    """The rows after the first of those alike in doc_id and text: every window of
+    theirs is a repeat.  Null ids rank first."""
+    if size >= window:
+        lost, digest, span = size, hashlib.sha256(b"").hexdigest(), [{"start": 0, "end": size}]
+    for doc_id, times in ((None, max(0, copies - known - 1)), (key, known - (copies == known))):
+        for at in range(0, times, COPIES):
+            k = min(COPIES, times - at)
+            yield _result([doc_id] * k, [size] * k, [lost] * k, [digest] * k, [span] * k)
+
+
+def _result(ids, sizes, gone, digests, spans) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -235,24 +251,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
     Null text has no words; texts shorter than a window lose nothing.  A null doc_id
     counts as the least.  Rows that repeat a doc_id count as documents one after
-    another, by a hash of their texts, so a repeated row loses its windows.  Other columns of ``docs`` are not
-    read.  An empty table gives an empty result.
+    another, by a hash of their texts, so a repeated row loses its windows.  Nothing is
+    grouped by doc_id alone, so one id may have any number of rows.  Other columns of
+    ``docs`` are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     parts = 2 * common.shuffle_partitions(spark)
-    rows = _numbered(docs)
-    runs = rows.select("key", "n", "text").mapInArrow(lambda it: _runs(it, window, seed), "m long, key long, n int, i0 int")
-    seeds = runs.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_repeated, "key long, n int, i0 int")
-    seeds = seeds.groupBy("key").agg(F.collect_list(F.struct("n", "i0")).alias("seeds"))
-    extended = rows.select("key", "n", "text").join(seeds.hint("merge"), "key").mapInArrow(lambda it: _extended(it, window, seed), "m long, key long, n int, i0 int, wins binary")
-    settled = common.materialize(extended.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_settled, "key long, n int, i0 int, mask int, w long"), "repeats")
+    rows = _distinct(docs)
+    runs = rows.select("key", "n", "text").mapInArrow(lambda it: _runs(it, window, seed), "m long, key long, n long, i0 int")
+    seeds = runs.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_repeated, "key long, n long, i0 int")
+    seeds = seeds.groupBy("key", "n").agg(F.collect_list("i0").alias("seeds"))
+    extended = rows.select("key", "n", "text").join(seeds.hint("merge"), ["key", "n"]).mapInArrow(lambda it: _extended(it, window, seed), "m long, key long, n long, i0 int, wins binary")
+    settled = common.materialize(extended.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_settled, "key long, n long, i0 int, mask int, w long"), "repeats")
     first = F.struct("key", "n", "i0")
     loose = settled.where("w is not null")
     least = loose.groupBy("w").agg(F.min(first).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w", "lead")
     late = loose.join(least.hint("merge"), "w").where(first != F.col("lead")).select("key", "n", "i0", F.lit(1).alias("mask"))
     hits = settled.where("w is null").select("key", "n", "i0", "mask").unionByName(late)
-    hits = hits.groupBy("key").agg(F.collect_list(F.struct("n", "i0", "mask")).alias("hits"))
-    final = rows.join(hits.hint("merge"), "key", "left").select("doc_id", "n", "text", "hits")
+    hits = hits.groupBy("key", "n").agg(F.collect_list(F.struct("i0", "mask")).alias("hits"))
+    final = rows.join(hits.hint("merge"), ["key", "n"], "left").select("key", "copies", "known", "text", "hits")
     return final.mapInArrow(lambda it: _kept(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>")
 
 

@@ -102,6 +102,26 @@ def test_hot_passage_spreads_and_stays_exact(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute_repeats(rows))
 
 
+def signed_hash(t):
+    h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_repeats_of_one_id_gather_nowhere(spark):
+    """Many rows of one id: exact, and no list, window or join is by the id alone."""
+    shared = [words(20 + k, 30) for k in range(3)]
+    texts = [words(5000 + i, 12) + " " + shared[i % 3] + " " + words(7000 + i, 12) for i in range(150)]
+    rows = [(i, t, None, "s", 0) for i in (None, 7) for t in texts] + [(i, t, None, "s", 0) for i in (None, 7, -(2**63)) for t in (texts[0], texts[0], "few words", None)]
+    rows.sort(key=lambda r: (-(2**63) if r[0] is None else r[0], signed_hash(r[1]), r[0] is not None))
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3))
+    found = got.collect()
+    assert sorted(map(str, ((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found))) == sorted(map(str, brute_repeats(rows)))
+    assert all(sum(x.end - x.start for x in r.repeats) == r.n_removed for r in found)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Aggregate [key" in line or "Join" in line]
+    assert len(dealt) >= 3 and all(line.count("n#") for line in dealt) and "Window" not in plan
+
+
 # --- word hashing ---------------------------------------------------------------------
 def test_word_hashes_know_their_words():
     text = "a bb  a\nccccccccccccccc\tbb " + "d" * 40 + " ccccccccccccccc a"
