@@ -21,6 +21,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 
+REPEATED = 1000
+
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,6 +50,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def repeated(df: DataFrame, times: str, nth: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 1 by ``nth``; in two steps, so that no
+    array is as long as a row is frequent."""
+    n = F.col(times)
+    steps = df.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(REPEATED).cast("long"))))
+    return steps.withColumn(nth, F.explode(F.sequence(F.col("_at") + 1, F.least(F.col("_at") + REPEATED, n)))).drop("_at")
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only; null counts as the empty text."""
     return F.translate(F.coalesce(col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,7 +9,8 @@
    their texts are shuffled and grouped by their bytes, which settles the groups.
 
 A text seen a million times crosses the exchange once a block, and the grouping
-pre-aggregates, so no group gathers in one task.  The scratch table of blocks keeps
+pre-aggregates, so no group gathers in one task; rows alike in text and id are counted
+and given back after the join, which is thus free to be split.  The scratch table of blocks keeps
 every row's id and SHA-256; texts that are not suspect are read once.
 """
 
@@ -21,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -126,8 +127,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     suspects = rows.withColumn("key", key).join(wanted.hint("merge"), "key", "left_semi")
     groups = suspects.groupBy(common.lower_ascii(F.col("text")).alias("norm")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
-    same = Window.partitionBy("sha", "doc_id").orderBy(F.lit(0))
-    settled = marks.where("suspect").join(groups, "sha", "left").withColumn("nth", F.row_number().over(same))
+    alike = marks.where("suspect").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("times"))
+    settled = common.repeated(alike.join(groups, "sha", "left"), "times", "nth")
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     size = F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
     settled = settled.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), size, (F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))).alias("kept"), sha)

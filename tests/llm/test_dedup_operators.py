@@ -47,6 +47,16 @@ def test_exact_duplicates_of_nothing(none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
+def test_copies_of_one_text_are_not_sorted_in_one_task(spark):
+    """Many rows alike in text, in id, in both: one of each text is kept."""
+    rows = [(i, "") for i in range(300)] + [(299, "")] * 1200 + [(None, "n")] * 1500 + [(5, "once")]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    have = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect())
+    want = Counter({(i, 299, 1500, False): 1 for i in range(299)}) + Counter({(299, 299, 1500, False): 1200, (299, 299, 1500, True): 1, (None, None, 1500, False): 1499, (None, None, 1500, True): 1, (5, 5, 1, True): 1})
+    assert have == want
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- substring dedup --------------------------------------------------------------
 def brute_repeats(rows, window=20):
     seen, out = set(), []
