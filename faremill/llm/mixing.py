@@ -3,7 +3,8 @@
 Documents get a hash-random order within their source.  The order is cut into
 buckets by the key's leading digits; bucket sums give each bucket its offset, and a
 window within a bucket the rest of the prefix sum, so that a source with a third of
-all rows is summed by many tasks.  A document's share of the cut follows from the
+all rows is summed by many tasks.  Rows alike in source, doc_id and size are one row
+of that window, so null or repeated ids add at most a row a size.  A document's share of the cut follows from the
 words before it: whole epochs first, then the last, partial one.
 """
 
@@ -65,8 +66,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     offsets = offsets.join(by_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "bucket", F.coalesce("offset", F.lit(0)).alias("offset"), "source_size", "target")
     named = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(_FIRST, -1)
-    rows = narrow.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    alike = narrow.groupBy("source", "bucket", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
+    rows = alike.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("times")).over(within), F.lit(0)))
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    rows = common.repeated(rows, "times", "nth").withColumn("inside", F.col("before") + (F.col("nth") - 1) * F.col("size"))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")

@@ -134,6 +134,16 @@ def test_mix_of_odd_rows(odd, none):
 
 
 # --- packing ------------------------------------------------------------------------
+def test_mix_of_one_id_is_not_summed_in_one_window(spark):
+    """Rows of no id or of one id: exact, and counted by size before the window."""
+    rows = [(i, "w " * (k % 4), s) for k in range(1200) for i, s in ((None, "a"), (7, "b"))] + [(k, "w w", "c") for k in range(40)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    check_mix(rows, got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "Window" in line and "bucket" in line and "doc_id" in line)
+    assert any("Aggregate [source" in line and "doc_id" in line for line in plan[at + 1 : at + 4])
+
+
 def naive_best_fit(pieces, capacity, slots):
     bins = []
     out = []
