@@ -113,12 +113,17 @@ def ratio_half_even(c: Column, places: int = 6) -> Column:
     return F.bround(c.cast("decimal(38,18)"), places)
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b; null over a base of zero, from which no ratio is defined."""
+    return a / F.when(b != 0, b)
+
+
 def relative_change(previous: Column, current: Column) -> Column:
-    return (current - previous) / F.nullif(previous, F.lit(0).cast("double"))
+    return over(current - previous, previous)
 
 
 def percent_change(current: Column, previous: Column) -> Column:
-    return F.round(100 * (current - previous) / F.nullif(previous, F.lit(0).cast("double")), 4)
+    return F.round(100 * over(current - previous, previous), 4)
 
 
 def relative_spread(least: Column, most: Column) -> Column:

@@ -71,16 +71,17 @@ def series_rules(cells: DataFrame) -> DataFrame:
     p = series_points(cells)
     cid, x = F.col("consolidation_cell_id"), F.col("fare_cents")
     coherent = _context(p)
-    step = F.abs(x / F.nullif("lag1", F.lit(0)) - 1)
-    drift = F.abs(x / F.nullif("lag3", F.lit(0)) - 1)
+    sound = (F.col("lag1") != 0) & (F.col("lag2") != 0) & (F.col("lag3") != 0)
+    step = F.abs(S.relative_change(F.col("lag1"), x))
+    drift = F.abs(S.relative_change(F.col("lag3"), x))
     s1, s2, s3 = F.signum(x - F.col("lag1")), F.signum(F.col("lag1") - F.col("lag2")), F.signum(F.col("lag2") - F.col("lag3"))
     same = (s1 != 0) & (s1 == s2) & (s2 == s3)
     rank = lambda v: F.when(coherent, S.downgrade(S.ladder(v, REVIEW, HIGH))).otherwise(S.ladder(v, REVIEW, HIGH))
-    short = F.lit("INSUFFICIENT_PRIOR_ROUNDS")
+    short = lambda least: F.when(F.col("prior") < least, "INSUFFICIENT_PRIOR_ROUNDS").otherwise("NO_PRICE_TO_EVALUATE")
     return _tall(
         p,
-        _verdict("R05", "SERIES_POINT", cid, (F.col("prior") >= PRIOR_LAG) & step.isNotNull(), short, step > REVIEW, rank(step), F.round(step, 6)),
-        _verdict("R06", "SERIES_POINT", cid, (F.col("prior") >= PRIOR_DRIFT) & drift.isNotNull(), short, same & (drift > REVIEW), rank(drift), F.round(drift, 6)),
+        _verdict("R05", "SERIES_POINT", cid, (F.col("prior") >= PRIOR_LAG) & step.isNotNull(), short(PRIOR_LAG), step > REVIEW, rank(step), F.round(step, 6)),
+        _verdict("R06", "SERIES_POINT", cid, (F.col("prior") >= PRIOR_DRIFT) & F.coalesce(sound, F.lit(False)), short(PRIOR_DRIFT), same & (drift > REVIEW), rank(drift), F.round(drift, 6)),
     )
 
 
@@ -104,11 +105,11 @@ def flight_rules(flights: DataFrame, cells: DataFrame) -> DataFrame:
     k = F.size(order)
     med = F.when(k % 2 == 1, F.element_at(order, F.greatest(F.lit(1), F.floor((k + 1) / 2).cast("int")))).otherwise((F.element_at(order, F.greatest(F.lit(1), F.floor(k / 2).cast("int"))) + F.element_at(order, F.least(k, F.floor(k / 2).cast("int") + 1))) / 2)
     f = f.withColumn("_med", F.when(k > 0, med))
-    worst = F.array_max(F.transform(F.map_values("source_fares"), lambda v: F.abs(v - F.col("_med")) / F.col("_med")))
+    worst = F.array_max(F.transform(F.map_values("source_fares"), lambda v: S.over(F.abs(v - F.col("_med")), F.col("_med"))))
     return _tall(
         f,
-        _verdict("R07", "FLIGHT_CELL", fid, (n >= 2) & spread.isNotNull(), F.when(n == 0, "NO_PRICE_TO_EVALUATE").otherwise("SINGLE_SOURCE_CELL"), spread > REVIEW, two, F.round(spread, 6)),
-        _verdict("R08", "FLIGHT_CELL", fid, n >= 3, F.lit("INSUFFICIENT_SOURCE_COUNT_FOR_ATTRIBUTION"), worst > REVIEW, two, F.round(worst, 6)),
+        _verdict("R07", "FLIGHT_CELL", fid, (n >= 2) & spread.isNotNull(), F.when(n == 1, "SINGLE_SOURCE_CELL").otherwise("NO_PRICE_TO_EVALUATE"), spread > REVIEW, two, F.round(spread, 6)),
+        _verdict("R08", "FLIGHT_CELL", fid, (n >= 3) & worst.isNotNull(), F.when(n < 3, "INSUFFICIENT_SOURCE_COUNT_FOR_ATTRIBUTION").otherwise("NO_PRICE_TO_EVALUATE"), worst > REVIEW, two, F.round(worst, 6)),
     )
 
 
@@ -193,7 +194,7 @@ def series_diagnostics(cells: DataFrame) -> DataFrame:
         F.min("fare_cents").alias("min_cents"),
         F.max("fare_cents").alias("max_cents"),
         F.median("fare_cents").alias("median_cents"),
-        F.round(F.max(F.abs(F.col("fare_cents") / F.nullif("lag1", F.lit(0)) - 1)), 6).alias("max_abs_change"),
+        F.round(F.max(F.abs(S.relative_change(F.col("lag1"), F.col("fare_cents")))), 6).alias("max_abs_change"),
     )
 
 
@@ -201,7 +202,7 @@ def source_reliability(rows: DataFrame, flights: DataFrame) -> DataFrame:
     """Per source: counts by state, cells, and deviation from the flight median."""
     f = flights.select("flight_cell_id", "flight_cents")
     j = rows.join(f, "flight_cell_id", "left")
-    gap = F.abs(F.col("fare_cents") - F.col("flight_cents")) / F.nullif("flight_cents", F.lit(0))
+    gap = S.over(F.abs(F.col("fare_cents") - F.col("flight_cents")), F.col("flight_cents"))
     priced = F.col("priced")
     return j.groupBy("source").agg(
         F.count(F.lit(1)).alias("observations"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 WEIGHT_PLACES = 6
 
 
@@ -30,7 +32,7 @@ def ranked(traffic: DataFrame) -> DataFrame:
     order = Window.orderBy(F.desc("passengers"), "route_id")
     total = F.sum("passengers").over(Window.partitionBy(F.lit(0)))
     running = F.sum("passengers").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return traffic.withColumns({"traffic_rank": F.row_number().over(order), "running_passengers": running, "cumulative_pct": F.round(100 * running / total, 4)})
+    return traffic.withColumns({"traffic_rank": F.row_number().over(order), "running_passengers": running, "cumulative_pct": F.round(100 * S.over(running, total), 4)})
 
 
 def size_analysis(rank: DataFrame, sizes: tuple[int, ...] = (5, 10, 15, 20)) -> DataFrame:
@@ -38,7 +40,7 @@ def size_analysis(rank: DataFrame, sizes: tuple[int, ...] = (5, 10, 15, 20)) ->
     named = rank.sparkSession.createDataFrame([(n,) for n in sizes], "basket_size int")
     total = rank.agg(F.sum("passengers").alias("all_passengers"))
     top = F.when(F.col("traffic_rank") <= F.col("basket_size"), F.col("passengers"))
-    return named.crossJoin(F.broadcast(total)).join(rank, F.col("traffic_rank") <= F.col("basket_size"), "left").groupBy("basket_size").agg(F.sum(top).alias("passengers"), F.round(100 * F.sum(top) / F.max("all_passengers"), 4).alias("covered_pct"))
+    return named.crossJoin(F.broadcast(total)).join(rank, F.col("traffic_rank") <= F.col("basket_size"), "left").groupBy("basket_size").agg(F.sum(top).alias("passengers"), F.round(100 * S.over(F.sum(top), F.max("all_passengers")), 4).alias("covered_pct"))
 
 
 def diversified(rank: DataFrame, top: int = 10, target: int = 15) -> DataFrame:
@@ -76,7 +78,7 @@ def weighted(basket: DataFrame) -> DataFrame:
     places, whose sum is exactly one: rank one takes the residual."""
     whole = Window.partitionBy(F.lit(0))
     order = Window.orderBy(F.desc("passengers"), "route_id")
-    out = basket.withColumn("basket_rank", F.row_number().over(order)).withColumn("full_weight", F.col("passengers") / F.sum("passengers").over(whole))
+    out = basket.withColumn("basket_rank", F.row_number().over(order)).withColumn("full_weight", S.over(F.col("passengers"), F.sum("passengers").over(whole)))
     out = out.withColumn("_micro", F.round(F.col("full_weight") * 10**WEIGHT_PLACES).cast("long"))
     rest = F.lit(10**WEIGHT_PLACES) - F.sum("_micro").over(whole)
     residual = F.when(F.col("basket_rank") == 1, rest).otherwise(0)

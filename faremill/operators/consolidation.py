@@ -109,7 +109,7 @@ def cells(rows: DataFrame) -> DataFrame:
             "missing_sources": F.array_except(expected, F.col("sources")),
             "price_state": S.cell_price_state(status, F.col("fare_cents")),
             "round_sort_key": S.round_sort_key(F.col("round_anchor_timestamp"), F.col("collection_round_id")),
-            "cross_flight_relative_spread": S.ratio_half_even(F.col("cross_flight_spread_cents") / F.col("fare_cents")).cast("double"),
+            "cross_flight_relative_spread": S.ratio_half_even(S.over(F.col("cross_flight_spread_cents"), F.col("fare_cents"))).cast("double"),
         }
     )
 

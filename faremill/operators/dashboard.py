@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .validation import code_counts
 
 PAGE, MOST = 100, 1000
 LEAD_DAYS = (1, 7, 15, 30, 45)
@@ -84,8 +85,8 @@ def lead_time_steps(lead: DataFrame) -> DataFrame:
     mean = lead.groupBy("days").agg(F.avg("average_cents").alias("a"))
     line = Window.orderBy("days")
     out = mean.withColumns({"next_days": F.lead("days").over(line), "b": F.lead("a").over(line)}).where("next_days is not null")
-    elastic = ((F.col("b") - F.col("a")) / ((F.col("a") + F.col("b")) / 2)) / ((F.col("next_days") - F.col("days")) / ((F.col("days") + F.col("next_days")) / 2))
-    step = 100 * (F.col("b") / F.col("a") - 1)
+    elastic = S.over(F.col("b") - F.col("a"), (F.col("a") + F.col("b")) / 2) / ((F.col("next_days") - F.col("days")) / ((F.col("days") + F.col("next_days")) / 2))
+    step = 100 * S.relative_change(F.col("a"), F.col("b"))
     level = F.when(F.abs(elastic) > 0.4, "high").when(F.abs(elastic) > 0.2, "medium").otherwise("low")
     return out.select("days", "next_days", F.round(step, 4).alias("step_pct"), F.when(F.abs(step) > 15, "high").when(F.abs(step) > 7, "medium").otherwise("low").alias("step_level"), F.round(elastic, 6).alias("elasticity"), level.alias("elasticity_level"))
 
@@ -94,7 +95,7 @@ def lead_time_extremes(lead: DataFrame) -> DataFrame:
     """Cheapest and dearest window, and the premium of the last day over the first."""
     mean = lead.groupBy("days").agg(F.avg("average_cents").alias("a"))
     at = lambda d: F.max(F.when(F.col("days") == d, F.col("a")))
-    return mean.agg(F.min_by("days", "a").alias("cheapest_days"), F.max_by("days", "a").alias("dearest_days"), F.round(100 * (at(LEAD_DAYS[0]) / at(LEAD_DAYS[-1]) - 1), 4).alias("late_premium_pct"))
+    return mean.agg(F.min_by("days", "a").alias("cheapest_days"), F.max_by("days", "a").alias("dearest_days"), F.round(100 * S.relative_change(at(LEAD_DAYS[-1]), at(LEAD_DAYS[0])), 4).alias("late_premium_pct"))
 
 
 def data_quality(validated: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def data_quality(validated: DataFrame) -> DataFrame:
 
 
 def top_issues(validated: DataFrame, top: int = 8) -> DataFrame:
-    codes = validated.select(F.explode("validation_errors").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    codes = code_counts(validated)
     return codes.withColumn("share_pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4)).orderBy(F.desc("n"), "code").limit(top)
 
 
@@ -125,4 +126,4 @@ def route_level(components: DataFrame) -> DataFrame:
 def compare_levels(series: DataFrame) -> DataFrame:
     """A (month, value) series rebased to its first month."""
     first = F.first("value").over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
-    return series.select("month", "value", F.round(100 * F.col("value") / first, 6).alias("rebased"))
+    return series.select("month", "value", F.round(100 * S.over(F.col("value"), first), 6).alias("rebased"))

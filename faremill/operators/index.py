@@ -175,16 +175,18 @@ def unaligned_diagnostics(items: DataFrame) -> DataFrame:
     a tie), the minutes between, and the items that both have."""
     stray = items.where("round_alignment = 'UNALIGNED'").select("variant", F.col("collection_round_id").alias("stray_id"), F.col("round_sort_key").alias("stray_key")).distinct()
     minutes = lambda k: F.unix_seconds(F.to_timestamp(k, "yyyy-MM-dd HH:mm")) / 60
-    # The nearest anchor is the last one before or the first one after: two running
-    # extremes over the line of rounds of a day, not a product of rounds.
-    anchors = rounds(items).select(F.col("collection_round_id").alias("anchor_id"), F.col("round_sort_key").alias("anchor_key"))
-    line = stray.select("variant", "stray_id", F.col("stray_key").alias("k"), F.lit(None).cast("string").alias("anchor_id")).unionByName(anchors.crossJoin(stray.select("variant").distinct()).select("variant", F.lit(None).cast("string").alias("stray_id"), F.col("anchor_key").alias("k"), "anchor_id"))
-    here = F.when(F.col("anchor_id").isNotNull(), F.struct("k", "anchor_id"))
-    order = Window.partitionBy("variant").orderBy("k", F.col("anchor_id").isNull())
-    line = line.withColumns({"before": F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first(here, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}).where("stray_id is not null")
-    a, b = minutes(F.col("k")) - minutes(F.col("before.k")), minutes(F.col("after.k")) - minutes(F.col("k"))
-    early = F.col("after").isNull() | (F.col("before").isNotNull() & (a <= b))
-    near = line.select("variant", "stray_id", F.when(early, F.col("before.anchor_id")).otherwise(F.col("after.anchor_id")).alias("nearest_round_id"), F.when(early, a).otherwise(b).cast("long").alias("minutes_apart"))
+    day = lambda k: F.substring(k, 1, 10)
+    # A row a day: its own anchors (as many as ROUND_ANCHORS), the last one before it and
+    # the first one after it.  The nearest anchor of a round is among these.
+    anchors = rounds(items).select(day(F.col("round_sort_key")).alias("day"), F.struct(F.col("round_sort_key").alias("key"), F.col("collection_round_id").alias("id")).alias("anchor"))
+    by_day = anchors.groupBy("day").agg(F.collect_list("anchor").alias("own"), F.min("anchor").alias("first"), F.max("anchor").alias("last"))
+    days = by_day.join(stray.select(day(F.col("stray_key")).alias("day")).distinct(), "day", "full_outer")
+    up, down = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("day", "own", F.last("last", ignorenulls=True).over(up).alias("before"), F.last("first", ignorenulls=True).over(down).alias("after"))
+    choice = F.array_compact(F.concat(F.coalesce("own", F.array().cast("array<struct<key:string,id:string>>")), F.array("before", "after")))
+    best = F.array_min(F.transform("choice", lambda x: F.struct(F.abs(minutes(x["key"]) - minutes(F.col("stray_key"))).alias("apart"), x["key"].alias("key"), x["id"].alias("id"))))
+    near = stray.withColumn("day", day(F.col("stray_key"))).join(days.select("day", choice.alias("choice")), "day").withColumn("best", best)
+    near = near.select("variant", "stray_id", F.col("best.id").alias("nearest_round_id"), F.col("best.apart").cast("long").alias("minutes_apart"))
     have = items.where("index_eligibility_status = 'ELIGIBLE'").select("variant", "collection_round_id", "item_id")
     mine = have.withColumnRenamed("collection_round_id", "stray_id")
     theirs = have.select("variant", F.col("collection_round_id").alias("nearest_round_id"), "item_id", F.lit(1).alias("_there"))
@@ -195,7 +197,7 @@ def unaligned_diagnostics(items: DataFrame) -> DataFrame:
 def rebased(round_rows: DataFrame, base_round_id: str) -> DataFrame:
     """Levels with another round as 100."""
     base = F.max(F.when(F.col("collection_round_id") == base_round_id, F.col("index_level"))).over(Window.partitionBy("variant"))
-    return round_rows.withColumn("rebased_level", F.round(BASE_LEVEL * F.col("index_level") / base, 6))
+    return round_rows.withColumn("rebased_level", F.round(BASE_LEVEL * S.over(F.col("index_level"), base), 6))
 
 
 def equal_route_chain(items: DataFrame, basket: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def run_status(spark, sf_dir):
     return out.join(high, "run_id").select("run_id", "attempts", (F.col("successes") + F.col("denied")).alias("successes"), "run_status")
 
 
-@query("WITH m AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month FROM lineitem WHERE l_partkey % 97 = 0), s AS (SELECT unnest(generate_series(min(CAST(month || '-01' AS DATE)), max(CAST(month || '-01' AS DATE)), INTERVAL 1 MONTH)) AS d FROM m) SELECT strftime(d, '%Y-%m') AS month FROM s WHERE strftime(d, '%Y-%m') NOT IN (SELECT month FROM m)")
+@query("WITH m AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month FROM lineitem), s AS (SELECT unnest(generate_series(min(CAST(month || '-01' AS DATE)), max(CAST(month || '-01' AS DATE)), INTERVAL 1 MONTH)) AS d FROM m) SELECT strftime(d, '%Y-%m') AS month FROM s WHERE strftime(d, '%Y-%m') NOT IN (SELECT month FROM m)")
 def month_gaps(spark, sf_dir):
     return tables.monthly_gaps(table(spark, sf_dir, "lineitem").select(S.month_id(F.col("l_shipdate")).alias("month")))
 

@@ -168,7 +168,7 @@ raw AS (
     CASE WHEN base < 0 THEN 'NEGATIVE_BASE_FARE' END,
     CASE WHEN total <= 0 THEN 'INVALID_TOTAL_FARE' END,
     CASE WHEN total IS NULL AND status = 'Available' THEN 'MISSING_TOTAL_FARE' END,
-    CASE WHEN total < base + taxes - 100 THEN 'TOTAL_FARE_LESS_THAN_COMPONENTS' END,
+    CASE WHEN total / 100 < base / 100 + taxes / 100 - CAST(1 AS DOUBLE) THEN 'TOTAL_FARE_LESS_THAN_COMPONENTS' END,
     CASE WHEN l_suppkey % 23 = 0 THEN 'MISSING_SOURCE' END
   ], lambda x: x IS NOT NULL) AS errors FROM flat
 ), verdicts AS (

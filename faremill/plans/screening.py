@@ -58,7 +58,7 @@ POINTS = (
   SELECT *, row_number() OVER s - 1 AS prior, lag(cents, 1) OVER s AS l1, lag(cents, 2) OVER s AS l2, lag(cents, 3) OVER s AS l3
   FROM cell WHERE alignment = 'ANCHORED' AND cents IS NOT NULL WINDOW s AS (PARTITION BY origin, destination, fare_class ORDER BY round_key, cell_id)
 ), moves AS (
-  SELECT *, sources >= 2 AND priced_flights >= 2 AS coherent, abs(cents / l1 - 1) AS step, abs(cents / l3 - 1) AS drift,
+  SELECT *, sources >= 2 AND priced_flights >= 2 AS coherent, abs(cents / nullif(l1, 0) - 1) AS step, abs(cents / nullif(l3, 0) - 1) AS drift,
     sign(cents - l1) <> 0 AND sign(cents - l1) = sign(l1 - l2) AND sign(l1 - l2) = sign(l2 - l3) AS same FROM pts
 )"""
 )
@@ -69,7 +69,7 @@ def _rank(v):
 
 
 @query(
-    f"""WITH {POINTS} SELECT cell_id AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, NULL AS value FROM moves WHERE prior < 3
+    f"""WITH {POINTS} SELECT cell_id AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, NULL AS value FROM moves WHERE prior < 3 OR step IS NULL
 UNION ALL SELECT cell_id, 'FLAGGED', {_rank('step')}, round(step, 6) FROM moves WHERE prior >= 3 AND step > 0.15"""
 )
 def series_lag_r05(spark, sf_dir):
@@ -77,8 +77,8 @@ def series_lag_r05(spark, sf_dir):
 
 
 @query(
-    f"""WITH {POINTS} SELECT cell_id AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, NULL AS value FROM moves WHERE prior < 4
-UNION ALL SELECT cell_id, 'FLAGGED', {_rank('drift')}, round(drift, 6) FROM moves WHERE prior >= 4 AND same AND drift > 0.15"""
+    f"""WITH {POINTS} SELECT cell_id AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, NULL AS value FROM moves WHERE prior < 4 OR l1 = 0 OR l2 = 0 OR l3 = 0
+UNION ALL SELECT cell_id, 'FLAGGED', {_rank('drift')}, round(drift, 6) FROM moves WHERE prior >= 4 AND l1 <> 0 AND l2 <> 0 AND l3 <> 0 AND same AND drift > 0.15"""
 )
 def drift_r06(spark, sf_dir):
     return anomaly.series_rules(cells(spark, sf_dir)).where("rule_id = 'R06'").select("entity_id", "status", "severity", "value")
@@ -91,7 +91,7 @@ FLIGHTS = (
 ), fm AS (
   SELECT cell_id, flight, median(c) AS med FROM s0 GROUP BY ALL
 ), dev AS (
-  SELECT s0.cell_id, s0.flight, max(abs(c - med) / med) AS worst FROM s0 JOIN fm ON s0.cell_id = fm.cell_id AND s0.flight = fm.flight GROUP BY ALL
+  SELECT s0.cell_id, s0.flight, max(abs(c - med) / nullif(med, 0)) AS worst FROM s0 JOIN fm ON s0.cell_id = fm.cell_id AND s0.flight = fm.flight GROUP BY ALL
 ), fx AS (
   SELECT fl.*, worst, sources >= 2 AND priced_flights >= 2 AS coherent, coalesce(n, 0) AS k FROM fl JOIN cell ON cell.cell_id = fl.cell_id LEFT JOIN dev ON dev.cell_id = fl.cell_id AND dev.flight = fl.flight
 )"""
@@ -99,8 +99,8 @@ FLIGHTS = (
 
 
 @query(
-    f"""WITH {FLIGHTS} SELECT fid AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, CASE WHEN k = 0 THEN 'NO_PRICE_TO_EVALUATE' ELSE 'SINGLE_SOURCE_CELL' END AS reason, NULL AS value FROM fx WHERE k < 2
-UNION ALL SELECT fid, 'FLAGGED', CASE WHEN coherent THEN 'INFO' ELSE 'REVIEW' END, NULL, round((hi - lo) / lo, 6) FROM fx WHERE k >= 2 AND (hi - lo) / lo > 0.15"""
+    f"""WITH {FLIGHTS} SELECT fid AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, CASE WHEN k = 1 THEN 'SINGLE_SOURCE_CELL' ELSE 'NO_PRICE_TO_EVALUATE' END AS reason, NULL AS value FROM fx WHERE k < 2 OR lo <= 0
+UNION ALL SELECT fid, 'FLAGGED', CASE WHEN coherent THEN 'INFO' ELSE 'REVIEW' END, NULL, round((hi - lo) / lo, 6) FROM fx WHERE k >= 2 AND lo > 0 AND (hi - lo) / nullif(lo, 0) > 0.15"""
 )
 def dispersion_r07(spark, sf_dir):
     f = consolidation.flight_cells(consolidation.members(quotes(spark, sf_dir)))
@@ -108,7 +108,7 @@ def dispersion_r07(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FLIGHTS} SELECT fid AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, NULL AS value FROM fx WHERE k < 3
+    f"""WITH {FLIGHTS} SELECT fid AS entity_id, 'NOT_EVALUABLE' AS status, 'NONE' AS severity, NULL AS value FROM fx WHERE k < 3 OR worst IS NULL
 UNION ALL SELECT fid, 'FLAGGED', CASE WHEN coherent THEN 'INFO' ELSE 'REVIEW' END, round(worst, 6) FROM fx WHERE k >= 3 AND worst > 0.15"""
 )
 def source_dev_r08(spark, sf_dir):
@@ -157,7 +157,7 @@ def peer_mad_r13(spark, sf_dir):
 
 @query(
     f"""WITH {POINTS}, r AS (
-  SELECT cell_id, 'R05' AS rule, {_rank('step')} AS sev FROM moves WHERE prior >= 3 AND step > 0.15 UNION ALL SELECT cell_id, 'R06', {_rank('drift')} FROM moves WHERE prior >= 4 AND same AND drift > 0.15
+  SELECT cell_id, 'R05' AS rule, {_rank('step')} AS sev FROM moves WHERE prior >= 3 AND step > 0.15 UNION ALL SELECT cell_id, 'R06', {_rank('drift')} FROM moves WHERE prior >= 4 AND l1 <> 0 AND l2 <> 0 AND l3 <> 0 AND same AND drift > 0.15
   UNION ALL SELECT cell_id, 'R09', 'INFO' FROM cell WHERE sources <= 1 UNION ALL SELECT cell_id, 'R11', 'INFO' FROM cell WHERE cents IS NULL UNION ALL SELECT cell_id, 'R12', 'INFO' FROM cell WHERE alignment <> 'ANCHORED'
 ), g AS (
   SELECT cell_id, string_agg(rule, ';' ORDER BY rule) AS rules, max(CASE sev WHEN 'HIGH' THEN 3 WHEN 'REVIEW' THEN 2 ELSE 1 END) AS k FROM r GROUP BY cell_id
@@ -179,7 +179,7 @@ def observation_r01_r03(spark, sf_dir):
 
 @query(
     f"""WITH {STAGES} SELECT source, count(*) AS observations, count(cents) AS priced_observations, count(*) FILTER (sold) AS sold_out_observations, count(DISTINCT q.cell_id) AS cells,
-  round(median(abs(cents - s1.c) / s1.c) FILTER (cents IS NOT NULL), 6) AS median_deviation, round(max(abs(cents - s1.c) / s1.c) FILTER (cents IS NOT NULL), 6) AS max_deviation
+  round(median(abs(cents - s1.c) / nullif(s1.c, 0)) FILTER (cents IS NOT NULL), 6) AS median_deviation, round(max(abs(cents - s1.c) / nullif(s1.c, 0)) FILTER (cents IS NOT NULL), 6) AS max_deviation
 FROM quotes q LEFT JOIN s1 ON q.cell_id = s1.cell_id AND q.flight = s1.flight GROUP BY source"""
 )
 def source_reliability(spark, sf_dir):
