@@ -13,6 +13,8 @@ from ..functions import scalars as S
 
 PRODUCT = ("origin", "destination", "travel_date", "fare_class", "advance_purchase_window")
 FLIGHT = ("carrier", "flight_number", "departure_time")
+ROUND = ("collection_round_id", "round_alignment", "round_anchor_timestamp")
+COUNTS = ("observations", "priced_observations", "sold_out_observations", "missing_observations")
 
 
 def members(canonical: DataFrame) -> DataFrame:
@@ -48,55 +50,61 @@ def members(canonical: DataFrame) -> DataFrame:
 
 
 def source_values(rows: DataFrame) -> DataFrame:
-    """Stage 0: one value a flight cell and source."""
-    return rows.where("priced").groupBy("consolidation_cell_id", "flight_cell_id", "source").agg(S.midpoint_cents(F.col("fare_cents")).alias("source_cents"))
+    """Stage 0: one value a flight cell and source, with the counts and extremes that
+    the later stages add up.  A cell's attributes follow from its id, so any will do."""
+    ts, priced = F.unix_seconds(F.col("collection_ts").cast("timestamp")), F.col("priced")
+    is_ = lambda name: F.count_if(F.col("participation_status") == name)
+    fare = F.when(priced, F.col("fare_cents"))
+    return rows.where("in_cell").groupBy("consolidation_cell_id", "flight_cell_id", "source").agg(
+        *[F.min(n).alias(n) for n in (*PRODUCT, *FLIGHT[:2], *ROUND)],
+        S.midpoint_cents(fare).alias("source_cents"),
+        F.count(F.lit(1)).alias("observations"),
+        F.count_if(priced).alias("priced_observations"),
+        is_("EXCLUDED_SOLD_OUT").alias("sold_out_observations"),
+        is_("EXCLUDED_MISSING_PRICE").alias("missing_observations"),
+        F.min(fare).alias("min_cents"),
+        F.max(fare).alias("max_cents"),
+        F.min(ts).alias("_first"),
+        F.max(ts).alias("_last"),
+    )
+
+
+def _totals() -> list:
+    return [*[F.sum(n).alias(n) for n in COUNTS], *[F.min(n).alias(n) for n in ("min_cents", "_first", *PRODUCT, *ROUND)], *[F.max(n).alias(n) for n in ("max_cents", "_last")]]
 
 
 def flight_cells(rows: DataFrame) -> DataFrame:
     """Stage 1, with every flight cell, priced or not."""
-    priced = source_values(rows).groupBy("flight_cell_id").agg(
+    there = F.col("source_cents").isNotNull()
+    out = source_values(rows).groupBy("consolidation_cell_id", "flight_cell_id").agg(
+        *_totals(),
+        *[F.min(n).alias(n) for n in FLIGHT[:2]],
         S.midpoint_cents(F.col("source_cents")).alias("flight_cents"),
-        F.count(F.lit(1)).alias("priced_sources"),
+        F.nullif(F.count("source_cents"), F.lit(0)).alias("priced_sources"),
         (F.max("source_cents") - F.min("source_cents")).alias("source_spread_cents"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "source_cents")))).alias("source_fares"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(there, F.struct("source", "source_cents"))))).alias("source_fares"),
+        F.collect_set("source").alias("seen_sources"),
     )
-    everything = rows.where("in_cell").groupBy("consolidation_cell_id", "flight_cell_id").agg(
-        *[F.first(n).alias(n) for n in (*PRODUCT, "carrier", "flight_number", "collection_round_id", "round_alignment", "round_anchor_timestamp")],
-        F.count(F.lit(1)).alias("observations"),
-        F.count_if("priced").alias("priced_observations"),
-        F.count_if(F.col("participation_status") == "EXCLUDED_SOLD_OUT").alias("sold_out_observations"),
-        F.min(F.when(F.col("priced"), F.col("fare_cents"))).alias("min_cents"),
-        F.max(F.when(F.col("priced"), F.col("fare_cents"))).alias("max_cents"),
-    )
-    out = everything.join(priced, "flight_cell_id", "left")
     state = F.when(F.col("flight_cents").isNotNull(), "PRICED").when(F.col("sold_out_observations") == F.col("observations"), "SOLD_OUT").otherwise("MISSING_PRICE")
-    return out.withColumn("flight_price_state", state)
+    return out.withColumns({"flight_price_state": state, "source_fares": F.when(F.size("source_fares") > 0, F.col("source_fares"))})
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """Stage 2, dispersion, coverage and status of every consolidation cell."""
-    flights = flight_cells(rows).groupBy("consolidation_cell_id").agg(
+    """Stage 2, dispersion, coverage and status of every consolidation cell; one chain
+    of groupings, from the stages before."""
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    out = flight_cells(rows).groupBy("consolidation_cell_id").agg(
+        *_totals(),
         S.midpoint_cents(F.col("flight_cents")).alias("fare_cents"),
         F.count(F.lit(1)).alias("flights"),
         F.count("flight_cents").alias("priced_flights"),
         F.max("source_spread_cents").alias("max_flight_source_spread_cents"),
         S.midpoint_cents(F.col("source_spread_cents")).alias("median_flight_source_spread_cents"),
         (F.max("flight_cents") - F.min("flight_cents")).alias("cross_flight_spread_cents"),
+        flat(F.map_keys("source_fares")).alias("sources"),
+        flat(F.col("seen_sources")).alias("seen_sources"),
     )
-    priced = F.col("priced")
-    everything = rows.where("in_cell").groupBy("consolidation_cell_id").agg(
-        *[F.first(n).alias(n) for n in (*PRODUCT, "collection_round_id", "round_alignment", "round_anchor_timestamp")],
-        F.count(F.lit(1)).alias("observations"),
-        F.count_if(priced).alias("priced_observations"),
-        F.count_if(F.col("participation_status") == "EXCLUDED_SOLD_OUT").alias("sold_out_observations"),
-        F.count_if(F.col("participation_status") == "EXCLUDED_MISSING_PRICE").alias("missing_observations"),
-        F.array_sort(F.collect_set(F.when(priced, F.col("source")))).alias("sources"),
-        F.array_sort(F.collect_set("source")).alias("seen_sources"),
-        F.floor((F.unix_seconds(F.max(F.col("collection_ts").cast("timestamp"))) - F.unix_seconds(F.min(F.col("collection_ts").cast("timestamp")))) / 60).cast("long").alias("round_time_spread_minutes"),
-        F.min(F.when(priced, F.col("fare_cents"))).alias("min_cents"),
-        F.max(F.when(priced, F.col("fare_cents"))).alias("max_cents"),
-    )
-    out = everything.join(flights, "consolidation_cell_id")
+    out = out.withColumn("round_time_spread_minutes", F.floor((F.col("_last") - F.col("_first")) / 60).cast("long")).drop("_first", "_last")
     n = F.size("sources")
     expected = F.array(*[F.lit(s) for s in S.EXPECTED_SOURCES])
     status = F.when(F.col("fare_cents").isNotNull(), "CONSOLIDATED").when(F.col("sold_out_observations") == F.col("observations"), "NO_PRICE_ALL_SOLD_OUT").when(F.col("missing_observations") == F.col("observations"), "NO_PRICE_ALL_MISSING").otherwise("NO_PRICE_NO_USABLE_FARE")
