@@ -8,10 +8,16 @@
 3. only the rows marked there, or repeated within their own block, are suspects:
    their texts are shuffled and grouped by their bytes, which settles the groups.
 
+How the second scan knows the suspects: their SHA-256 values set bits of a filter of
+``BITS_EACH`` bits a suspect, ``MOST_BITS`` (32 MB) at most, which every task gets.  A
+text that is no suspect passes it with a chance of about one in a hundred, and then is
+alone in its group.  Beyond some 27 million suspects the filter is full: more texts
+travel, and the results stay the same.
+
 A text seen a million times crosses the exchange once a block, and the grouping
-pre-aggregates, so no group gathers in one task; rows alike in text and id are counted
-and given back after the join, which is thus free to be split.  The scratch table of blocks keeps
-every row's id and SHA-256; texts that are not suspect are read once.
+pre-aggregates.  Groups larger than half a partition are fewer than twice the
+partitions: their rows meet them by broadcast, so no group gathers in one task.  The
+scratch table of blocks keeps every row's id and SHA-256.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 FINGERPRINT_BITS, BLOCK_ROWS = 48, 1 << 16
+BITS_EACH, MOST_BITS, PROBES = 10, 1 << 28, 4
 _BLOCK = "block long, owner int, base long, shift int, n int, codes binary, repeated binary, rows array<int>, ids array<long>, shas binary"
 
 
@@ -73,12 +80,17 @@ def _flush(ids: list, shas: list, block: int, owner_bits: int):
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
 
+def _digests(col: pa.Array) -> list[bytes]:
+    """SHA-256 of each text, A-Z lower-cased; null counts as empty."""
+    data, offs = common.text_buffer(col)
+    view = memoryview(data)
+    return [hashlib.sha256(bytes(view[a:b]).lower()).digest() for a, b in zip(offs[:-1], offs[1:])]
+
+
 def _blocks(batches, owner_bits):
     ids, shas, seq = [], [], TaskContext.get().partitionId() << 32
     for batch in batches:
-        data, offs = common.text_buffer(batch["text"])
-        view = memoryview(data)
-        shas += [hashlib.sha256(bytes(view[a:b]).lower()).digest() for a, b in zip(offs[:-1], offs[1:])]
+        shas += _digests(batch["text"])
         ids += batch["doc_id"].to_pylist()
         if len(ids) >= BLOCK_ROWS:
             yield _flush(ids, shas, seq, owner_bits)
@@ -105,6 +117,41 @@ def _marks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x["ids"], pa.int64()), shas, pa.array(suspect)], names=["doc_id", "sha", "suspect"])
 
 
+def _probes(shas: list[bytes], bits: int) -> np.ndarray:
+    """The filter's bits of each digest, one row a probe."""
+    h = np.frombuffer(b"".join(shas), dtype="<u8").reshape(-1, 4)
+    return np.stack([(h[:, 1] + np.uint64(k) * (h[:, 2] | np.uint64(1))) % np.uint64(bits) for k in range(PROBES)])
+
+
+def _set_bits(batches, bits):
+    """(word, bits set in it) of the filter, one row a word and batch."""
+    for batch in batches:
+        if batch.num_rows:
+            at = _probes(batch["sha"].to_pylist(), bits).ravel()
+            words, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+            value = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(value, inverse, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
+
+
+def _passing(batches, words, bits):
+    """The rows whose digest the filter holds."""
+    for batch in batches:
+        if batch.num_rows:
+            at = _probes(_digests(batch["text"]), bits)
+            hit = (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(hit.all(axis=0)))
+
+
+def _suspects(rows: DataFrame, marks: DataFrame, count: int) -> DataFrame:
+    """The suspects among ``rows``, and about one in a hundred of the others."""
+    bits = min(MOST_BITS, max(64, -(-BITS_EACH * count // 64) * 64))
+    found = marks.where("suspect").select("sha").mapInArrow(lambda it: _set_bits(it, bits), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    words[found["word"].to_numpy()] = found["value"].to_numpy().view(np.uint64)
+    return rows.mapInArrow(lambda it: _passing(it, words, bits), "doc_id long, text string")
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept,
     text_sha256 (of the text with A-Z lower-cased).
@@ -122,13 +169,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     back = blocks.select("block", "owner", "n", "repeated", "rows", "ids", "shas").join(answers, ["block", "owner"])
     marks = common.materialize(back.mapInArrow(_marks, "doc_id long, sha binary, suspect boolean"), "marks")
 
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    wanted = marks.where("suspect").select(key.alias("key")).distinct()
-    suspects = rows.withColumn("key", key).join(wanted.hint("merge"), "key", "left_semi")
+    count = marks.where("suspect").count()
+    suspects = _suspects(rows, marks, count)
     groups = suspects.groupBy(common.lower_ascii(F.col("text")).alias("norm")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+    groups = common.materialize(groups.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "groups")
     alike = marks.where("suspect").groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    settled = common.repeated(alike.join(groups, "sha", "left"), "times", "nth")
+    # Fewer than twice the partitions, each with more rows than half a partition's.
+    large = F.broadcast(groups.where(F.col("group_size") > count / (2 * common.shuffle_partitions(spark))))
+    rest = alike.join(large.select("sha"), "sha", "left_anti").join(groups.hint("merge"), "sha", "left")
+    settled = common.repeated(alike.join(large, "sha").unionByName(rest), "times", "nth")
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     size = F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
     settled = settled.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), size, (F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))).alias("kept"), sha)
