@@ -1,8 +1,9 @@
 """Shared pieces of the corpus operators: scratch tables, Arrow text access and
 vectorised word hashing.
 
-Scratch tables go below the folder the cluster names in ``spark.checkpoint.dir``;
-a machine-local folder is only taken where that setting is absent (local tests).
+Scratch tables go below the folder the cluster names in ``spark.checkpoint.dir``.  A
+machine-local folder is only taken where that setting is absent and Spark runs in one
+process; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ _R = 0xD6E8FEB86659FD93
 def scratch_root(spark: SparkSession) -> str:
     """Folder for scratch tables that driver and executors both reach."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and spark.sparkContext.master.startswith("local"):
         root = "file://" + os.path.join(tempfile.gettempdir(), "faremill-scratch")
+    if not root:
+        raise ValueError("spark.checkpoint.dir is not set: scratch tables need a folder that driver and executors share")
     return root.rstrip("/")
 
 
@@ -58,6 +61,16 @@ def repeated(df: DataFrame, times: str, nth: str) -> DataFrame:
     return steps.withColumn(nth, F.explode(F.sequence(F.col("_at") + 1, F.least(F.col("_at") + REPEATED, n)))).drop("_at")
 
 
+def met(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined to their ``groups``, one row a key with its number of rows in
+    ``size``; ``total``: rows in all.  Groups larger than half an average partition are
+    fewer than twice the partitions, so these are broadcast, and the others shuffled."""
+    most = total / (2 * shuffle_partitions(rows.sparkSession))
+    large = F.broadcast(groups.where(F.col(size) > most))
+    rest = rows.join(large.select(key), key, "left_anti").join(groups.where(F.col(size) <= most).hint("merge"), key)
+    return rows.join(large, key).unionByName(rest)
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only; null counts as the empty text."""
     return F.translate(F.coalesce(col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

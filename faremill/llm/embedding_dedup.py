@@ -1,22 +1,29 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
-Unit vectors x, y differ by N(0, |x - y|^2) along a Gaussian direction, so the number
-of directions in which y falls into the window around x is binomial, with a rate that
-the similarity fixes.  ``least_count`` is the largest count that a pair at the
-threshold still reaches with probability ``RECALL``; pairs that reach it are verified
-in double precision.
-
-Vectors are sorted along the first projection and cut into blocks; each pair of
-blocks is one task's work.  Along the other projections a block's values are placed
-in cells of that projection's order, and the window is the query's cell and
-``WINDOW`` cells on each side.  Equal vectors are collapsed first and count by their
-number.  A pair of blocks returns link counts and a spanning star of each of its
-groups, not its pairs.
+Unit vectors x, y of cosine c have projections on a Gaussian direction that are
+bivariate normal with correlation c, whatever the number of dimensions.
+
+1. Candidates.  In each of L tables a vector is dealt to a bucket by which side of
+   ``k`` of the ``SIDES`` directions it lies on.  A bucket is sorted along the table's
+   lead projection, and a query meets the vectors in the window of ``WINDOW`` cells on
+   each side of it.
+2. Counting.  Of a pair that meets, the projections are counted in which one vector
+   falls into the window around the other.  Pairs that reach ``least_count`` go on.
+3. Verification, in double precision.  A pair that meets in several tables counts in
+   the first of them only.
+
+k grows with the logarithm of the number of distinct vectors, so that a bucket holds
+about ``PARTNERS`` of them; L and the least count are calibrated (``tables``,
+``least_count``) so that a pair at the threshold is found with probability ``RECALL``,
+and a closer one more often.  Buckets longer than ``BLOCK`` are compared by pairs of
+blocks.  Equal vectors are collapsed first and count by their number.  A bucket
+returns link counts and a spanning star of each of its groups, not its pairs.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,85 +34,128 @@ from . import common
 from .components import connected_components
 
 COSINE, RECALL = 0.9, 0.998
-PROJECTIONS, CELL, WINDOW, RANDOM = 40, 1 / 16, 8, 911
-BLOCK, QUERIES = 4096, 256
+PROJECTIONS, CELL, WINDOW, SIDES, RANDOM = 40, 1 / 16, 16, 128, 911
+PARTNERS, BLOCK, QUERIES = 1024, 4096, 256
+#: More long buckets than this are told by a shuffle, not a broadcast.
+MOST_LONG = 100_000
+
+
+def _both(c: float) -> float:
+    """The recall of each of the two filters, count and tables."""
+    return math.sqrt(c)
 
 
 def least_count(cosine: float = COSINE, recall: float = RECALL) -> int:
     p = math.erf(WINDOW * CELL / math.sqrt(2 - 2 * cosine) / math.sqrt(2))
     tail, t = 0.0, PROJECTIONS + 1
-    while tail < recall:
+    while tail < _both(recall):
         t -= 1
         tail += math.comb(PROJECTIONS, t) * p**t * (1 - p) ** (PROJECTIONS - t)
     return t
 
 
+@lru_cache(maxsize=8)
 def _directions(dims: int) -> np.ndarray:
-    return np.random.default_rng(RANDOM).normal(size=(dims, PROJECTIONS))
-
-
-def _unit(batches):
-    """Unit vectors in double precision; null where no direction is defined."""
+    return np.random.default_rng(RANDOM).normal(size=(dims, PROJECTIONS + SIDES))
+
+
+@lru_cache(maxsize=8)
+def tables(k: int, cosine: float = COSINE, recall: float = RECALL) -> np.ndarray:
+    """The sides that each table reads, one row of k numbers a table: as many tables
+    as simulated pairs at the threshold need to meet in one."""
+    if k == 0:
+        return np.zeros((1, 0), dtype=np.int64)
+    rng = np.random.default_rng(RANDOM)
+    x = rng.normal(size=(20_000, PROJECTIONS + SIDES))
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * rng.normal(size=x.shape)
+    near = np.abs(x - y)[:, :PROJECTIONS] <= (WINDOW - 1) * CELL
+    same = (x > 0)[:, PROJECTIONS:] == (y > 0)[:, PROJECTIONS:]
+    found, out = np.zeros(len(x), dtype=bool), []
+    while found.mean() < _both(recall):
+        sides = rng.choice(SIDES, size=k, replace=False)
+        found |= near[:, len(out) % PROJECTIONS] & same[:, sides].all(axis=1)
+        out.append(sides)
+    return np.array(out)
+
+
+def _masks(sides: np.ndarray) -> np.ndarray:
+    """Tables as pairs of 64-bit masks over the sides."""
+    out = np.zeros((len(sides), 2), dtype=np.uint64)
+    for t, row in enumerate(sides):
+        for x in row:
+            out[t, x // 64] |= np.uint64(1) << np.uint64(x % 64)
+    return out
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Unit vectors, in double precision, of lists of one length."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+        col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+
+
+def _sided(batches):
+    """The sides of each vector as two 64-bit words."""
     for batch in batches:
-        out, lead = [], []
-        for x in batch["embedding"].to_pylist():
-            v = np.array([np.nan if c is None else c for c in x], dtype=np.float64) if x else np.zeros(0)
-            top = np.abs(v).max() if len(v) else 0.0
-            if len(v) and np.isfinite(top) and top > 0:
-                v = v / top
-                v /= math.sqrt(float(v @ v))
-                out.append(v.tolist())
-                lead.append(float(v @ _directions(len(v))[:, 0]))
-            else:
-                out.append(None)
-                lead.append(None)
-        yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(out, pa.list_(pa.float64())), pa.array(lead, pa.float64())], names=["vec_id", "unit", "lead"])
-
-
-def _cells(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor((x @ _directions(x.shape[1])) / CELL) + 128, 0, 255).astype(np.uint8)
-
-
-def _candidates(a: np.ndarray, b: np.ndarray, same: bool, least: int):
-    """Index pairs whose window collisions reach ``least``."""
-    ca, cb = _cells(a).T.copy(), _cells(b).T.copy()
-    for at in range(0, len(a), QUERIES):
+        dims, words = batch["dims"].to_numpy(), np.zeros((batch.num_rows, 2), dtype=np.uint64)
+        for d in np.unique(dims):
+            at = np.flatnonzero(dims == d)
+            sides = (_matrix(batch["vector"].take(pa.array(at))) @ _directions(int(d))[:, PROJECTIONS:]) > 0
+            words[at] = np.packbits(sides, axis=1, bitorder="little").view("<u8")
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in (0, 1)]], names=[*batch.schema.names, "s0", "s1"])
+
+
+def _meeting(ca: np.ndarray, cb: np.ndarray, lead: int, same: bool, least: int):
+    """Index pairs that fall into each other's lead window and whose window collisions
+    reach ``least``; ca, cb: cells, one row a projection, sorted by the lead's."""
+    for at in range(0, ca.shape[1], QUERIES):
         q = ca[:, at : at + QUERIES]
-        tally = np.zeros((q.shape[1], len(b)), dtype=np.uint8)
+        lo = int(np.searchsorted(cb[lead], max(0, int(q[lead, 0]) - WINDOW)))
+        hi = int(np.searchsorted(cb[lead], min(255, int(q[lead, -1]) + WINDOW), side="right"))
+        tally = np.zeros((q.shape[1], hi - lo), dtype=np.uint8)
         gap = np.empty_like(tally)
-        for p in range(PROJECTIONS):
+        for p in (lead, *[p for p in range(PROJECTIONS) if p != lead]):
             # |cell - query cell| <= WINDOW as one unsigned comparison
-            np.subtract(cb[p][None, :], (q[p].astype(np.int16) - WINDOW).astype(np.uint8)[:, None], out=gap)
+            np.subtract(cb[p, lo:hi][None, :], (q[p].astype(np.int16) - WINDOW).astype(np.uint8)[:, None], out=gap)
+            if p == lead:
+                inside = gap <= 2 * WINDOW
             tally += gap <= 2 * WINDOW
-        u, v = np.nonzero(tally >= least)
-        u += at
+        u, v = np.nonzero((tally >= least) & inside)
+        u, v = u + at, v + lo
         if same:
             u, v = u[u < v], v[u < v]
         yield u, v
 
 
-def _tile(table: pa.Table, cosine: float, least: int) -> pa.Table:
+def _bucket(table: pa.Table, cosine: float, least: int, masks: np.ndarray) -> pa.Table:
     table = table.combine_chunks()
-    node, times, block = table["node"].to_numpy(), table["times"].to_numpy(), table["block"].to_numpy()
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    lengths = np.array([len(x) for x in table["unit"]])
-    dims = lengths.max()
-    fit = lengths == dims
-    vectors = np.zeros((len(node), dims))
-    flat = table["unit"].combine_chunks() if isinstance(table["unit"], pa.ChunkedArray) else table["unit"]
-    if fit.all():
-        vectors = flat.values.to_numpy()[: len(node) * dims].reshape(-1, dims)
-    else:
-        for k, x in enumerate(flat.to_pylist()):
-            vectors[k, : len(x)] = x
+    t, i, j = table["t"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
+    lead, dims = t % PROJECTIONS, table["dims"][0].as_py()
+    vectors = _matrix(table["vector"])
+    cells = np.clip(np.floor(vectors @ _directions(dims)[:, :PROJECTIONS] / CELL) + 128, 0, 255).astype(np.uint8)
+    order = np.argsort(cells[:, lead], kind="stable")
+    vectors, cells = vectors[order], np.ascontiguousarray(cells[order].T)
+    node, times, block = (table[c].to_numpy()[order] for c in ("node", "times", "block"))
+    sides = np.stack([table[c].to_numpy()[order] for c in ("s0", "s1")], axis=1).view(np.uint64)
     mine, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
     label, count = np.arange(len(node)), np.zeros(len(node), np.int64)
     us, vs = [], []
-    for u, v in _candidates(vectors[mine], vectors[other], i == j, least):
+    for u, v in _meeting(cells[:, mine], cells[:, other], lead, i == j, least):
         for at in range(0, len(u), 1 << 16):
             x, y = mine[u[at : at + (1 << 16)]], other[v[at : at + (1 << 16)]]
-            near = (np.einsum("nd,nd->n", vectors[x], vectors[y]) >= cosine) & (lengths[x] == lengths[y])
+            near = np.einsum("nd,nd->n", vectors[x], vectors[y]) >= cosine
             x, y = x[near], y[near]
+            differ = sides[x] ^ sides[y]
+            fresh = ~(differ & masks[t]).any(axis=1)
+            for e in range(t):
+                if len(x):
+                    met = ~(differ & masks[e]).any(axis=1)
+                    p = e % PROJECTIONS
+                    fresh &= ~(met & (np.abs(cells[p, x].astype(np.int16) - cells[p, y]) <= WINDOW))
+            x, y = x[fresh], y[fresh]
             np.add.at(count, x, times[y])
             np.add.at(count, y, times[x])
             us.append(x)
@@ -124,6 +174,22 @@ def _tile(table: pa.Table, cosine: float, least: int) -> pa.Table:
     return pa.table({"node": pa.array(node[some]), "root": pa.array(node[label[some]]), "links": pa.array(count[some])})
 
 
+def buckets(distinct: DataFrame, masks: np.ndarray) -> DataFrame:
+    """Each vector in its bucket of each table; t, bucket, i and j name a task's work:
+    a whole bucket, or a pair of blocks of a long one."""
+    signed = masks.view(np.int64)
+    read = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(int(a)).alias("m0"), F.lit(int(b)).alias("m1")) for t, (a, b) in enumerate(signed)])
+    rows = distinct.withColumn("m", F.explode(read)).withColumn("bucket", F.xxhash64(F.col("s0").bitwiseAND(F.col("m.m0")), F.col("s1").bitwiseAND(F.col("m.m1"))))
+    rows = rows.select("node", "times", "vector", "dims", "s0", "s1", F.col("m.t").alias("t"), "bucket")
+    key = ["dims", "t", "bucket"]
+    long = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    long = common.materialize(long.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long-buckets")
+    told = rows.join(F.broadcast(long) if long.count() <= MOST_LONG else long.hint("merge"), key, "left")
+    told = told.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    told = told.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return told.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "blocks")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -133,25 +199,26 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     as a component's id; a component of null ids alone has a null id and is not kept.
     Other columns are not read.  An empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    units = common.materialize(rows.mapInArrow(_unit, "vec_id long, unit array<double>, lead double"), "units")
-    distinct = units.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("times"), F.first("lead").alias("lead"))
-    distinct = common.materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    blocks = max(1, -(-distinct.count() // BLOCK))
-    sorted_ = common.materialize(distinct.repartitionByRange(blocks, "lead", "node").withColumn("block", F.spark_partition_id()), "sorted")
-    names = [r["block"] for r in sorted_.select("block").distinct().orderBy("block").collect()]
-    tiles = sorted_.select("node", "times", "unit", "block", F.explode(F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<int>")).alias("other"))
-    tiles = tiles.select("node", "times", "unit", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    least = least_count(cosine)
-    found = common.materialize(tiles.groupBy("i", "j").applyInArrow(lambda t: _tile(t, cosine, least), "node long, root long, links long"), "collisions")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    raw = F.col("embedding").cast(kind)
+    finite = F.forall(raw, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # nan is greater
+    sound = F.coalesce(finite & F.exists(raw, lambda x: x != 0), F.lit(False))
+    units = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, raw).alias("vector"))
+    distinct = units.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("times"))
+    distinct = distinct.withColumns({"node": F.monotonically_increasing_id(), "dims": F.size("vector")})
+    distinct = common.materialize(distinct.mapInArrow(_sided, f"vector {kind}, least_id long, times long, node long, dims int, s0 long, s1 long"), "vectors")
+    rows, n = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
+    masks, least = _masks(tables(max(0, math.ceil(math.log2(max(1, n) / PARTNERS))), cosine)), least_count(cosine)
+    dealt = buckets(distinct, masks).groupBy("dims", "t", "bucket", "i", "j")
+    found = common.materialize(dealt.applyInArrow(lambda b: _bucket(b, cosine, least, masks), "node long, root long, links long"), "collisions")
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = sorted_.select("node", "least_id", "times", "unit").join(groups, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    nodes = nodes.join(named, "component").select("unit", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("component_id"))
-    linked = units.where("unit is not null").select("vec_id", "unit").join(nodes, "unit").select("vec_id", "n_links", "component_id")
-    alone = units.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    nodes = distinct.select("node", "least_id", "times", "vector").join(groups, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = common.materialize(nodes, "linked")
+    named = common.materialize(nodes.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")
+    nodes = common.met(nodes, named, "component", "members", n).select("vector", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
+    linked = common.met(units.where("vector is not null"), nodes, "vector", "times", rows).select("vec_id", "n_links", "component_id")
+    alone = units.where("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -244,7 +244,8 @@ def test_near_vectors_match_brute_force(spark):
     assert embedding_dedup.near_vectors(df.where("false")).count() == 0
 
 
-def test_collision_count_reaches_its_recall():
+def test_collision_count_and_tables_reach_their_recall():
+    """Pairs at the threshold: enough windows collide, and a table brings them together."""
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -252,5 +253,34 @@ def test_collision_count_reaches_its_recall():
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.9 * x + math.sqrt(1 - 0.81) * z
-    near = np.abs(embedding_dedup._cells(x).astype(int) - embedding_dedup._cells(y).astype(int)) <= embedding_dedup.WINDOW
-    assert (near.sum(axis=1) >= embedding_dedup.least_count()).mean() > 0.98
+    a, b = (v @ embedding_dedup._directions(64) for v in (x, y))
+    p = embedding_dedup.PROJECTIONS
+    near = np.abs(np.floor(a[:, :p] * 16) - np.floor(b[:, :p] * 16)) <= embedding_dedup.WINDOW
+    counted = near.sum(axis=1) >= embedding_dedup.least_count()
+    same = (a[:, p:] > 0) == (b[:, p:] > 0)
+    for k in (0, 3, 6):
+        sides = embedding_dedup.tables(k)
+        met = np.any([same[:, row].all(axis=1) & near[:, t % p] for t, row in enumerate(sides)], axis=0)
+        assert (counted & met).mean() > 0.98
+
+
+def test_near_vectors_in_many_tables(spark, monkeypatch):
+    """Small buckets, many tables, blocks: links and counts as by brute force, and far
+    fewer pairs compared than there are."""
+    monkeypatch.setattr(embedding_dedup, "PARTNERS", 32)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1500, 64))
+    crowd = base[:1] + rng.normal(size=(250, 64)) * 0.1
+    rows = np.vstack((base, base[:300] + rng.normal(size=(300, 64)) * 0.3, crowd)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>").repartition(3)
+    x = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    close = x @ x.T >= 0.9
+    np.fill_diagonal(close, False)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    want = close.sum(axis=1)
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.995 * want.sum()
+
+    n, sides = len(rows), embedding_dedup.tables(6)
+    signs = (x @ embedding_dedup._directions(64))[:, embedding_dedup.PROJECTIONS :] > 0
+    pairs = sum(m * (m - 1) // 2 for row in sides for m in np.unique(signs[: 1500][:, row], axis=0, return_counts=True)[1])
+    assert len(sides) < 40 and pairs < 0.4 * 1500 * 1499 / 2
