@@ -33,7 +33,8 @@ _HEX = re.compile(rb"[0-9a-f]{16,}")
 _GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})")
-_PEM = re.compile(rb"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----[A-Za-z0-9+/=\s]{16,}?-----END \1-----")
+_JWT_RUN = re.compile(rb"eyJ[A-Za-z0-9_-]*")
+_PEM = re.compile(rb"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,6 +54,20 @@ def _is_jwt(header: bytes) -> bool:
         return False
 
 
+def _is_key(body: bytes) -> bool:
+    """Base64 of one DER sequence of just that length, or of an OpenSSH key."""
+    try:
+        der = base64.b64decode(b"".join(body.split()), validate=True)
+    except ValueError:
+        return False
+    if der.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(der) < 2 or der[0] != 0x30:
+        return False
+    more = der[1] & 0x7F if der[1] & 0x80 else 0
+    return len(der) == 2 + more + (int.from_bytes(der[2 : 2 + more], "big") if more else der[1])
+
+
 def _anchored(kind: int, text: bytes, at: int):
     """(end, holds) of the expression of a kind anchored at a hit, or None."""
     if kind == 0:
@@ -66,9 +81,13 @@ def _anchored(kind: int, text: bytes, at: int):
         return m and (m.end(), base62_crc32(m[1]) == m[2].decode())
     if kind == 5:
         m = _JWT.match(text, at)
-        return m and (m.end(), _is_jwt(m[1]))
+        if m:
+            return m.end(), _is_jwt(m[1])
+        # What fails here fails for every later hit in the same run of characters.
+        run = _JWT_RUN.match(text, at)
+        return run and (run.end(), False)
     m = _PEM.match(text, at)
-    return m and (m.end(), True)
+    return m and (m.end(), _is_key(m[2]))
 
 
 def automaton():
