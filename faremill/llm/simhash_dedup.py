@@ -199,12 +199,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     prints = common.materialize(fingerprints(docs), "simhash")
-    nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
+    nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("times")), "nodes")
+    total, distinct = nodes.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
     found = connected_components(links(nodes)).withColumnRenamed("node", "fp")
     nodes = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    nodes = nodes.join(named, "component").select("fp", "component_id")
-    return prints.join(nodes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = common.materialize(nodes, "linked")
+    named = common.materialize(nodes.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), "components")
+    nodes = common.met(nodes, named, "component", "members", distinct).select("fp", "times", "component_id")
+    return common.met(prints, nodes, "fp", "times", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
