@@ -6,7 +6,7 @@ source.  A piece starts at the least residual that holds it and moves on to the
 larger one until a bin takes it: its cluster is not there yet and its source has a
 slot left.  Otherwise it opens a bin.
 
-Pieces are dealt at random to shards of about ``SHARD`` pieces, packed on their own
+Pieces are dealt by a hash of what they are (reruns agree) to shards of about ``SHARD`` pieces, packed on their own
 and largest first, so any number of documents packs in parallel, and the bins that a
 shard leaves open are few against those it fills.
 """
@@ -70,10 +70,10 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def _pack(table: pa.Table, capacity: int, slots: int) -> pa.Table:
     size, doc = table["n_words"].to_numpy(), np.array(table["doc_id"].fill_null(-(2**63)).to_numpy())
-    order = np.lexsort((table["row"].to_numpy(), table["piece"].to_numpy(), doc, -size))
-    table = table.take(pa.array(order))
-    size = table["n_words"].to_numpy()
     names, source = np.unique(np.array(["\0" if x is None else "s" + x for x in table["source"].to_pylist()], dtype=object), return_inverse=True)
+    order = np.lexsort((table["nth"].to_numpy(), table["piece"].to_numpy(), table["cluster"].to_numpy(), source, doc, -size))
+    table, source = table.take(pa.array(order)), source[order]
+    size = table["n_words"].to_numpy()
     _, cluster, times = np.unique(table["cluster"].to_numpy(), return_inverse=True, return_counts=True)
     bit = np.full(len(times), -1)
     bit[times > 1] = np.arange(int((times > 1).sum()))
@@ -92,23 +92,21 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, slots: int = SLOTS) -> Dat
     cluster (equal texts up to the case of A-Z, and the pieces of one text), or more
     than ``slots`` pieces of one source; null is a source of its own.  Null and empty
     texts have one piece without words and no bin.  A repeated row is packed like any
-    other of its cluster; a null doc_id stays null.  Other columns are not read.  An
+    other of its cluster; reruns give the same bins; a null doc_id stays null.  Other columns are not read.  An
     empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     sized = common.materialize(rows.mapInArrow(_sized, "doc_id long, source string, size long, cluster long"), "sized")
-    pieces = sized.withColumn("row", F.monotonically_increasing_id()).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / capacity)).cast("int"))))
+    # Rows alike are told apart by a number, whichever of them comes first.
+    alike = sized.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("times"))
+    pieces = common.repeated(alike, "times", "nth").withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / capacity)).cast("int"))))
     pieces = pieces.withColumn("start_word", F.col("piece").cast("long") * capacity)
     pieces = pieces.withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("start_word")))
-    shards = max(1, -(-sized.count() // SHARD))
-    dealt = pieces.where("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
-    # Full pieces need no search: a bin each.
-    full = dealt.where(F.col("n_words") == capacity)
-    part = dealt.where(F.col("n_words") < capacity)
-    placed = part.groupBy("shard").applyInArrow(lambda t: _pack(t, capacity, slots), "doc_id long, piece int, start_word long, n_words long, bin_id long, bin_words long")
-    alone = full.select("doc_id", "piece", "start_word", "n_words", (-1 - F.monotonically_increasing_id()).alias("bin_id"), F.col("n_words").alias("bin_words"))
+    shards = max(1, -(-int(sized.agg(F.sum(F.ceil(F.col("size") / capacity))).first()[0] or 0) // SHARD))
+    dealt = pieces.where("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "nth", "piece"), F.lit(shards)))
+    placed = dealt.groupBy("shard").applyInArrow(lambda t: _pack(t, capacity, slots), "doc_id long, piece int, start_word long, n_words long, bin_id long, bin_words long")
     empty = pieces.where("n_words = 0").select("doc_id", "piece", "start_word", "n_words", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_words"))
-    return placed.unionByName(alone).unionByName(empty)
+    return placed.unionByName(empty)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
