@@ -34,8 +34,10 @@ from . import common
 from .components import connected_components
 
 COSINE, RECALL = 0.9, 0.998
-PROJECTIONS, CELL, WINDOW, SIDES, RANDOM = 40, 1 / 16, 16, 128, 911
-PARTNERS, BLOCK, QUERIES = 1024, 4096, 256
+PROJECTIONS, CELL, WINDOW, SIDES, RANDOM = 40, 1 / 16, 16, 256, 911
+PARTNERS, BLOCK, QUERIES = 384, 4096, 256
+#: Columns of 64 sides each.
+WORDS = [f"s{k}" for k in range(SIDES // 64)]
 #: More long buckets than this are told by a shuffle, not a broadcast.
 MOST_LONG = 100_000
 
@@ -79,8 +81,8 @@ def tables(k: int, cosine: float = COSINE, recall: float = RECALL) -> np.ndarray
 
 
 def _masks(sides: np.ndarray) -> np.ndarray:
-    """Tables as pairs of 64-bit masks over the sides."""
-    out = np.zeros((len(sides), 2), dtype=np.uint64)
+    """Tables as 64-bit masks over the sides, one a word."""
+    out = np.zeros((len(sides), len(WORDS)), dtype=np.uint64)
     for t, row in enumerate(sides):
         for x in row:
             out[t, x // 64] |= np.uint64(1) << np.uint64(x % 64)
@@ -98,14 +100,14 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _sided(batches):
-    """The sides of each vector as two 64-bit words."""
+    """The sides of each vector as 64-bit words."""
     for batch in batches:
-        dims, words = batch["dims"].to_numpy(), np.zeros((batch.num_rows, 2), dtype=np.uint64)
+        dims, words = batch["dims"].to_numpy(), np.zeros((batch.num_rows, len(WORDS)), dtype=np.uint64)
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
             sides = (_matrix(batch["vector"].take(pa.array(at))) @ _directions(int(d))[:, PROJECTIONS:]) > 0
             words[at] = np.packbits(sides, axis=1, bitorder="little").view("<u8")
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in (0, 1)]], names=[*batch.schema.names, "s0", "s1"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(len(WORDS))]], names=[*batch.schema.names, *WORDS])
 
 
 def _meeting(ca: np.ndarray, cb: np.ndarray, lead: int, same: bool, least: int):
@@ -139,7 +141,7 @@ def _bucket(table: pa.Table, cosine: float, least: int, masks: np.ndarray) -> pa
     order = np.argsort(cells[:, lead], kind="stable")
     vectors, cells = vectors[order], np.ascontiguousarray(cells[order].T)
     node, times, block = (table[c].to_numpy()[order] for c in ("node", "times", "block"))
-    sides = np.stack([table[c].to_numpy()[order] for c in ("s0", "s1")], axis=1).view(np.uint64)
+    sides = np.stack([table[c].to_numpy()[order] for c in WORDS], axis=1).view(np.uint64)
     mine, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
     label, count = np.arange(len(node)), np.zeros(len(node), np.int64)
     us, vs = [], []
@@ -177,10 +179,9 @@ def _bucket(table: pa.Table, cosine: float, least: int, masks: np.ndarray) -> pa
 def buckets(distinct: DataFrame, masks: np.ndarray) -> DataFrame:
     """Each vector in its bucket of each table; t, bucket, i and j name a task's work:
     a whole bucket, or a pair of blocks of a long one."""
-    signed = masks.view(np.int64)
-    read = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(int(a)).alias("m0"), F.lit(int(b)).alias("m1")) for t, (a, b) in enumerate(signed)])
-    rows = distinct.withColumn("m", F.explode(read)).withColumn("bucket", F.xxhash64(F.col("s0").bitwiseAND(F.col("m.m0")), F.col("s1").bitwiseAND(F.col("m.m1"))))
-    rows = rows.select("node", "times", "vector", "dims", "s0", "s1", F.col("m.t").alias("t"), "bucket")
+    read = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(int(m)).alias(w) for m, w in zip(row, WORDS)]) for t, row in enumerate(masks.view(np.int64))])
+    rows = distinct.withColumn("m", F.explode(read)).withColumn("bucket", F.xxhash64(*[F.col(w).bitwiseAND(F.col(f"m.{w}")) for w in WORDS]))
+    rows = rows.select("node", "times", "vector", "dims", *WORDS, F.col("m.t").alias("t"), "bucket")
     key = ["dims", "t", "bucket"]
     long = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     long = common.materialize(long.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long-buckets")
@@ -206,7 +207,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     units = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, raw).alias("vector"))
     distinct = units.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("times"))
     distinct = distinct.withColumns({"node": F.monotonically_increasing_id(), "dims": F.size("vector")})
-    distinct = common.materialize(distinct.mapInArrow(_sided, f"vector {kind}, least_id long, times long, node long, dims int, s0 long, s1 long"), "vectors")
+    distinct = common.materialize(distinct.mapInArrow(_sided, f"vector {kind}, least_id long, times long, node long, dims int, " + ", ".join(f"{w} long" for w in WORDS)), "vectors")
     rows, n = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
     masks, least = _masks(tables(max(0, math.ceil(math.log2(max(1, n) / PARTNERS))), cosine)), least_count(cosine)
     dealt = buckets(distinct, masks).groupBy("dims", "t", "bucket", "i", "j")

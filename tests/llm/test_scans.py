@@ -59,10 +59,13 @@ def test_tokens_with_checksums():
     npm = "npm_" + good[4:]
     head = base64.urlsafe_b64encode(json.dumps({"alg": "none", "typ": "JWT"}).encode()).decode().rstrip("=")
     jwt = f"{head}.{'a' * 12}.{'b' * 12}"
-    pem = "-----BEGIN PRIVATE KEY-----\n" + "QUJD" * 8 + "\n-----END PRIVATE KEY-----"
+    armour = lambda der: "-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(der).decode() + "\n-----END PRIVATE KEY-----"
+    pem = armour(b"\x30\x82\x01\x00" + b"k" * 256)
     kinds = lambda t: [secret_scan.KINDS[k] for _, k, _ in secret_scan.scan(t.encode(), secret_scan.automaton())]
     assert kinds(f"x {good} y") == ["github"] and kinds(bad) == [] and kinds(npm) == ["npm"]
     assert kinds(jwt) == ["jwt"] and kinds("eyJhbGci.aaaaaaaaaaaa.bbbbbbbbbbbb") == [] and kinds(pem) == ["pem"]
+    assert kinds(armour(b"openssh-key-v1\0" + b"k" * 40)) == ["pem"] and kinds(armour(b"\x30\x20" + b"k" * 32)) == ["pem"]
+    assert kinds(armour(b"ABC" * 8)) == [] and kinds(armour(b"\x30\x82\x01\x00" + b"k" * 255)) == []
 
 
 def test_checksums_and_context_of_personal_data():
@@ -73,8 +76,17 @@ def test_checksums_and_context_of_personal_data():
     assert pii.score(near, pii.propose(near)[-1]) > pii.score(plain, pii.propose(plain)[-1])
 
 
+def test_ibans_among_capitals_and_whole_context_words():
+    kinds = lambda t: [pii.KINDS[k] for _, k, _ in pii.propose(t)]
+    assert kinds(b"IBAN GB82WEST12345698765432 USD 500") == ["iban"] and kinds(b"GB82 WEST 1234 5698 7654 32 BIC COBADEFF") == ["iban"]
+    assert kinds(b"IBAN GB82WEST12345698765431") == [] and kinds(b"XGB82WEST12345698765432") == [] and kinds(b"GB82WEST12345698765432X") == []
+    at = lambda t: pii.score(t, pii.propose(t)[0])
+    assert at(b"the ship 10.0.0.1 sails") == at(b"10.0.0.1") < at(b"the ip 10.0.0.1") == at(b"10.0.0.1 is the server")
+    assert at(b"x" * 60 + b"ship " + b"-" * 37 + b" 10.0.0.1") == at(b"10.0.0.1")
+
+
 def test_long_runs_are_read_once():
-    for unit in ("a", "1", "1.", "ab@", "+1 ", "password ", "AKIA", "0 "):
+    for unit in ("a", "1", "1.", "ab@", "+1 ", "password ", "AKIA", "0 ", "eyJ", "eyJa1b2c3d4.", "eyJ" + "a" * 60 + ".b.", "GB82", "-----BEGIN PRIVATE KEY-----\nQUJD"):
         text = (unit * (400_000 // len(unit))).encode()
         pii.propose(text)
         secret_scan.scan(text, secret_scan.automaton())

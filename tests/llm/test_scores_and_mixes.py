@@ -1,5 +1,6 @@
 """Operators 2, 6, 9 and 10, and the pipeline."""
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -48,6 +49,32 @@ def test_held_out_accuracy(learned, score, column, folds, held):
     assert len(out) > 100 and np.mean([got[t[0]].predicted == t[column] for t in out]) > 0.95
 
 
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_toxic_documents_that_were_not_taught_are_caught(spark, monkeypatch):
+    """The label model does not fall below the given labels, and both catch nine in ten."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+
+    def caught():
+        rows = [r for r in toxicity.toxicity_scores(docs, labels).where("held_out").collect() if truth.get(r.doc_id) is not None]
+        hit, said, there = (sum(x) for x in zip(*[(r.predicted * truth[r.doc_id], r.predicted, truth[r.doc_id]) for r in rows]))
+        assert len(rows) > 900 and there > 100
+        return hit / there, hit / said
+
+    recall, precision = caught()
+    monkeypatch.setattr(toxicity, "label_model", lambda fires, y: (y.astype(float), None, None, None))
+    plain = caught()
+    assert recall >= 0.9 and precision >= 0.9 and recall >= plain[0] - 0.01
+
+
+def test_voters_that_fire_alike_are_merged():
+    x = np.array([[1, 1, 0, 0, 1], [1, 1, 1, 0, 0], [1, 1, 0, 0, 0], [0, 0, 1, 0, 1]], dtype=np.float32)
+    assert toxicity.merged(x) == [0, 2, 4]
+
+
 def test_held_out_labels_teach_nothing(learned, spark):
     """Scores stay as they are when the held-out labels turn around."""
     docs, labels, _ = learned
@@ -247,3 +274,8 @@ def test_every_operator_is_registered():
     found = {q.split("_")[0] for q in queries.QUERIES}
     assert found == {f"op{n}" for n in range(1, 11)} | {"pipeline"} and set(queries.ORACLES) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "simhash_dedup", "source_mix", "packing"]
+
+
+def test_packing_reruns_agree(spark, odd):
+    runs = [sorted(map(repr, packing.packed(odd.repartition(n), 100, 2).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1]
