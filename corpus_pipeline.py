@@ -60,9 +60,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are in no budget and go."""
     keyed = _keyed(docs)
     taken = mixed(keyed).where("taken > 0").select("doc_id", "size", "taken")
-    rows = keyed.join(taken.hint("merge"), "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rows = keyed.select("doc_id", "row").join(taken.hint("merge"), "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
     rows = rows.withColumn("cut", F.when(words < F.col("size"), head))
     out = []
     for c in docs.columns:
