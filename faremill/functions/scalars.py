@@ -22,6 +22,7 @@ COMPONENT_TOLERANCE = 1.00
 EXPECTED_SOURCES = ("AirlineSite", "Cleartrip", "Goibibo", "MMT")
 SEVERITIES = ("NONE", "INFO", "REVIEW", "HIGH")
 MISSING_MARKER = "<MISSING>"
+RETRIED, MOST_ATTEMPTS = (408, 425, 500, 502, 503, 504), 3
 PRICE_UNITS = {"PRICE_UNIT_WHOLE": 1, "PRICE_UNIT_CENTI": 100, "PRICE_UNIT_MILLI": 1000, "PRICE_UNIT_MICRO": 1000000}
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
@@ -244,22 +245,35 @@ def source_coverage(n: Column) -> Column:
 
 
 def legacy_fees(aggregate: Column, parts: list[Column]) -> Column:
-    """The disclosed aggregate, else the sum of the parts where all are disclosed."""
-    return F.coalesce(aggregate, reduce(lambda a, b: a + b, parts))
-
-
-def retry(status: Column, attempt: Column, blocked: Column) -> Column:
-    """struct(outcome, wait_seconds) of a request: at most three attempts."""
-    transient = (status == 408) | (status == 425) | (status == 429) | status.between(500, 599)
-    wait = F.when(attempt == 1, 30).when(attempt == 2, 120)
+    """struct(fees, basis): the disclosed aggregate, else the sum of the parts where all
+    are disclosed."""
+    total = reduce(lambda a, b: a + b, parts)
+    basis = F.when(aggregate.isNotNull(), "SOURCE_AGGREGATE").when(total.isNotNull(), "SUM_OF_DISCLOSED_COMPONENTS").otherwise("NOT_DERIVED_UNDISCLOSED_COMPONENTS")
+    return F.struct(F.coalesce(aggregate, total).alias("fees"), basis.alias("basis"))
+
+
+def retry(status: Column, attempt: Column, blocked: Column, retry_after: Column) -> Column:
+    """struct(outcome, wait_seconds) of a request: at most three attempts.  Too many
+    requests (429) are only retried where the answer says after how many seconds."""
+    wait = F.coalesce(retry_after, F.when(attempt == 1, 30).when(attempt == 2, 120))
+    again = F.coalesce(status.isin(*RETRIED), F.lit(False)) | ((status == 429) & retry_after.isNotNull())
+    out = lambda name, seconds: F.struct(F.lit(name).alias("outcome"), seconds.cast("int").alias("wait_seconds"))
     return (
-        F.when(blocked, F.struct(F.lit("BLOCKED").alias("outcome"), F.lit(None).cast("int").alias("wait_seconds")))
-        .when(status.between(200, 299), F.struct(F.lit("SUCCESS").alias("outcome"), F.lit(None).cast("int").alias("wait_seconds")))
-        .when(transient & (attempt < 3), F.struct(F.lit("RETRY").alias("outcome"), wait.alias("wait_seconds")))
-        .otherwise(F.struct(F.lit("FAILED").alias("outcome"), F.lit(None).cast("int").alias("wait_seconds")))
+        F.when(blocked, out("COMPLIANCE_BLOCK", F.lit(0)))
+        .when(status.between(200, 299), out("SUCCESS", F.lit(0)))
+        .when(again & (attempt < MOST_ATTEMPTS), out("RETRYABLE", wait))
+        .otherwise(out("PERMANENT_FAILURE", F.lit(0)))
     )
 
 
+def fare_class_of(raw: Column, mappings: dict[str, str], known: tuple[str, ...]) -> Column:
+    """struct(value, action, is_known): a source's name of a class, mapped exactly."""
+    table = F.create_map(*[F.lit(x) for kv in mappings.items() for x in kv])
+    value = F.element_at(table, F.trim(raw))
+    good = F.coalesce(value.isin(*known), F.lit(False))
+    return F.struct(F.when(good, value).otherwise(F.coalesce(F.trim(raw), F.lit(""))).alias("value"), F.when(good, "MAPPED").otherwise("UNKNOWN_FARE_CLASS").alias("action"), good.alias("is_known"))
+
+
 def unit_price(amount: Column, unit: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in PRICE_UNITS.items() for x in kv])
     return (amount.cast("double") / F.element_at(table, unit)).cast("decimal(18,2)")
@@ -339,5 +353,10 @@ def downgrade(r: Column) -> Column:
     return F.when(r >= 2, F.greatest(r - 1, F.lit(1))).otherwise(r)
 
 
+def capped(r: Column, ceiling: Column) -> Column:
+    """A rank that never exceeds the ceiling's."""
+    return F.least(r, ceiling)
+
+
 def market_class(sources: Column, flights: Column) -> Column:
     return F.when((sources >= 2) & (flights >= 2), "COHERENT").otherwise("ISOLATED")

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 #: The least number of pairs of each metric.
-MINIMUM = {"LEVEL_DIFFERENCE": 1, "MAE": 6, "RMSE": 6, "BIAS": 6, "MAPE": 6, "DIRECTION": 6, "PEARSON": 12, "SPEARMAN": 12, "VOLATILITY_RATIO": 12, "TURNING_POINTS": 12, "PEAK_GAP": 12, "LEAD_MINUS_1": 18, "LEAD_0": 18, "LEAD_PLUS_1": 18}
+MINIMUM = {
+    "LEVEL_DIFFERENCE": 1, "MAE": 6, "RMSE": 6, "BIAS": 6, "MAPE": 6, "DIRECTION": 6, "PEARSON": 12, "SPEARMAN": 12, "SD_INDEX": 12, "SD_REFERENCE": 12,
+    "VOLATILITY_RATIO": 12, "TURNING_AGREEMENT": 12, "PEAK_TIMING": 12, "YOY": 12, "LEAD_MINUS_1": 18, "LEAD_0": 18, "LEAD_PLUS_1": 18,
+}
+#: These are of levels, and their sample is the months; the others are of changes.
+LEVELS = ("LEVEL_DIFFERENCE", "MAPE", "PEAK_TIMING")
 LEAST_DISTINCT = 3
 
 
@@ -32,9 +37,9 @@ def pairs(comparison: DataFrame) -> DataFrame:
     m = comparison.where("match_status = 'MATCHED_COMPLETE_MONTH'")
     line = Window.orderBy("month")
     for name, source in (("a", "level"), ("b", "reference_level")):
-        m = m.withColumn(name, 100 * F.col(source) / F.first(source).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        m = m.withColumn(name, 100 * S.over(F.col(source), F.first(source).over(line.rowsBetween(Window.unboundedPreceding, 0))))
     for name in ("a", "b"):
-        m = m.withColumn(f"d{name}", 100 * (F.col(name) / F.lag(name).over(line) - 1))
+        m = m.withColumn(f"d{name}", 100 * S.relative_change(F.lag(name).over(line), F.col(name)))
     next_month = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM") == F.lead("month").over(line)
     return m.withColumn("gap_after", ~F.coalesce(next_month, F.lit(True)))
 
@@ -46,34 +51,53 @@ def _ranked(df: DataFrame, name: str) -> DataFrame:
 
 def metrics(matched: DataFrame) -> DataFrame:
     """(metric, sample, required, value, status): a value only where the sample and its
-    variety suffice.  The pairs are months, so these aggregates are small."""
+    variety suffice.  The pairs are months, so these aggregates are small.
+
+    MAPE is of rebased levels, whose reference must be positive; TURNING_AGREEMENT is
+    the share of changes at which both series turn, or neither; PEAK_TIMING the months
+    by which the index peaks after the reference (the first peak of either); YOY the
+    mean absolute difference of the changes over a year.
+    """
     line = Window.orderBy("month")
-    m = _ranked(_ranked(matched.where("da is not null"), "da"), "db")
+    number = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")
+    year = matched.select((number + 12).alias("_i"), F.col("a").alias("ya"), F.col("b").alias("yb"))
+    m = matched.withColumn("_i", number).join(year, "_i", "left")
+    m = _ranked(_ranked(m.where("da is not null"), "da"), "db")
     m = m.withColumns({"lead_b": F.lead("db").over(line), "lag_b": F.lag("db").over(line), "prev_a": F.lag("da").over(line), "prev_b": F.lag("db").over(line)})
     e = F.col("da") - F.col("db")
     varied = (F.count_distinct("da") >= LEAST_DISTINCT) & (F.count_distinct("db") >= LEAST_DISTINCT)
-    turn = lambda x: F.count_if(F.signum(x) * F.signum(f"prev_{x[1]}") < 0)
+    turn = lambda x: F.signum(f"d{x}") * F.signum(f"prev_{x}") < 0
     values = {
         "MAE": F.avg(F.abs(e)),
         "RMSE": F.sqrt(F.avg(e * e)),
         "BIAS": F.avg(e),
-        "MAPE": F.avg(F.abs(e / F.nullif("db", F.lit(0.0)))) * 100,
         "DIRECTION": 100 * F.avg((F.signum("da") == F.signum("db")).cast("double")),
         "PEARSON": F.when(varied, F.corr("da", "db")),
         "SPEARMAN": F.when(varied, F.corr("rda", "rdb")),
-        "VOLATILITY_RATIO": F.stddev_samp("da") / F.nullif(F.stddev_samp("db"), F.lit(0.0)),
-        "TURNING_POINTS": (turn("da") - turn("db")).cast("double"),
-        "PEAK_GAP": F.max("a") - F.max("b"),
+        "SD_INDEX": F.stddev_samp("da"),
+        "SD_REFERENCE": F.stddev_samp("db"),
+        "VOLATILITY_RATIO": S.over(F.stddev_samp("da"), F.stddev_samp("db")),
+        "TURNING_AGREEMENT": 100 * F.avg((turn("a") == turn("b")).cast("double")),
+        "YOY": F.avg(F.abs(100 * S.relative_change(F.col("ya"), F.col("a")) - 100 * S.relative_change(F.col("yb"), F.col("b")))),
         "LEAD_MINUS_1": F.when(varied, F.corr("da", "lag_b")),
         "LEAD_0": F.when(varied, F.corr("da", "db")),
         "LEAD_PLUS_1": F.when(varied, F.corr("da", "lead_b")),
     }
-    row = m.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in values.items()])
-    tall = row.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(MINIMUM[k]).cast("long").alias("required"), F.col(k).alias("raw")) for k in values])).alias("x")).select("n", "x.*")
-    level = matched.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("a") - F.col("b")).alias("raw")).select("n", F.lit("LEVEL_DIFFERENCE").alias("metric"), F.lit(1).cast("long").alias("required"), "raw")
-    tall = tall.unionByName(level)
+    peak = lambda x: -F.max(F.struct(F.col(x), (-number).alias("i")))["i"]
+    positive = F.when(F.min("b") <= 0, F.raise_error(F.lit("MAPE needs positive reference levels")).cast("double"))
+    levels = {
+        "LEVEL_DIFFERENCE": F.avg(F.col("a") - F.col("b")),
+        "MAPE": F.coalesce(positive, 100 * F.avg(F.abs(S.over(F.col("a") - F.col("b"), F.col("b"))))),
+        "PEAK_TIMING": (peak("a") - peak("b")).cast("double"),
+    }
+
+    def tall(rows, exprs):
+        row = rows.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in exprs.items()])
+        return row.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(MINIMUM[k]).cast("long").alias("required"), F.col(k).alias("raw")) for k in exprs])).alias("x")).select("n", "x.*")
+
+    out = tall(m, values).unionByName(tall(matched, levels))
     enough = F.col("n") >= F.col("required")
-    return tall.select("metric", F.col("n").alias("sample"), "required", F.when(enough, F.round("raw", 6)).alias("value"), F.when(~enough, "INSUFFICIENT_SAMPLE").when(F.col("raw").isNull(), "UNDEFINED").otherwise("COMPUTED").alias("status"))
+    return out.select("metric", F.col("n").alias("sample"), "required", F.when(enough, F.round("raw", 6)).alias("value"), F.when(~enough, "INSUFFICIENT_SAMPLE").when(F.col("raw").isNull(), "UNDEFINED").otherwise("COMPUTED").alias("status"))
 
 
 def calendar_changes(series: DataFrame) -> DataFrame:

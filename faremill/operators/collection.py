@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+#: What a source's registry row must say before it may be queried.
+LIVE_MODES = ("AUTHORIZED_API", "AUTHORIZED_WEB_COLLECTION", "PERMITTED_PUBLIC_ENDPOINT")
+EVIDENCE = ("API_CONTRACT", "WRITTEN_PERMISSION", "PARTNER_ONBOARDING", "EXPLICITLY_PERMITTED_PUBLIC_ENDPOINT")
+TERMS_DAYS = 30
+PARTNER_SETTINGS = ("api_key", "authorization_reference", "terms_review_date", "terms_version", "terms_sha256", "retention_hours", "display_authorized")
 WINDOW_DAYS = {"T1": 1, "T7": 7, "T15": 15, "T30": 30, "T45": 45}
 
 
@@ -26,16 +31,64 @@ def query_matrix(basket: DataFrame, sources: DataFrame, collection_date: str, an
     return out.withColumn("query_id", S.stable_id("query", **{k: F.col(k).cast("string") for k in ("source_id", "origin", "destination", "window", "travel_date", "collection_round_id")}))
 
 
-def gate(registry: DataFrame, today: str, needs: tuple[str, ...]) -> DataFrame:
-    """All reasons why a source may not be queried: each flag of ``needs`` that is not
-    true, and an approval that is missing or out of date."""
-    flags = [F.when(~F.coalesce(F.lower(F.col(n).cast("string")) == "true", F.lit(False)), F.lit(f"NOT_{n.upper()}")) for n in needs]
-    until = S.date(F.col("approved_until").cast("string"))
-    late = F.when(until.isNull(), F.lit("APPROVAL_MISSING")).when(until < F.lit(today).cast("date"), F.lit("APPROVAL_EXPIRED"))
-    out = registry.withColumn("gate_failures", F.array_compact(F.array(*flags, late)))
+def gate(registry: DataFrame, today: str) -> DataFrame:
+    """All reasons why a source may not be queried, in a fixed order: gate_failures and
+    may_collect.  Blank and null fail every check but the expiry, which may be open."""
+    text = lambda n: F.coalesce(F.trim(F.col(n).cast("string")), F.lit(""))
+    day = F.lit(today).cast("date")
+    reviewed, expiry = S.date(text("terms_review_date")), S.date(text("authorization_expiry"))
+    absent = lambda n: ~text(n).isin("NO", "NOT_APPLICABLE")
+    checks = [
+        ("COLLECTION_MODE", ~text("collection_mode").isin(*LIVE_MODES)),
+        ("AUTHORIZATION_STATUS", text("authorization_status") != "APPROVED"),
+        ("AUTHORIZATION_EVIDENCE", ~text("authorization_evidence_type").isin(*EVIDENCE)),
+        ("ADAPTER_DISABLED", (text("allowed_automation") != "True") | (text("adapter_status") != "ENABLED")),
+        ("TERMS_NOT_APPROVED", text("terms_review_status") != "APPROVED"),
+        ("TERMS_DATE_MISSING", text("terms_review_date") == ""),
+        ("TERMS_REVIEW_INACTIVE", (text("terms_review_date") != "") & ~F.coalesce(F.datediff(day, reviewed).between(0, TERMS_DAYS), F.lit(False))),
+        ("AUTHORIZATION_EXPIRED", (text("authorization_expiry") != "") & F.coalesce(expiry < day, F.lit(True))),
+        ("TERMS_HASH_MISSING", text("terms_content_hash") == ""),
+        ("CAPTCHA", absent("captcha_present")),
+        ("BOT_PROTECTION", absent("bot_protection_present")),
+        ("RATE_LIMIT_UNKNOWN", text("rate_limit_policy").isin("", "UNKNOWN")),
+        ("MAXIMUM_REQUESTS_MISSING", text("maximum_requests_per_round") == ""),
+        ("HEALTH_CHECK", text("source_health_check") != "PASSED"),
+        ("DRY_RUN_FEASIBILITY", text("dry_run_schedule_feasibility") != "PASSED"),
+    ]
+    out = registry.withColumn("gate_failures", F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in checks])))
     return out.withColumn("may_collect", F.size("gate_failures") == 0)
 
 
+def partner_gate(settings: DataFrame, today: str) -> DataFrame:
+    """Why a partner's live prices may not be queried, the first reason only (null where
+    they may): one row a set of settings, all text."""
+    text = lambda n: F.coalesce(F.trim(F.col(n)), F.lit(""))
+    true = lambda n: F.lower(text(n)).isin("1", "true", "yes", "on")
+    reviewed, hours, expiry = S.date(text("terms_review_date")), text("retention_hours").try_cast("int"), text("authorization_expiry")
+    age = F.datediff(F.lit(today).cast("date"), reviewed)
+    missing = F.array_compact(F.array(*[F.when(text(n) == "", F.lit(n)) for n in PARTNER_SETTINGS]))
+    reason = (
+        F.when(F.size(missing) > 0, F.concat(F.lit("MISSING: "), F.array_join(missing, ", ")))
+        .when(~true("authorized"), "NOT_AUTHORIZED")
+        .when(~true("display_authorized"), "DISPLAY_NOT_AUTHORIZED")
+        .when(~text("terms_sha256").rlike("^[0-9a-fA-F]{64}$"), "TERMS_HASH_INVALID")
+        .when(reviewed.isNull() | hours.isNull(), "TERMS_DATE_OR_RETENTION_INVALID")
+        .when(~age.between(0, TERMS_DAYS), "TERMS_REVIEW_INACTIVE")
+        .when(hours < 1, "RETENTION_TOO_SHORT")
+        .when((expiry != "") & S.date(expiry).isNull(), "EXPIRY_INVALID")
+        .when(S.date(expiry) < F.lit(today).cast("date"), "AUTHORIZATION_EXPIRED")
+    )
+    return settings.withColumn("block_reason", reason)
+
+
+def checked_registry(registry: DataFrame, source_ids: tuple[str, ...]) -> DataFrame:
+    """The registry, once it holds exactly the required sources, each once."""
+    found = sorted(r[0] or "" for r in registry.select("source_id").limit(2 * len(source_ids) + 1).collect())
+    if found != sorted(source_ids):
+        raise ValueError(f"registry: {found} where {sorted(source_ids)} are required")
+    return registry
+
+
 def dry_run(matrix: DataFrame, gated: DataFrame) -> DataFrame:
     """An attempt for each planned query, blocked where the gate is shut."""
     g = gated.select("source_id", "may_collect", F.array_join("gate_failures", ";").alias("block_reason"))

@@ -42,14 +42,20 @@ def month_compare(spark, sf_dir):
 
 
 @query(
-    f"""WITH {MONTHS}, r AS (
-  SELECT count(*) AS n, avg(abs(da - db)) AS mae, sqrt(avg((da - db) * (da - db))) AS rmse, avg(da - db) AS bias, avg(abs((da - db) / nullif(db, 0))) * 100 AS mape, 100 * avg(CASE WHEN sign(da) = sign(db) THEN 1.0 ELSE 0.0 END) AS dir,
-    corr(da, db) AS p, corr(ra, rb) AS s, stddev_samp(da) / stddev_samp(db) AS v, count(*) FILTER (sign(da) * sign(pa) < 0) - count(*) FILTER (sign(db) * sign(pb) < 0) AS t, max(a) - max(b) AS pk, corr(da, pb) AS l1, corr(da, nb) AS l2 FROM m2
+    f"""WITH {MONTHS}, i AS (
+  SELECT *, CAST(substring(month, 1, 4) AS INTEGER) * 12 + CAST(substring(month, 6, 2) AS INTEGER) AS i FROM m1
+), y AS (
+  SELECT avg(abs(100 * (c.a / p.a - 1) - 100 * (c.b / p.b - 1))) AS yoy FROM i c JOIN i p ON p.i = c.i - 12 WHERE c.da IS NOT NULL
+), r AS (
+  SELECT count(*) AS n, avg(abs(da - db)) AS mae, sqrt(avg((da - db) * (da - db))) AS rmse, avg(da - db) AS bias, 100 * avg(CASE WHEN sign(da) = sign(db) THEN 1.0 ELSE 0.0 END) AS dir,
+    corr(da, db) AS p, corr(ra, rb) AS s, stddev_samp(da) AS sa, stddev_samp(db) AS sb, 100 * avg(CASE WHEN pa IS NULL THEN NULL WHEN (sign(da) * sign(pa) < 0) = (sign(db) * sign(pb) < 0) THEN 1.0 ELSE 0.0 END) AS t, corr(da, pb) AS l1, corr(da, nb) AS l2 FROM m2
+), l AS (
+  SELECT count(*) AS n, avg(a - b) AS gap, 100 * avg(abs(a - b) / b) AS mape, CAST((SELECT min(i) FROM i WHERE a = (SELECT max(a) FROM i)) - (SELECT min(i) FROM i WHERE b = (SELECT max(b) FROM i)) AS DOUBLE) AS pk FROM i
 ), x AS (
-  SELECT n, unnest([{{'metric': 'MAE', 'required': 6, 'raw': mae}}, {{'metric': 'RMSE', 'required': 6, 'raw': rmse}}, {{'metric': 'BIAS', 'required': 6, 'raw': bias}}, {{'metric': 'MAPE', 'required': 6, 'raw': mape}}, {{'metric': 'DIRECTION', 'required': 6, 'raw': dir}},
-    {{'metric': 'PEARSON', 'required': 12, 'raw': p}}, {{'metric': 'SPEARMAN', 'required': 12, 'raw': s}}, {{'metric': 'VOLATILITY_RATIO', 'required': 12, 'raw': v}}, {{'metric': 'TURNING_POINTS', 'required': 12, 'raw': CAST(t AS DOUBLE)}}, {{'metric': 'PEAK_GAP', 'required': 12, 'raw': pk}},
-    {{'metric': 'LEAD_MINUS_1', 'required': 18, 'raw': l1}}, {{'metric': 'LEAD_0', 'required': 18, 'raw': p}}, {{'metric': 'LEAD_PLUS_1', 'required': 18, 'raw': l2}}], recursive := true) FROM r
-  UNION ALL SELECT count(*), 'LEVEL_DIFFERENCE', 1, avg(a - b) FROM m1
+  SELECT n, unnest([{{'metric': 'MAE', 'required': 6, 'raw': mae}}, {{'metric': 'RMSE', 'required': 6, 'raw': rmse}}, {{'metric': 'BIAS', 'required': 6, 'raw': bias}}, {{'metric': 'DIRECTION', 'required': 6, 'raw': dir}},
+    {{'metric': 'PEARSON', 'required': 12, 'raw': p}}, {{'metric': 'SPEARMAN', 'required': 12, 'raw': s}}, {{'metric': 'SD_INDEX', 'required': 12, 'raw': sa}}, {{'metric': 'SD_REFERENCE', 'required': 12, 'raw': sb}}, {{'metric': 'VOLATILITY_RATIO', 'required': 12, 'raw': sa / sb}},
+    {{'metric': 'TURNING_AGREEMENT', 'required': 12, 'raw': t}}, {{'metric': 'YOY', 'required': 12, 'raw': yoy}}, {{'metric': 'LEAD_MINUS_1', 'required': 18, 'raw': l1}}, {{'metric': 'LEAD_0', 'required': 18, 'raw': p}}, {{'metric': 'LEAD_PLUS_1', 'required': 18, 'raw': l2}}], recursive := true) FROM r, y
+  UNION ALL SELECT n, unnest([{{'metric': 'LEVEL_DIFFERENCE', 'required': 1, 'raw': gap}}, {{'metric': 'MAPE', 'required': 6, 'raw': mape}}, {{'metric': 'PEAK_TIMING', 'required': 12, 'raw': pk}}], recursive := true) FROM l
 ) SELECT metric, n AS sample, CAST(required AS BIGINT) AS required, CASE WHEN n >= required THEN round(raw, 6) END AS value, CASE WHEN n < required THEN 'INSUFFICIENT_SAMPLE' WHEN raw IS NULL THEN 'UNDEFINED' ELSE 'COMPUTED' END AS status FROM x"""
 )
 def backtest_metrics(spark, sf_dir):

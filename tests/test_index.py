@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from faremill.operators import anomaly, backtest, basket, collection, dashboard, index, routes
+from faremill.operators import anomaly, backtest, basket, collection, consolidation, dashboard, index, routes
 from faremill.sources import tables
 
 CELL = "consolidation_cell_id string, origin string, destination string, travel_date string, fare_class string, advance_purchase_window string, collection_round_id string, round_alignment string, round_sort_key string, fare_cents long, observations long, sold_out_observations long, sources array<string>, participating_sources long, priced_flights long, price_state string, severity string"
@@ -140,6 +140,23 @@ def test_information_rules_and_roll_up(spark):
     assert out == {"ABx0": ("R09", "INFO"), "ABx1": ("R09;R11", "INFO")}
 
 
+def test_a_fare_of_zero_is_no_base(spark):
+    """Free quotes: consolidated like any other, and no ratio over them."""
+    row = lambda k, fare, source, flight="F1": (str(k), "AAA", "BBB", "C", flight, "2026-10-01", "08:10", f"2026-09-0{1 + k // 9} 09:0{k % 9}", "T30(25-35)", "x", "0", "0", "0", fare, source, "Available")
+    names = "observation_id origin destination carrier flight_number travel_date departure_time collection_timestamp advance_purchase_window fare_class base_fare taxes fees total_fare source availability_status".split()
+    data = [row(0, "0.00", "MMT"), row(1, "0.00", "Goibibo"), row(2, "0.00", "Cleartrip"), row(3, "0.00", "MMT", "F2"), row(9, "10.00", "MMT")]
+    m = consolidation.members(spark.createDataFrame(data, ", ".join(f"{n} string" for n in names)))
+    f, c = consolidation.flight_cells(m), consolidation.cells(m)
+    got = {r.fare_cents: r for r in c.collect()}
+    assert got[0].cross_flight_relative_spread is None and got[0].observations == 4 and got[0].flights == 2 and got[1000].sources == ["MMT"] and got[0].sources == ["Cleartrip", "Goibibo", "MMT"]
+    rows = {(r.rule_id, r.reason) for r in anomaly.flight_rules(f, c).where("status = 'NOT_EVALUABLE'").collect()}
+    assert {("R07", "NO_PRICE_TO_EVALUATE"), ("R08", "NO_PRICE_TO_EVALUATE")} <= rows
+    line = cells(spark, {("AAA", "BBB", "x"): [100, 100, 100, 100, 100]}).withColumn("fare_cents", F.when(F.col("round_sort_key") == "2026-09-01 20:15", 0).otherwise(F.col("fare_cents")))
+    out = {(r.rule_id, r.entity_id): r.reason for r in anomaly.series_rules(line).where("status = 'NOT_EVALUABLE'").collect()}
+    assert out["R05", "AAABBBx3"] == "NO_PRICE_TO_EVALUATE" and out["R06", "AAABBBx4"] == "NO_PRICE_TO_EVALUATE" and out["R05", "AAABBBx1"] == "INSUFFICIENT_PRIOR_ROUNDS"
+    assert anomaly.history_rules(cells(spark, {("AAA", "BBB", "x"): [1, 2, 3], ("AAA", "BBB", "y"): [1, 2, 3, 4]})).count() == 1
+
+
 # --- comparison -----------------------------------------------------------------------
 def months(n, f):
     return [(f"{2024 + k // 12}-{k % 12 + 1:02d}", f(k)) for k in range(n)]
@@ -152,6 +169,13 @@ def test_metrics_need_their_samples(spark):
     assert {r.status for r in full.values()} == {"COMPUTED"} and full["LEAD_0"].value == full["PEARSON"].value and 0.8 < full["PEARSON"].value < 1
     few = {r.metric: r.status for r in backtest.metrics(backtest.pairs(backtest.month_comparison(a.limit(7).orderBy("month"), b))).collect()}
     assert few["MAE"] == "COMPUTED" and few["PEARSON"] == "INSUFFICIENT_SAMPLE"
+    assert len(full) == 17 and full["MAPE"].sample == 20 and full["PEARSON"].sample == 19
+    level = [(100 * math.fsum([100 + 5 * math.sin(k)]) / 100, 100 * (50 + 2 * math.sin(k + 0.3)) / (50 + 2 * math.sin(0.3))) for k in range(20)]
+    assert full["MAPE"].value == pytest.approx(100 * sum(abs(x - y) / y for x, y in level) / 20, abs=1e-6)
+    top = [max(range(20), key=lambda k: s[k]) for s in zip(*level)]
+    assert full["PEAK_TIMING"].value == top[0] - top[1] and 0 <= full["TURNING_AGREEMENT"].value <= 100
+    with pytest.raises(Exception, match="positive reference"):
+        backtest.metrics(backtest.pairs(backtest.month_comparison(a, b.withColumn("reference_level", F.when(F.col("month") == "2024-05", -1.0).otherwise(F.col("reference_level")))))).collect()
     partial = backtest.month_comparison(a.withColumn("period_is_partial", F.col("month") == "2025-08"), b)
     assert partial.where("match_status = 'EXCLUDED_PARTIAL_MONTH'").count() == 1
 
@@ -179,11 +203,22 @@ def test_pages_and_filters(spark):
 
 def test_query_matrix_and_gate(spark):
     b = spark.createDataFrame([(f"AAA-{chr(66 + k) * 3}",) for k in range(15)], "route_id string")
-    s = spark.createDataFrame([(f"s{k}", "true" if k else "false", "2026-12-31" if k != 2 else "2026-01-01") for k in range(11)], "source_id string, terms string, approved_until string")
+    good = {"collection_mode": "AUTHORIZED_API", "authorization_status": "APPROVED", "authorization_evidence_type": "API_CONTRACT", "allowed_automation": "True", "adapter_status": "ENABLED", "terms_review_status": "APPROVED", "terms_review_date": "2026-08-02", "authorization_expiry": "", "terms_content_hash": "ab", "captcha_present": "NO", "bot_protection_present": "NOT_APPLICABLE", "rate_limit_policy": "5s", "maximum_requests_per_round": "10", "source_health_check": "PASSED", "dry_run_schedule_feasibility": "PASSED"}
+    faults = {"s0": ("terms_review_status", "PENDING"), "s2": ("authorization_expiry", "2026-08-31"), "s3": ("terms_review_date", "2026-08-01"), "s4": ("captcha_present", ""), "s5": ("terms_review_date", None)}
+    rows = [{**good, "source_id": f"s{k}", **dict([faults.get(f"s{k}", ("source_id", f"s{k}"))])} for k in range(11)]
+    s = spark.createDataFrame([tuple(r[c] for c in ("source_id", *good)) for r in rows], ", ".join(f"{c} string" for c in ("source_id", *good)))
     m = collection.query_matrix(b, s, "2026-09-01")
     assert m.count() == 4950 == m.select("query_id").distinct().count()
-    g = collection.gate(s, "2026-09-01", ("terms",))
-    assert {r.source_id: r.gate_failures for r in g.where("not may_collect").collect()} == {"s0": ["NOT_TERMS"], "s2": ["APPROVAL_EXPIRED"]}
+    g = collection.gate(s, "2026-09-01")
+    assert {r.source_id: r.gate_failures for r in g.where("not may_collect").collect()} == {"s0": ["TERMS_NOT_APPROVED"], "s2": ["AUTHORIZATION_EXPIRED"], "s3": ["TERMS_REVIEW_INACTIVE"], "s4": ["CAPTCHA"], "s5": ["TERMS_DATE_MISSING"]}
+    assert collection.checked_registry(s, tuple(f"s{k}" for k in range(11))) is s
+    with pytest.raises(ValueError):
+        collection.checked_registry(s, ("s0",))
+    names = (*collection.PARTNER_SETTINGS, "authorized", "authorization_expiry")
+    fine = dict(zip(names, ("k", "ref", "2026-08-20", "1", "a" * 64, "24", "true", "true", "")))
+    cases = [{}, {"api_key": " "}, {"authorized": "no"}, {"terms_sha256": "zz"}, {"terms_review_date": "2026-07-01"}, {"retention_hours": "0"}, {"authorization_expiry": "2026-08-31"}]
+    p = spark.createDataFrame([tuple({**fine, **c}[n] for n in names) for c in cases], ", ".join(f"{n} string" for n in names))
+    assert [r.block_reason for r in collection.partner_gate(p, "2026-09-01").collect()] == [None, "MISSING: api_key", "NOT_AUTHORIZED", "TERMS_HASH_INVALID", "TERMS_REVIEW_INACTIVE", "RETENTION_TOO_SHORT", "AUTHORIZATION_EXPIRED"]
     c = {r.source_id: r.blocked for r in collection.collection_coverage(collection.dry_run(m, g), "source_id").collect()}
     assert c["s0"] == 450 and c["s1"] == 0
 

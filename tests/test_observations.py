@@ -166,7 +166,13 @@ def test_scalars(spark):
     assert one(S.period_id(t("2027-01-01 09:00"), "WEEKLY")) == "2026-W53" and one(S.expected_rounds(t("2026-02-10"), "MONTHLY")) == 84
     assert str(one(S.ratio_half_up(t(0.0000005)))) == "0.000001" and float(one(S.ratio_half_even(t(0.0000005)))) == 0
     assert [one(S.severity(S.downgrade(S.rank(t(s))))) for s in S.SEVERITIES] == ["NONE", "INFO", "INFO", "REVIEW"]
-    assert one(S.retry(t(503), t(1), t(False))).wait_seconds == 30 and one(S.retry(t(503), t(3), t(False))).outcome == "FAILED" and one(S.retry(t(200), t(1), t(True))).outcome == "BLOCKED"
+    tried = lambda status, attempt, blocked=False, after=None: tuple(one(S.retry(t(status), t(attempt), t(blocked), t(after).cast("int"))))
+    assert [tried(503, 1), tried(503, 2), tried(503, 3)] == [("RETRYABLE", 30), ("RETRYABLE", 120), ("PERMANENT_FAILURE", 0)]
+    assert [tried(429, 1), tried(429, 1, after=7), tried(501, 1), tried(408, 1)] == [("PERMANENT_FAILURE", 0), ("RETRYABLE", 7), ("PERMANENT_FAILURE", 0), ("RETRYABLE", 30)]
+    assert [tried(200, 1), tried(200, 1, True), tried(None, 1)] == [("SUCCESS", 0), ("COMPLIANCE_BLOCK", 0), ("PERMANENT_FAILURE", 0)]
+    assert tuple(one(S.legacy_fees(t(None).cast("int"), [t(1), t(2)]))) == (3, "SUM_OF_DISCLOSED_COMPONENTS") and one(S.legacy_fees(t(None).cast("int"), [t(1), t(None).cast("int")])).fees is None
+    assert tuple(one(S.fare_class_of(t(" Y "), {"Y": "Economy Flexi"}, ("Economy Flexi",)))) == ("Economy Flexi", "MAPPED", True) and one(S.fare_class_of(t("J"), {"Y": "x"}, ("x",))).action == "UNKNOWN_FARE_CLASS"
+    assert one(S.over(t(5), t(0))) is None and one(S.relative_change(t(4), t(5))) == 0.25
     assert one(S.redacted(F.create_map(t("api_key"), t("x"), t("q"), t("y")))) == {"api_key": "[REDACTED]", "q": "y"}
     assert one(S.packed(F.array(t("b"), t("a"), t("b")))) == "a;b" and one(S.unpacked(t("a; b;"))) == ["a", "b"]
     assert one(S.month_number(t("march"))) == 3 and one(S.unit_price(t(12345), t("PRICE_UNIT_CENTI"))) == __import__("decimal").Decimal("123.45")
