@@ -213,3 +213,20 @@ def source_reliability(rows: DataFrame, flights: DataFrame) -> DataFrame:
         F.round(F.median(F.when(priced, gap)), 6).alias("median_deviation"),
         F.round(F.max(F.when(priced, gap)), 6).alias("max_deviation"),
     )
+
+
+def ordered(report_rows: DataFrame) -> DataFrame:
+    return report_rows.orderBy("rule_id", "entity_level", "entity_id", "status")
+
+
+def histograms(report_rows: DataFrame) -> DataFrame:
+    """(dimension, value, n): report rows by severity, status and rule, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in (("severity", "severity"), ("evaluation_status", "status"), ("rule", "rule_id"))]))
+    return report_rows.select(each.alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily_trend(report_rows: DataFrame, cells: DataFrame, days: int = 9) -> DataFrame:
+    """Rows flagged for cells by day, the last ``days`` days that have any."""
+    day = cells.select(F.col("consolidation_cell_id").alias("entity_id"), F.substring("round_sort_key", 1, 10).alias("day"))
+    flagged = report_rows.where("status = 'FLAGGED' and entity_level in ('CELL', 'SERIES_POINT')")
+    return flagged.join(day, "entity_id").groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("day")).limit(days)

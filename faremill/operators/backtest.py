@@ -150,3 +150,50 @@ def sensitivities(primary: DataFrame, *others: DataFrame) -> DataFrame:
         j = o.join(base, "collection_round_id").withColumns({"pct_difference": S.percent_change(F.col("other_level"), F.col("index_level")), "point_difference": F.round(F.col("other_level") - F.col("index_level"), 6)})
         out = j if out is None else out.unionByName(j)
     return out
+
+
+#: The least basket coverage of a month, and the least changes.
+CPI_COVERAGE, CPI_MAE, CPI_CORRELATION = 80, 6, 12
+
+
+def cpi_timeline(periods: DataFrame, cpi: DataFrame) -> DataFrame:
+    """(month, level, period_is_partial, coverage_pct) with (month, cpi): the complete
+    months of enough coverage that both have, rebased to the first, and the changes from
+    the calendar month before."""
+    p = periods.where(~F.col("period_is_partial") & (F.col("coverage_pct") >= CPI_COVERAGE) & (F.col("level") > 0)).select("month", "level", "coverage_pct")
+    m = p.join(cpi.where("cpi > 0").select("month", "cpi"), "month")
+    first = lambda c: F.first(c).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
+    m = m.withColumns({"level_rebased": 100 * F.col("level") / first("level"), "cpi_rebased": 100 * F.col("cpi") / first("cpi")})
+    after = F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM")
+    m = m.join(m.select(after.alias("month"), F.col("level").alias("_l"), F.col("cpi").alias("_c")), "month", "left")
+    m = m.withColumns({"level_mom": 100 * (F.col("level") / F.col("_l") - 1), "cpi_mom": 100 * (F.col("cpi") / F.col("_c") - 1)})
+    return m.withColumn("mom_gap", F.col("level_mom") - F.col("cpi_mom")).drop("_l", "_c")
+
+
+def compare_cpi(timeline: DataFrame) -> DataFrame:
+    """(metric, available, required, value, status) of the timeline."""
+    gap = F.abs(F.col("mom_gap"))
+    n, months = F.count("mom_gap"), F.count(F.lit(1))
+    varied = (F.count_distinct(F.round("level_mom", 10)) >= LEAST_DISTINCT) & (F.count_distinct(F.round("cpi_mom", 10)) >= LEAST_DISTINCT)
+    alike = F.avg(F.when(F.col("mom_gap").isNotNull(), (F.signum("level_mom") == F.signum("cpi_mom")).cast("double")))
+    apart = F.abs(F.col("level_rebased") - F.col("cpi_rebased"))
+    spec = [
+        ("PEARSON_MOM", n, CPI_CORRELATION, F.when(varied, F.corr("level_mom", "cpi_mom"))),
+        ("MEAN_ABSOLUTE_MOM_GAP", n, CPI_MAE, F.avg(gap)),
+        ("PEAK_ABSOLUTE_MOM_GAP", n, 1, F.max(gap)),
+        ("DIRECTIONAL_AGREEMENT", n, CPI_MAE, 100 * alike),
+        ("MAXIMUM_LEVEL_GAP", months, 1, F.max(apart)),
+        ("MAPE_REBASED_LEVELS", months, CPI_MAE, 100 * F.avg(apart / F.col("cpi_rebased"))),
+    ]
+    row = timeline.agg(*[x.alias(f"_{k}_{j}") for j, (_, a, _, v) in enumerate(spec) for k, x in (("n", a), ("v", v))])
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"_n_{j}").alias("available"), F.lit(least).cast("long").alias("required"), F.col(f"_v_{j}").alias("v")) for j, (name, _, least, _) in enumerate(spec)])).alias("x")).select("x.*")
+    enough = F.col("available") >= F.col("required")
+    return out.select("metric", "available", "required", F.when(enough, F.round("v", 6)).alias("value"), F.when(~enough, "INSUFFICIENT_SAMPLE").when(F.col("v").isNull(), "INSUFFICIENT_VARIATION").otherwise("AVAILABLE").alias("status"))
+
+
+def summary(comparison: DataFrame) -> DataFrame:
+    """Spans and counts of both series and of their overlap, in one row."""
+    have, ref, both = F.col("level").isNotNull(), F.col("reference_level").isNotNull(), F.col("match_status") == "MATCHED_COMPLETE_MONTH"
+    ends = [f(F.when(c, F.col("month"))).alias(f"{n}_{e}") for n, c in (("index", have), ("reference", ref), ("overlap", both)) for f, e in ((F.min, "start"), (F.max, "end"))]
+    out = comparison.agg(*ends, F.count_if(have & ~F.coalesce("period_is_partial", F.lit(False))).alias("complete_months"), F.count_if(ref).alias("reference_months"), F.count_if(both).alias("overlapping_levels"))
+    return out.withColumns({"overlapping_changes": F.greatest(F.lit(0).cast("long"), F.col("overlapping_levels") - 1), "evaluation_status": F.when(F.col("overlapping_levels") > 0, "OVERLAP_AVAILABLE").otherwise("NO_OVERLAPPING_COMPLETE_PERIODS")})

@@ -127,3 +127,28 @@ def compare_levels(series: DataFrame) -> DataFrame:
     """A (month, value) series rebased to its first month."""
     first = F.first("value").over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
     return series.select("month", "value", F.round(100 * S.over(F.col("value"), first), 6).alias("rebased"))
+
+
+def only(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The whitelisted columns, in the list's order; a missing one is an error."""
+    lost = [c for c in columns if c not in df.columns]
+    if lost:
+        raise ValueError(f"missing columns: {lost}")
+    return df.select(*columns)
+
+
+def filter_values(routes: DataFrame) -> DataFrame:
+    """(side, code): the distinct ends of (route_id), for the filters."""
+    ends = F.explode(F.array(F.struct(F.lit("origin").alias("side"), F.substring_index("route_id", "-", 1).alias("code")), F.struct(F.lit("destination").alias("side"), F.substring_index("route_id", "-", -1).alias("code"))))
+    return routes.select(ends.alias("x")).select("x.*").distinct()
+
+
+def live_quotes(quotes: DataFrame, priority: dict[str, str]) -> DataFrame:
+    """(route_id, provider, collected_at, quote_id, fare_cents) -> one quote a route, from
+    the first provider in ``priority`` that has any: its first quote (FIRST), or the mean
+    of all (MEAN)."""
+    place = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("provider"))
+    mean = F.col("provider").isin(*[p for p, how in priority.items() if how == "MEAN"])
+    by = quotes.where(place > 0).groupBy("route_id", "provider").agg(F.count(F.lit(1)).alias("n"), F.avg("fare_cents").alias("_mean"), F.min_by("fare_cents", F.struct("collected_at", "quote_id")).alias("_first"))
+    by = by.withColumns({"fare": F.round(F.when(mean, F.col("_mean")).otherwise(F.col("_first")) / 100, 2), "quote_count": F.when(mean, F.col("n")).otherwise(1), "_place": place})
+    return by.groupBy("route_id").agg(F.min_by(F.struct("provider", "fare", "quote_count"), "_place").alias("q")).select("route_id", "q.*")

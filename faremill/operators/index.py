@@ -214,3 +214,29 @@ def locked_weight_chain(items: DataFrame, basket: DataFrame) -> DataFrame:
     out = rounds(items).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS]))).join(parts, ["variant", "link_sequence"], "left")
     line = Window.partitionBy("variant").orderBy("link_sequence").rowsBetween(Window.unboundedPreceding, 0)
     return out.select("variant", "link_sequence", "collection_round_id", F.round(BASE_LEVEL * F.exp(F.sum(F.coalesce("log_factor", F.lit(0.0))).over(line)), 6).alias("locked_weight_level"))
+
+
+def coverage_disclosure(items: DataFrame, basket: DataFrame) -> DataFrame:
+    """What of the basket each round of a chain stands for, in eight values."""
+    whole = F.broadcast(basket.agg(F.count(F.lit(1)).alias("basket_routes_total"), F.sum(F.col("traffic_weight").cast("double")).alias("_all")))
+    r = round_index(items, basket).crossJoin(whole)
+    some = F.col("routes_represented") > 0
+    return r.select(
+        "variant", "link_sequence", F.col("routes_represented").alias("basket_routes_represented"), "basket_routes_total", F.col("weight_represented").alias("basket_weight_represented"), F.round(F.col("_all") - F.col("weight_represented"), 6).alias("basket_weight_missing"),
+        F.col("coverage_pct").alias("basket_coverage_pct"), F.when(some, 1.0).otherwise(0.0).alias("effective_weight_sum"), (some & (F.col("routes_represented") < F.col("basket_routes_total"))).alias("renormalization_applied"), "coverage_status",
+    )
+
+
+def severity_counts(items: DataFrame) -> DataFrame:
+    """Matched items of each link by the severity of their current price, a column a
+    severity and packed."""
+    now = items.where("index_eligibility_status = 'ELIGIBLE'").join(F.broadcast(rounds_of(items)), "collection_round_id").select("variant", "link_sequence", "item_id", F.coalesce("max_severity", F.lit("NONE")).alias("severity"))
+    matched = item_relatives(items).where("item_status = 'MATCHED'").select("variant", "link_sequence", "item_id")
+    each = [F.count_if(F.col("severity") == n).alias(n.lower()) for n in S.SEVERITIES]
+    out = now.join(matched, ["variant", "link_sequence", "item_id"]).groupBy("variant", "link_sequence").agg(*each)
+    return out.withColumn("packed", F.concat_ws(";", *[F.concat(F.lit(f"{n}="), F.col(n.lower()).cast("string")) for n in sorted(S.SEVERITIES)]))
+
+
+def ordered(round_rows: DataFrame) -> DataFrame:
+    """Rounds in the order of their output: variants as listed, then the chain."""
+    return round_rows.orderBy(F.array_position(F.array(*[F.lit(v) for v in VARIANTS]), F.col("variant")), "link_sequence")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import collecting, indexing, quotes, reports, screening
+from . import collecting, indexing, overview, quotes, reports, screening
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (quotes, indexing, screening, reports, collecting):
+for _module in (quotes, indexing, screening, reports, overview, collecting):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
