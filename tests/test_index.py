@@ -264,3 +264,28 @@ def test_tables(spark, tmp_path):
     from faremill.operators import validation
 
     assert validation.validate(syn).where("not is_valid").count() == 0 and syn.exceptAll(tables.synthetic_observations(spark, 200)).count() == 0
+
+
+def test_traffic_is_prepared(spark):
+    from faremill.operators import traffic
+
+    known = ("Northern Harbour International Airport",)
+    rows = [("S.No", "CITY", "CITY", "x", "y"), (" ", "a", "b", "1", "2"), ("1", " new  town", "Northern Harbour International Airp", "ort 1,200", "-"), ("2", "Northern Harbour International Air", "port Old Town", "5", None), ("3", "A", "a ", "x1", "7"), ("4", "northern harbour international airport", "B", "1", "2")]
+    got = traffic.prepared(spark.createDataFrame(rows, "first string, city_1 string, city_2 string, to_2 string, to_1 string"), ("S.No",), known)
+    out = {r["first"]: (r.city_1, r.city_2, r.passengers_out, r.flag_back, r.repair_type, r.needs_review) for r in got.collect()}
+    whole = known[0].upper()
+    assert out == {"1": ("NEW TOWN", whole, 1200, "DGCA_DASH", "CITY2_PAX_BOUNDARY_BLEED", True), "2": (whole, "OLD TOWN", 5, "MISSING_EMPTY", "CITY1_CITY2_BOUNDARY_BLEED", True), "3": ("A", "A", None, "", "", True), "4": (whole, "B", 1, "", "", False)}
+    p = traffic.profile(got).first()
+    assert (p.total_rows, p.valid_rows, p.self_pairs, p.missing_out, p.most, p.total) == (4, 1, 1, 1, 1200, 1215)
+
+
+def test_orders_and_whitelists(spark, two):
+    b, routed = two
+    rows = index.ordered(index.round_index(index.eligible(routes.grain_a(routed, b)), b)).select("variant", "link_sequence").collect()
+    assert [r.variant for r in rows] == sorted((r.variant for r in rows), key=index.VARIANTS.index) and [r.link_sequence for r in rows[:5]] == [0, 1, 2, 3, 4]
+    r = anomaly.cell_rules(cells(spark, {("B", "A", "x"): [1, 0], ("A", "B", "x"): [1]}))
+    keys = [(x.rule_id, x.entity_level, x.entity_id, x.status) for x in anomaly.ordered(r).collect()]
+    assert keys == sorted(keys) and len(keys) == 4
+    assert dashboard.only(r, ("status", "rule_id")).columns == ["status", "rule_id"]
+    with pytest.raises(ValueError):
+        dashboard.only(r, ("colour",))

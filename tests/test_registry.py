@@ -35,7 +35,7 @@ def test_oracles_bind(duck):
         assert duck.execute(f"select * from ({sql}) limit 0").description, name
 
 
-@pytest.mark.parametrize("name", ["validate_rows", "dedup_sweep", "cell_median", "route_grain_a", "backtest_metrics", "lead_time_pivot", "query_matrix"])
+@pytest.mark.parametrize("name", ["validate_rows", "dedup_sweep", "cell_median", "route_grain_a", "backtest_metrics", "lead_time_pivot", "query_matrix", "source_gate", "nearest_round", "cpi_comparison", "live_quotes"])
 def test_oracle(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -45,7 +45,6 @@ def test_oracle(spark, duck, name):
 
 
 def test_month_gaps_reads_every_row(spark, duck):
-    """Against the whole table: the registered oracle reads a part of it."""
     sql = "with m as (select distinct date_trunc('month', l_shipdate)::date as d from lineitem) select strftime(s.d, '%Y-%m') from (select unnest(generate_series((select min(d) from m), (select max(d) from m), interval 1 month))::date as d) s where s.d not in (select d from m)"
     got = sorted(r.month for r in registry.QUERIES["month_gaps"](spark, SF).collect())
     assert got == sorted(m for (m,) in duck.execute(sql).fetchall())
