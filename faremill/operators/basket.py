@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 WEIGHT_PLACES = 6
+MOST_PLACES = 100_000
 
 
 def totals(pairs: DataFrame) -> DataFrame:
@@ -47,9 +48,18 @@ def diversified(rank: DataFrame, top: int = 10, target: int = 15) -> DataFrame:
     """The busiest ``top`` routes, then the busiest that bring a new region, then a new
     city, up to ``target``: (route_id, selection_stage, basket_rank).
 
-    The choice depends on what was chosen before, so it walks the ranking in order; it
-    stops as soon as it can, and holds no more than the routes chosen and passed over.
+    The choice depends on what was chosen before, so it is made in order on the driver.
+    Beyond the top, only the busiest route of a region or city can bring it: an earlier
+    one would have been taken, or the region was there.  So a grouping leaves one route a
+    region and city to walk over; more than MOST_PLACES of these are an error.
     """
+    ends = [f"{kind}_{k}" for kind in ("region", "city") for k in (1, 2)]
+    r = rank.select("traffic_rank", "route_id", *ends)
+    place = F.explode(F.array(*[F.struct(F.lit(e[:-2]).alias("kind"), F.col(e).cast("string").alias("name")) for e in ends]))
+    firsts = r.where(F.col("traffic_rank") > top).select(F.struct(*r.columns).alias("r"), place.alias("p")).groupBy("p").agg(F.min("r").alias("r")).select("r.*").distinct()
+    walk = r.where(F.col("traffic_rank") <= top).unionByName(firsts).limit(MOST_PLACES + 1).collect()
+    if len(walk) > MOST_PLACES:
+        raise ValueError(f"basket: more than {MOST_PLACES} regions and cities")
     chosen, passed, regions, cities = [], [], set(), set()
 
     def take(r, stage):
@@ -57,15 +67,13 @@ def diversified(rank: DataFrame, top: int = 10, target: int = 15) -> DataFrame:
         regions.update((r["region_1"], r["region_2"]))
         cities.update((r["city_1"], r["city_2"]))
 
-    for r in rank.orderBy("traffic_rank").toLocalIterator():
+    for r in sorted(walk, key=lambda r: r["traffic_rank"]):
         if len(chosen) < top:
             take(r, "TOP_TRAFFIC")
         elif len(chosen) < target and {r["region_1"], r["region_2"]} - regions:
             take(r, "NEW_REGION")
-        elif len(chosen) < target:
-            passed.append(r)
         else:
-            break
+            passed.append(r)
     for r in passed:
         if len(chosen) < target and {r["city_1"], r["city_2"]} - cities:
             take(r, "NEW_CITY")

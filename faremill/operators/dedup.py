@@ -1,15 +1,18 @@
 """Technical duplicates: an anchored sweep of captures within a tolerance.
 
 Rows of one bucket (product instance, source, fare or sold out) in time order join the
-open group while they are within the tolerance of its first row, the anchor.  Gaps
-wider than the tolerance always part groups, so a window function cuts a bucket there,
-and only the short stretches in between are folded in order.
+open group while they are within the tolerance of its first row, the anchor.  A row
+after a gap wider than the tolerance is always an anchor, so a window function settles
+every row within the tolerance of the last such row.  What is left, the later rows of
+long stretches, is walked in order, holding one open anchor at a time.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import scalars as S
 
@@ -17,32 +20,39 @@ IDENTITY = ("origin", "destination", "carrier", "flight_number", "travel_date",
 
 
 def anchored_sweep(rows: DataFrame, bucket: list[str], ts: str, order: str, tolerance_minutes: int = S.DUPLICATE_TOLERANCE_MINUTES) -> DataFrame:
-    """Adds canonical (the ``order`` value of the group's anchor) and group_size."""
+    """Adds canonical (the ``order`` value of the group's anchor) and group_size.  One
+    bucket is sorted in one task, with spilling; no list of its rows is built.  A row
+    without a time is its own anchor."""
     seconds = tolerance_minutes * 60
     line = Window.partitionBy(*bucket).orderBy("_t", order)
+    row = F.struct(F.col("_t").alias("t"), F.col(order).alias("id"))
     cut = rows.withColumn("_t", F.unix_seconds(F.col(ts).cast("timestamp")))
-    cut = cut.withColumn("_new", (F.col("_t") - F.lag("_t").over(line) > seconds).cast("int"))
-    cut = cut.withColumn("_stretch", F.coalesce(F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    keys = [*bucket, "_stretch"]
-    stretches = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col(order).alias("id")))).alias("line"))
-    start = F.struct(F.col("line")[0].alias("anchor"), F.array().cast(F_ARRAY(rows, order)).alias("out"))
-    step = lambda acc, x: F.struct(
-        F.when(x["t"] - acc["anchor"]["t"] <= seconds, acc["anchor"]).otherwise(x).alias("anchor"),
-        F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), F.when(x["t"] - acc["anchor"]["t"] <= seconds, acc["anchor"]["id"]).otherwise(x["id"]).alias("canonical")))).alias("out"),
-    )
-    folded = stretches.select(*keys, F.explode(F.aggregate("line", start, step)["out"]).alias("m")).select(*keys, F.col("m.id").alias(order), F.col("m.canonical").alias("canonical"))
-    nulls = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, order]]
-    condition = nulls[0]
-    for x in nulls[1:]:
-        condition = condition & x
-    joined = cut.alias("a").join(folded.alias("b"), condition).select("a.*", "b.canonical")
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "canonical"))
-    return joined.withColumn("group_size", size).drop("_t", "_new", "_stretch")
-
-
-def F_ARRAY(rows: DataFrame, order: str) -> str:
-    kind = rows.schema[order].dataType.simpleString()
-    return f"array<struct<id:{kind},canonical:{kind}>>"
+    cut = cut.withColumn("_before", F.lag("_t").over(line))
+    opens = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > seconds)
+    cut = cut.withColumn("_open", F.last(F.when(opens, row), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_before")
+    late = F.coalesce(F.col("_t") - F.col("_open.t") > seconds, F.lit(False))
+    near = cut.where(~late).withColumn("canonical", F.col("_open.id"))
+    key = [*bucket, "_open_id"]
+    rest = cut.where(late).withColumn("_open_id", F.col("_open.id")).drop("_open").repartition(*bucket).sortWithinPartitions(*key, "_t", order)
+    out = near.drop("_open").unionByName(_walked(rest, key, seconds, order).drop("_open_id"))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*bucket, "canonical"))
+    return out.withColumn("group_size", size).drop("_t")
+
+
+def _walked(rows: DataFrame, key: list[str], seconds: int, order: str) -> DataFrame:
+    """Adds canonical to sorted rows, whose first one of a ``key`` is an anchor."""
+
+    def walk(batches):
+        group = anchor = None
+        for batch in batches:
+            found = []
+            for k, t, i in zip(zip(*(batch.column(c).to_pylist() for c in key)), batch.column("_t").to_pylist(), batch.column(order).to_pylist()):
+                if k != group or t - anchor[0] > seconds:
+                    group, anchor = k, (t, i)
+                found.append(anchor[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, batch.column(order).type)], names=[*batch.schema.names, "canonical"])
+
+    return rows.mapInArrow(walk, StructType([*rows.schema.fields, StructField("canonical", rows.schema[order].dataType)]))
 
 
 def _time(rows: DataFrame):

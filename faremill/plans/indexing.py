@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import basket, consolidation, index, routes
-from .roles import STAGES, quotes, registry, table
+from .roles import RAW, STAGES, quotes, raw_observations, registry, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -120,13 +120,24 @@ def basket_sizes(spark, sf_dir):
 
 def nation_traffic(spark, sf_dir):
     """Traffic between nations: orders of a customer's lines by supplier's nation."""
-    from .roles import raw_observations
-
     pairs = raw_observations(spark, sf_dir).withColumn("route_id", S.route_id(F.col("origin"), F.col("destination"))).where("route_id is not null").groupBy("route_id").agg(F.count(F.lit(1)).alias("passengers"))
     return basket.ranked(pairs)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {RAW}, ends AS (SELECT 'N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS a, 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS b FROM raw WHERE s_nationkey <> c_nationkey),
+place AS (SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code, CAST(n_regionkey AS VARCHAR) AS region FROM nation),
+pair AS (SELECT least(a, b) AS c1, greatest(a, b) AS c2, count(*) AS n FROM ends GROUP BY ALL),
+rk AS MATERIALIZED (SELECT c1 || '-' || c2 AS route_id, c1, c2, p.region AS r1, q.region AS r2, row_number() OVER (ORDER BY n DESC, c1, c2) AS k FROM pair JOIN place p ON p.code = c1 JOIN place q ON q.code = c2),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS k, 0 AS n, CAST([] AS VARCHAR[]) AS regions, CAST([] AS VARCHAR[]) AS cities, CAST(NULL AS VARCHAR) AS stage
+  UNION ALL SELECT k, n + CASE WHEN stage IS NULL THEN 0 ELSE 1 END, CASE WHEN stage IS NULL THEN regions ELSE regions || [r1, r2] END, CASE WHEN stage IS NULL THEN cities ELSE cities || [c1, c2] END, stage FROM (
+    SELECT rk.*, w.n, w.regions, w.cities, CASE WHEN w.n < 10 THEN 'TOP_TRAFFIC' WHEN w.n < 15 AND NOT list_has_all(w.regions, [r1, r2]) THEN 'NEW_REGION' END AS stage FROM walk w JOIN rk ON rk.k = w.k + 1)
+), passed AS MATERIALIZED (SELECT rk.*, row_number() OVER (ORDER BY rk.k) AS j FROM rk JOIN walk ON walk.k = rk.k WHERE stage IS NULL),
+again AS (
+  SELECT CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS k, max(n) AS n, arg_max(cities, k) AS cities, CAST(NULL AS VARCHAR) AS stage FROM walk
+  UNION ALL SELECT j, k, n + CASE WHEN stage IS NULL THEN 0 ELSE 1 END, CASE WHEN stage IS NULL THEN cities ELSE cities || [c1, c2] END, stage FROM (
+    SELECT p.*, g.n, g.cities, CASE WHEN g.n < 15 AND NOT list_has_all(g.cities, [c1, c2]) THEN 'NEW_CITY' END AS stage FROM again g JOIN passed p ON p.j = g.j + 1)
+) SELECT route_id, stage AS selection_stage, CAST(row_number() OVER (ORDER BY t.k) AS INTEGER) AS basket_rank FROM (SELECT k, stage FROM walk WHERE stage IS NOT NULL UNION ALL SELECT k, stage FROM again WHERE stage IS NOT NULL) t JOIN rk ON rk.k = t.k""")
 def basket_diversified(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("code"), F.col("n_regionkey").cast("string").alias("region"))
     r = nation_traffic(spark, sf_dir).withColumns({"city_1": F.substring("route_id", 1, 3), "city_2": F.substring("route_id", 5, 3)})
