@@ -230,3 +230,53 @@ def daily_trend(report_rows: DataFrame, cells: DataFrame, days: int = 9) -> Data
     day = cells.select(F.col("consolidation_cell_id").alias("entity_id"), F.substring("round_sort_key", 1, 10).alias("day"))
     flagged = report_rows.where("status = 'FLAGGED' and entity_level in ('CELL', 'SERIES_POINT')")
     return flagged.join(day, "entity_id").groupBy("day").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("day")).limit(days)
+
+
+def rule_lists(report_rows: DataFrame) -> DataFrame:
+    """Per cell: the rules that flag it and those that could not judge it, as arrays."""
+    own = report_rows.where("entity_level in ('CELL', 'SERIES_POINT')")
+    ids = lambda s: F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col("rule_id"))))
+    return own.groupBy(F.col("entity_id").alias("consolidation_cell_id")).agg(ids("FLAGGED").alias("flagged_rules"), ids("NOT_EVALUABLE").alias("not_evaluable_rules"))
+
+
+def series_report(cells: DataFrame) -> DataFrame:
+    """Per series: cells by kind, whether its history suffices, what R05 and R06 found,
+    and the rounds whose movement asks for a review."""
+    there = (F.col("round_alignment") == "ANCHORED") & F.col("fare_cents").isNotNull()
+    base = cells.groupBy(*SERIES).agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count_if(there).alias("anchored_priced_rounds"),
+        F.count_if(F.col("round_alignment") != "ANCHORED").alias("unaligned_rounds"),
+        F.count_if(F.col("fare_cents").isNull()).alias("no_price_cells"),
+    )
+    flagged, review = F.col("status") == "FLAGGED", F.col("severity").isin("REVIEW", "HIGH")
+    rule = lambda r, s: F.count_if((F.col("rule_id") == r) & (F.col("status") == s))
+    named = cells.select(F.col("consolidation_cell_id").alias("entity_id"), *SERIES, "collection_round_id")
+    found = series_rules(cells).join(named, "entity_id").groupBy(*SERIES).agg(
+        *[rule(r, s).alias(f"_{r}_{s}") for r in ("R05", "R06") for s in ("FLAGGED", "NOT_EVALUABLE")],
+        F.count_if(flagged & review).alias("persistent_flags"),
+        S.packed(F.collect_set(F.when(flagged & review, F.col("collection_round_id")))).alias("persistent_rounds"),
+    )
+    out = base.join(found, list(SERIES), "left")
+    zero = lambda n: F.coalesce(n, F.lit(0))
+    for r in ("R05", "R06"):
+        out = out.withColumns({f"{r.lower()}_evaluable": F.col("anchored_priced_rounds") - zero(f"_{r}_NOT_EVALUABLE"), f"{r.lower()}_flags": zero(f"_{r}_FLAGGED")}).drop(f"_{r}_NOT_EVALUABLE", f"_{r}_FLAGGED")
+    status = F.when(F.col("anchored_priced_rounds") <= HISTORY, "INSUFFICIENT_FOR_R05").otherwise("SUFFICIENT_FOR_R05")
+    return out.withColumns({"history_status": status, "persistent_flags": zero("persistent_flags"), "persistent_rounds": F.coalesce("persistent_rounds", F.lit(""))})
+
+
+def source_flags(rows: DataFrame, report_rows: DataFrame) -> DataFrame:
+    """Per source: flags on its observations, how many are HIGH, and the flight cells
+    and cells it is part of that R07 and R13 flag."""
+    flagged = report_rows.where("status = 'FLAGGED'")
+    own = flagged.where("entity_level = 'OBSERVATION'").groupBy(F.col("entity_id").alias("observation_id")).agg(F.count(F.lit(1)).alias("_flags"), F.max(S.rank(F.col("severity"))).alias("_rank"))
+    out = rows.withColumn("observation_id", F.col("observation_id").cast("string")).join(own, "observation_id", "left")
+    for rule, key in (("R07", "flight_cell_id"), ("R13", "consolidation_cell_id")):
+        hit = flagged.where(F.col("rule_id") == rule).select(F.col("entity_id").alias(key), F.lit(True).alias(f"_{rule}")).distinct()
+        out = out.join(hit, key, "left")
+    return out.groupBy("source").agg(
+        F.coalesce(F.sum("_flags"), F.lit(0)).alias("flags"),
+        F.count_if(F.col("_rank") == 3).alias("high_severity_observations"),
+        F.count_distinct(F.when(F.col("_R07"), F.col("flight_cell_id"))).alias("r07_flight_cells"),
+        F.count_distinct(F.when(F.col("_R13"), F.col("consolidation_cell_id"))).alias("r13_cells"),
+    )

@@ -197,3 +197,17 @@ def summary(comparison: DataFrame) -> DataFrame:
     ends = [f(F.when(c, F.col("month"))).alias(f"{n}_{e}") for n, c in (("index", have), ("reference", ref), ("overlap", both)) for f, e in ((F.min, "start"), (F.max, "end"))]
     out = comparison.agg(*ends, F.count_if(have & ~F.coalesce("period_is_partial", F.lit(False))).alias("complete_months"), F.count_if(ref).alias("reference_months"), F.count_if(both).alias("overlapping_levels"))
     return out.withColumns({"overlapping_changes": F.greatest(F.lit(0).cast("long"), F.col("overlapping_levels") - 1), "evaluation_status": F.when(F.col("overlapping_levels") > 0, "OVERLAP_AVAILABLE").otherwise("NO_OVERLAPPING_COMPLETE_PERIODS")})
+
+
+#: The policies under which coverage is reported; the last one excludes.
+COVERAGE_POLICIES = ("SENS-COV-01", "SENS-COV-02", "SENS-COV-03", "SENS-COV-04")
+
+
+def coverage_policies(coverage: DataFrame, round_rows: DataFrame) -> DataFrame:
+    """Routes by rounds of the primary chain under each policy: what the round stands
+    for, whether that passes the gate, and why not."""
+    r = round_rows.where("variant = 'PRIMARY'").select("collection_round_id", "coverage_pct", "routes_represented", "weight_represented")
+    out = coverage.where("variant = 'PRIMARY'").join(r, "collection_round_id").withColumn("coverage_policy_id", F.explode(F.array(*[F.lit(p) for p in COVERAGE_POLICIES])))
+    passed = F.coalesce(F.col("coverage_pct") >= CPI_COVERAGE, F.lit(False))
+    reason = F.when(passed, None).when(F.col("coverage_policy_id") == COVERAGE_POLICIES[-1], "LOW_COVERAGE_BELOW_80_PERCENT").otherwise("PARTIAL_COVERAGE_DIAGNOSTIC_ONLY")
+    return out.withColumns({"relative_available": F.col("matched_items") > 0, "weight_missing": F.round(1 - F.col("weight_represented"), 6), "coverage_gate_passed": passed, "exclusion_reason": reason})

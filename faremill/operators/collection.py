@@ -133,3 +133,21 @@ def run_status(attempts: DataFrame) -> DataFrame:
     ok, n = F.count_if(F.col("outcome") == "SUCCESS"), F.count(F.lit(1))
     denied = F.count_if(F.col("outcome") == "DENIED")
     return attempts.groupBy("run_id").agg(n.alias("attempts"), ok.alias("successes"), F.when(denied > 0, "DENIED").when(ok == n, "COMPLETE").when(ok > 0, "PARTIAL").otherwise("FAILED").alias("run_status"))
+
+
+def planned_searches(basket: DataFrame, collection_date: str, selected: tuple[str, ...] = ()) -> DataFrame:
+    """Both directions of the basket's routes, or of those selected (in either order), by
+    window.  A selected route that the basket lacks is an error."""
+    wanted = {"-".join(sorted(p.strip().upper() for p in r.split("-", 1))) for r in selected}
+    rows = basket.select("route_id", "basket_rank")
+    if wanted:
+        rows = rows.where(F.col("route_id").isin(*wanted))
+        lost = wanted - {r.route_id for r in rows.limit(len(wanted)).collect()}
+        if lost:
+            raise ValueError(f"unknown basket routes: {sorted(lost)}")
+    a, b = F.substring_index("route_id", "-", 1), F.substring_index("route_id", "-", -1)
+    way = F.explode(F.array(F.struct(a.alias("origin"), b.alias("destination")), F.struct(b.alias("origin"), a.alias("destination"))))
+    named = [F.struct(F.lit(k).alias("code"), F.lit(d).alias("days")) for k, d in WINDOW_DAYS.items()]
+    rows = rows.withColumn("way", way).withColumn("w", F.explode(F.array(*named)))
+    day = F.lit(collection_date).cast("date")
+    return rows.select("route_id", "basket_rank", "way.origin", "way.destination", day.alias("collection_date"), F.date_add(day, F.col("w.days")).alias("travel_date"), F.col("w.days").alias("advance_purchase_days"), F.col("w.code").alias("apw_target_code"))

@@ -133,3 +133,12 @@ def observation_map(rows: DataFrame) -> DataFrame:
     flight = flight_cells(rows).select("flight_cell_id", "flight_cents")
     cell = cells(rows).select("consolidation_cell_id", F.col("fare_cents").alias("cell_cents"), "consolidation_status")
     return rows.join(flight, "flight_cell_id", "left").join(cell, "consolidation_cell_id", "left")
+
+
+def with_decomposition(rows: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Mapped observations with the fare parts of their canonical row, looked up by id,
+    and whether these are complete and add up."""
+    parts = canonical.select("observation_id", *[S.money(F.col(n).cast("string")).alias(n) for n in ("base_fare", "taxes", "fees", "total_fare")])
+    out = rows.drop("base_fare", "taxes", "fees", "total_fare").join(parts, "observation_id", "left")
+    d = S.decomposition(*[F.col(n) for n in ("base_fare", "taxes", "fees", "total_fare")])
+    return out.withColumns({"decomposition_state": d["state"], "decomposition_reconciles": d["reconciles"]})

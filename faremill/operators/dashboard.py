@@ -152,3 +152,44 @@ def live_quotes(quotes: DataFrame, priority: dict[str, str]) -> DataFrame:
     by = quotes.where(place > 0).groupBy("route_id", "provider").agg(F.count(F.lit(1)).alias("n"), F.avg("fare_cents").alias("_mean"), F.min_by("fare_cents", F.struct("collected_at", "quote_id")).alias("_first"))
     by = by.withColumns({"fare": F.round(F.when(mean, F.col("_mean")).otherwise(F.col("_first")) / 100, 2), "quote_count": F.when(mean, F.col("n")).otherwise(1), "_place": place})
     return by.groupBy("route_id").agg(F.min_by(F.struct("provider", "fare", "quote_count"), "_place").alias("q")).select("route_id", "q.*")
+
+
+def demo_curve(config: DataFrame) -> DataFrame:
+    """(route_id, demo_fare) by window, along the demonstration curve."""
+    w = F.explode(F.array(*[F.struct(F.lit(f"T{d}").alias("window"), F.lit(m).alias("factor")) for d, m in DEMO_CURVE.items()]))
+    return config.withColumn("w", w).select("route_id", F.col("w.window").alias("advance_purchase_window"), F.round(F.col("demo_fare") * F.col("w.factor"), 2).alias("average_fare"), F.lit(2).alias("observation_count"), F.lit("INR").alias("currency"))
+
+
+def route_changes(history: DataFrame) -> DataFrame:
+    """(route_id, round_sort_key, median_cents, min_cents, max_cents, max_severity): each
+    route's average in its last round, and the change in percent from the one before."""
+    each = history.where("round_sort_key is not null").groupBy("route_id", "round_sort_key").agg(F.avg("median_cents").alias("average_cents"), F.min("min_cents").alias("observed_min"), F.max("max_cents").alias("observed_max"), F.max(S.rank(F.col("max_severity"))).alias("_s"))
+    line = Window.partitionBy("route_id").orderBy("round_sort_key")
+    each = each.withColumns({"previous_cents": F.lag("average_cents").over(line), "_after": F.lead("round_sort_key").over(line), "_all": F.max("_s").over(Window.partitionBy("route_id"))})
+    change = F.round(100 * S.relative_change(F.col("previous_cents"), F.col("average_cents")), 2)
+    return each.where("_after is null").withColumns({"change_pct": change, "severity": S.severity(F.coalesce("_all", F.lit(0)))}).drop("_s", "_all", "_after")
+
+
+def validation_totals(validated: DataFrame) -> DataFrame:
+    """One row: records, valid ones, those with errors, those that lack something."""
+    codes, n = F.col("validation_errors"), F.count(F.lit(1))
+    return validated.agg(
+        n.alias("records"),
+        F.count_if("is_valid").alias("valid_records"),
+        F.count_if(F.size(codes) > 0).alias("records_with_errors"),
+        F.count_if(F.exists(codes, lambda x: x.startswith("MISSING_"))).alias("records_with_missing"),
+        F.round(S.over(100.0 * F.count_if("is_valid"), n), 2).alias("valid_pct"),
+    )
+
+
+def quality_trend(validated: DataFrame, days: int = 30) -> DataFrame:
+    """Share of valid records by day of collection, the last ``days`` days."""
+    day = F.substring(F.col("collection_timestamp").cast("string"), 1, 10)
+    out = validated.withColumn("day", day).where(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$")).groupBy("day").agg(F.count(F.lit(1)).alias("records"), F.count_if("is_valid").alias("valid_records"))
+    return out.withColumn("quality_pct", F.round(100 * F.col("valid_records") / F.col("records"), 4)).orderBy(F.desc("day")).limit(days)
+
+
+def quote_ranges(quotes: DataFrame) -> DataFrame:
+    """Verified quotes above zero by route: least, mean, most, how many."""
+    q = quotes.where("fare_cents > 0 and currency = 'INR' and price_status = 'verified'")
+    return q.groupBy("route_id").agg(F.min("fare_cents").alias("minimum_cents"), F.round(F.avg("fare_cents"), 2).alias("average_cents"), F.max("fare_cents").alias("maximum_cents"), F.count(F.lit(1)).alias("quote_count"))

@@ -22,16 +22,20 @@ BASE_LEVEL = 100.0
 def eligible(grain_a: DataFrame, variants: tuple[str, ...] = VARIANTS) -> DataFrame:
     """Grain A once a variant, with index_eligibility_status and item_id."""
     named = F.explode(F.array(*[F.lit(v) for v in variants]))
+    raw = F.trim(F.col("median_cents").cast("string"))  # read from text, it may be blank or no number
+    typed = dict(grain_a.dtypes)["median_cents"] != "string"
+    grain_a = grain_a.withColumn("_raw", raw).withColumn("median_cents", F.col("median_cents") if typed else raw.try_cast("long"))
     out = grain_a.withColumn("variant", named).withColumn("item_id", S.key("ITEM::", *[F.col(k) for k in ITEM]))
     status = (
         F.when(F.col("route_price_state") == "NO_OBSERVATIONS", "NO_OBSERVATIONS")
         .when(F.col("route_price_state") != "PRICED", "NOT_PRICED")
-        .when(F.col("median_cents").isNull(), "MISSING_FARE")
+        .when(F.col("_raw").isNull() | (F.col("_raw") == ""), "MISSING_FARE")
+        .when(F.col("median_cents").isNull(), "UNPARSABLE_FARE")
         .when(F.col("median_cents") <= 0, "NON_POSITIVE_FARE")
         .when((F.col("variant") == "EXCL_REVIEW_HIGH") & F.col("max_severity").isin("REVIEW", "HIGH"), "EXCLUDED_REVIEW_HIGH")
         .otherwise("ELIGIBLE")
     )
-    return out.withColumn("index_eligibility_status", status)
+    return out.withColumn("index_eligibility_status", status).drop("_raw")
 
 
 def rounds(grain_a: DataFrame) -> DataFrame:
@@ -62,12 +66,19 @@ def item_relatives(items: DataFrame) -> DataFrame:
 
 
 def unpriced(items: DataFrame) -> DataFrame:
-    """Items of anchored rounds that a link leaves out, by reason."""
-    bad = items.where("index_eligibility_status <> 'ELIGIBLE' and round_alignment = 'ANCHORED'").join(F.broadcast(rounds_of(items)), "collection_round_id")
+    """Items of anchored rounds that a link leaves out, by reason.  The base round has no
+    link."""
+    bad = items.where("index_eligibility_status <> 'ELIGIBLE' and round_alignment = 'ANCHORED'").join(F.broadcast(rounds_of(items)), "collection_round_id").where("link_sequence > 0")
     status = F.when(F.col("index_eligibility_status") == "EXCLUDED_REVIEW_HIGH", "EXCLUDED_ANOMALY").otherwise("UNPRICED")
     return bad.select("variant", "link_sequence", "item_id", "route_id", status.alias("item_status"), "index_eligibility_status")
 
 
+def item_rows(items: DataFrame) -> DataFrame:
+    """Every item of every link in one of five states: MATCHED, ENTERING, LEAVING, and
+    those a link leaves out, UNPRICED and EXCLUDED_ANOMALY."""
+    return item_relatives(items).unionByName(unpriced(items), allowMissingColumns=True)
+
+
 def _route_parts(items: DataFrame, basket: DataFrame) -> DataFrame:
     """Item counts and mean logarithm of each route in a link, in one grouping."""
     is_ = lambda name: F.col("item_status") == name

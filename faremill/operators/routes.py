@@ -97,3 +97,77 @@ def crosswalk(routed: DataFrame, basket: DataFrame) -> DataFrame:
 def lineage(routed: DataFrame) -> DataFrame:
     """Which cell went into which row of Grain A."""
     return routed.where("route_id is not null").select(S.key("RSERIES::", *[F.col(k) for k in ("route_id", "fare_class", "advance_purchase_window", "travel_date")]).alias("route_series_id"), "consolidation_cell_id", "collection_round_id", "direction_relation", "fare_cents")
+
+
+def observation_bundles(rows: DataFrame) -> DataFrame:
+    """What went into each cell, from mapped observations: counts and sorted ids.  A
+    cell is one product in one round, so its lists are short."""
+    ids = lambda c: F.array_sort(F.collect_set(c))
+    mine = lambda status: F.when(F.col("participation_status") == status, F.col("observation_id").cast("string"))
+    return rows.where("consolidation_cell_id is not null").groupBy("consolidation_cell_id").agg(
+        F.count(F.lit(1)).alias("mapped_observations"),
+        ids(mine("PARTICIPATED")).alias("contributing_ids"),
+        ids(mine("EXCLUDED_SOLD_OUT")).alias("excluded_sold_out_ids"),
+        F.count_if(S.observation_price_state(F.col("availability_status"), F.col("fare_cents")) == "SOLD_OUT").alias("sold_out_in_bundle"),
+        ids(F.col("flight_cell_id")).alias("flight_cell_ids"),
+    )
+
+
+def with_bundles(cells: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Every cell with its bundle, an empty one where nothing is mapped to it."""
+    out = cells.join(bundles, "consolidation_cell_id", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({**{n: F.coalesce(n, F.lit(0).cast("long")) for n in ("mapped_observations", "sold_out_in_bundle")}, **{n: F.coalesce(n, none) for n in ("contributing_ids", "excluded_sold_out_ids", "flight_cell_ids")}})
+
+
+def full_measures(cells: DataFrame, keys: tuple[str, ...] = GRAIN_A) -> DataFrame:
+    """All measures of routed cells by ``keys``.  The cells carry bundles, severity, and
+    flagged_rules and not_evaluable_rules as arrays.  Every cell counts; none is left
+    out for its severity.  The id lists hold every id of a group: use keys of which a
+    group is a round or less."""
+    fare, sev = F.col("fare_cents"), F.coalesce("severity", F.lit("NONE"))
+    review = sev.isin("REVIEW", "HIGH")
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    texts = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c).cast("string"), F.lit(""))))
+    listed = {
+        "anomaly_rule_ids": union("flagged_rules"),
+        "not_evaluable_rule_ids": union("not_evaluable_rules"),
+        "market_movement_classes": F.array_sort(F.collect_set(S.market_class(F.col("participating_sources"), F.col("priced_flights")))),
+        "contributing_observation_ids": union("contributing_ids"),
+        "flight_cell_ids": union("flight_cell_ids"),
+        "contributing_travel_dates": texts("travel_date"),
+        "contributing_advance_purchase_windows": texts("advance_purchase_window"),
+        "consolidation_cell_ids": texts("consolidation_cell_id"),
+    }
+    out = cells.groupBy(*keys).agg(
+        S.midpoint_cents(fare).alias("median_cents"),
+        F.min(fare).alias("min_cents"),
+        F.max(fare).alias("max_cents"),
+        F.count(F.lit(1)).alias("contributing_cells"),
+        F.count(fare).alias("priced_cells"),
+        *[F.count_if(sev == s).alias(f"{s.lower()}_severity_cells") for s in S.SEVERITIES],
+        F.max(S.rank(sev)).alias("_severity"),
+        F.count_if(F.size("not_evaluable_rules") > 0).alias("not_evaluable_cells"),
+        F.count_if(review).alias("recommended_review_cells"),
+        F.sum(F.size("contributing_ids")).alias("contributing_observations"),
+        F.sum("sold_out_in_bundle").alias("sold_out_observations"),
+        F.sum(F.size("excluded_sold_out_ids")).alias("excluded_sold_out_observations"),
+        F.sum("mapped_observations").alias("mapped_observations"),
+        *[x.alias(n) for n, x in listed.items()],
+    )
+    size = lambda n: F.size(n).cast("long")
+    out = out.withColumns(
+        {
+            "unpriced_cells": F.col("contributing_cells") - F.col("priced_cells"),
+            "anomaly_excluded_cells": F.lit(0).cast("long"),
+            "relative_spread": F.round(S.relative_spread(F.col("min_cents"), F.col("max_cents")), 6),
+            "route_price_state": F.when(F.col("median_cents").isNotNull(), "PRICED").otherwise("NOT_PRICED"),
+            "max_severity": S.severity(F.col("_severity")),
+            "recommended_review": F.col("recommended_review_cells") > 0,
+            "contributing_observation_id_count": size("contributing_observation_ids"),
+            "flight_cells": size("flight_cell_ids"),
+            "travel_dates": size("contributing_travel_dates"),
+            "advance_purchase_windows": size("contributing_advance_purchase_windows"),
+        }
+    )
+    return out.withColumns({n: F.array_join(n, ";") for n in listed}).drop("_severity")

@@ -47,6 +47,56 @@ def test_greedy_basket(spark):
     assert [got.get(k) for k in ("r00", "r09", "new", "city", "r10", "old")] == ["TOP_TRAFFIC", "TOP_TRAFFIC", "NEW_REGION", "NEW_CITY", "NEW_CITY", None]
 
 
+def test_greedy_basket_walks_few_routes(spark):
+    """The same choice as a walk over the whole ranking."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"r{k:03d}", 1000 - k, f"c{rng.randrange(40)}", f"c{rng.randrange(40)}", f"g{min(rng.randrange(12), rng.randrange(12))}", f"g{min(rng.randrange(12), rng.randrange(12))}") for k in range(300)]
+    r = basket.ranked(spark.createDataFrame(rows, "route_id string, passengers long, city_1 string, city_2 string, region_1 string, region_2 string"))
+    for top, target in ((3, 15), (10, 60), (2, 4)):
+        want, passed, regions, cities = {}, [], set(), set()
+        for x in rows:
+            stage = "TOP_TRAFFIC" if len(want) < top else "NEW_REGION" if len(want) < target and {x[4], x[5]} - regions else None
+            if stage is None:
+                passed.append(x)
+                continue
+            want[x[0]] = stage
+            cities |= {x[2], x[3]}
+            regions |= {x[4], x[5]}
+        for x in passed:
+            if len(want) < target and {x[2], x[3]} - cities:
+                want[x[0]] = "NEW_CITY"
+                cities |= {x[2], x[3]}
+        assert {x.route_id: x.selection_stage for x in basket.diversified(r, top, target).collect()} == want
+
+
+def test_fares_read_from_text(spark):
+    rows = [("PRICED", "100"), ("PRICED", " "), ("PRICED", None), ("PRICED", "n/a"), ("PRICED", "0"), ("NOT_PRICED", "5"), ("NO_OBSERVATIONS", None)]
+    g = spark.createDataFrame([("A-B", "x", "T1", "d", "NONE", *r) for r in rows], "route_id string, fare_class string, advance_purchase_window string, travel_date string, max_severity string, route_price_state string, median_cents string")
+    got = [r.index_eligibility_status for r in index.eligible(g, ("PRIMARY",)).collect()]
+    assert sorted(got) == sorted(["ELIGIBLE", "MISSING_FARE", "MISSING_FARE", "UNPARSABLE_FARE", "NON_POSITIVE_FARE", "NOT_PRICED", "NO_OBSERVATIONS"])
+
+
+def test_planned_searches(spark):
+    b = spark.createDataFrame([("AAA-BBB", 1), ("CCC-DDD", 2)], "route_id string, basket_rank int")
+    assert collection.planned_searches(b, "2026-09-01").count() == 20
+    one = collection.planned_searches(b, "2026-09-01", ("ddd-ccc",)).collect()
+    assert len(one) == 10 and {r.route_id for r in one} == {"CCC-DDD"}
+    with pytest.raises(ValueError, match="XXX"):
+        collection.planned_searches(b, "2026-09-01", ("AAA-XXX",))
+
+
+def test_full_measures_of_cells_without_observations(spark):
+    c = cells(spark, {("AAA", "BBB", "x"): [100, 0]}).withColumns({"severity": F.lit("HIGH"), "flagged_rules": F.array(F.lit("R09")), "not_evaluable_rules": F.array().cast("array<string>")})
+    b = routes.route_cells(c, spark.createDataFrame([("AAA-BBB",)], "route_id string"))
+    none = "consolidation_cell_id string, mapped_observations long, contributing_ids array<string>, excluded_sold_out_ids array<string>, sold_out_in_bundle long, flight_cell_ids array<string>"
+    r = routes.full_measures(routes.with_bundles(b, spark.createDataFrame([], none)), ("route_id",)).first()
+    assert (r.contributing_cells, r.priced_cells, r.unpriced_cells, r.median_cents, r.relative_spread) == (2, 1, 1, 100, 0)
+    assert (r.high_severity_cells, r.max_severity, r.anomaly_rule_ids, r.not_evaluable_rule_ids, r.recommended_review) == (2, "HIGH", "R09", "", True)
+    assert (r.contributing_observations, r.contributing_observation_ids, r.flight_cells, r.mapped_observations) == (0, "", 0, 0)
+
+
 def test_zero_rows_and_directions(two):
     b, routed = two
     a = {(r.route_id, r.fare_class, r.collection_round_id): r for r in routes.grain_a(routed, b).collect()}

@@ -97,6 +97,32 @@ def test_sweep_does_not_chain(spark):
     assert got == {f"{k:02d}": f"{minutes.index(a):02d}" for k, a in enumerate(sweep(minutes))} | {"99": "99"}
 
 
+def test_sweep_of_long_stretches(spark):
+    """Stretches that never pause, over many batches, ties in time, and a null bucket."""
+    rng = random.Random(7)
+    lines = {b: sorted(rng.randrange(900) for _ in range(400)) for b in ("x", "y", None)}
+    rows = [(f"{b}{k:04d}", b, m) for b, line in lines.items() for k, m in enumerate(line)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, bucket string, m int").withColumn("ts", F.timestamp_seconds(F.col("m") * 60).cast("timestamp_ntz"))
+    out = dedup.anchored_sweep(df, ["bucket"], "ts", "id").collect()
+    want = {}
+    for b, line in lines.items():
+        anchor = None
+        for k, m in enumerate(line):
+            if anchor is None or m - line[anchor] > 15:
+                anchor = k
+            want[f"{b}{k:04d}"] = f"{b}{anchor:04d}"
+    assert {r.id: r.canonical for r in out} == want
+    sizes = {a: list(want.values()).count(a) for a in set(want.values())}
+    assert all(r.group_size == sizes[r.canonical] for r in out) and len(out) == 1200
+
+
+def test_sweep_of_nothing_and_of_missing_times(spark):
+    df = spark.createDataFrame([("a", "b", None), ("c", "b", None), ("d", "b", 60)], "id string, bucket string, m int").withColumn("ts", F.timestamp_seconds("m").cast("timestamp_ntz"))
+    assert {r.id: r.canonical for r in dedup.anchored_sweep(df, ["bucket"], "ts", "id").collect()} == {"a": "a", "c": "c", "d": "d"}
+    assert dedup.anchored_sweep(df.where("false"), ["bucket"], "ts", "id").count() == 0
+
+
 def test_duplicate_reasons(spark):
     raw = frame(
         spark,
