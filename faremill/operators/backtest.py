@@ -211,3 +211,25 @@ def coverage_policies(coverage: DataFrame, round_rows: DataFrame) -> DataFrame:
     passed = F.coalesce(F.col("coverage_pct") >= CPI_COVERAGE, F.lit(False))
     reason = F.when(passed, None).when(F.col("coverage_policy_id") == COVERAGE_POLICIES[-1], "LOW_COVERAGE_BELOW_80_PERCENT").otherwise("PARTIAL_COVERAGE_DIAGNOSTIC_ONLY")
     return out.withColumns({"relative_available": F.col("matched_items") > 0, "weight_missing": F.round(1 - F.col("weight_represented"), 6), "coverage_gate_passed": passed, "exclusion_reason": reason})
+
+
+def reference_metadata(series: DataFrame, series_id: str, is_price: bool) -> DataFrame:
+    """One row on a (month, value) series: its span, how many values it has and lacks,
+    and what it may be compared with.  Traffic is context, never a price."""
+    out = series.agg(F.min("month").alias("date_start"), F.max("month").alias("date_end"), F.count(F.lit(1)).alias("observation_count"), (F.count(F.lit(1)) - F.count("value")).alias("missing_value_count"))
+    grain = "MONTHLY_COMPLETE_ONLY" if is_price else "COVERAGE_CONTEXT_ONLY"
+    return out.select(F.lit(series_id).alias("reference_series_id"), F.lit("PRICE" if is_price else "TRAFFIC_NOT_PRICE").alias("classification"), "*", F.lit(is_price).alias("valid_comparison_target"), F.lit(grain).alias("valid_comparison_grains"))
+
+
+def metric_lineage(metric_rows: DataFrame, comparison: DataFrame, sensitivity_rows: DataFrame | None = None) -> DataFrame:
+    """Which month's value each metric is of, or why it is not: metrics by months of
+    either series (both are few), and the rounds of the sensitivities."""
+    months = comparison.select("month", "match_status", F.explode(F.array(F.struct(F.lit("INDEX").alias("role"), F.col("level").alias("v")), F.struct(F.lit("REFERENCE").alias("role"), F.col("reference_level").alias("v")))).alias("x")).where("x.v is not null")
+    used = F.col("match_status") == "MATCHED_COMPLETE_MONTH"
+    out = metric_rows.select("metric").crossJoin(months.select("month", "match_status", "x.*")).select(
+        "metric", F.col("role").alias("input_role"), F.col("month").alias("period_id"), F.col("v").alias("source_value"), F.when(~used, F.col("match_status")).alias("exclusion"), F.when(used, "RESOLVED").otherwise("BLOCKED_INPUT_TRACED").alias("lineage_status")
+    )
+    if sensitivity_rows is None:
+        return out
+    more = sensitivity_rows.select(F.col("sensitivity").alias("metric"), F.lit("SENSITIVITY").alias("input_role"), F.col("collection_round_id").alias("period_id"), F.col("index_level").alias("source_value"), F.lit(None).cast("string").alias("exclusion"), F.lit("RESOLVED").alias("lineage_status"))
+    return out.unionByName(more)

@@ -151,3 +151,48 @@ def planned_searches(basket: DataFrame, collection_date: str, selected: tuple[st
     rows = rows.withColumn("way", way).withColumn("w", F.explode(F.array(*named)))
     day = F.lit(collection_date).cast("date")
     return rows.select("route_id", "basket_rank", "way.origin", "way.destination", day.alias("collection_date"), F.date_add(day, F.col("w.days")).alias("travel_date"), F.col("w.days").alias("advance_purchase_days"), F.col("w.code").alias("apw_target_code"))
+
+
+#: What is read of a payload whose itineraries, legs, segments, carriers and agents are
+#: maps by id.
+_TIME = "struct<year:string,month:string,day:string,hour:string,minute:string,second:string>"
+_PRICE = "struct<amount:string,unit:string>"
+_OPTION = f"struct<id:string,agentIds:array<string>,price:{_PRICE},pricingOptionFare:struct<brandNames:array<string>>,items:array<struct<agentId:string,price:{_PRICE}>>>"
+_RESULTS = (
+    f"struct<itineraries:map<string,struct<legIds:array<string>,pricingOptions:array<{_OPTION}>>>,legs:map<string,struct<stopCount:string,segmentIds:array<string>,marketingCarrierIds:array<string>>>,"
+    f"segments:map<string,struct<marketingCarrierId:string,marketingFlightNumber:string,departureDateTime:{_TIME},arrivalDateTime:{_TIME}>>,carriers:map<string,struct<iata:string,name:string>>,agents:map<string,struct<name:string>>>"
+)
+UNCLASSIFIED = "ECONOMY_UNCLASSIFIED"
+
+
+def _iso(t) -> F.Column:
+    """A struct of parts as ISO text; null where these are no time."""
+    part = lambda n: t[n].try_cast("int")
+    rest = [F.coalesce(part(n), F.lit(0)) for n in ("hour", "minute", "second")]
+    return F.date_format(F.try_make_timestamp_ntz(part("year"), part("month"), part("day"), *rest), "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def itinerary_offers(payloads: DataFrame, mappings: dict[str, str], known: tuple[str, ...]) -> DataFrame:
+    """(query_id, collected_at, payload JSON) -> one row an item of a pricing option of a
+    direct, single-leg itinerary, with its segment, carrier and agent looked up by id.
+    Items without a price above zero are left out; ids that lead nowhere give nulls."""
+    c, get = F.col, F.get
+    p = payloads.select("query_id", "collected_at", F.from_json("payload", f"struct<content:struct<results:{_RESULTS}>>")["content"]["results"].alias("r"))
+    out = p.select("*", F.explode(F.map_entries("r.itineraries")).alias("i")).where(F.size("i.value.legIds") == 1)
+    out = out.withColumn("leg", F.element_at("r.legs", get("i.value.legIds", F.lit(0)))).where(c("leg.stopCount").try_cast("int") == 0)
+    out = out.withColumn("segment", F.element_at("r.segments", get("leg.segmentIds", F.lit(0))))
+    carrier = F.coalesce(F.nullif(c("segment.marketingCarrierId"), F.lit("")), get("leg.marketingCarrierIds", F.lit(0)))
+    out = out.withColumn("carrier", F.element_at("r.carriers", carrier))
+    out = out.select("query_id", "collected_at", c("i.key").alias("itinerary_id"), "segment", "carrier", c("r.agents").alias("agents"), F.explode("i.value.pricingOptions").alias("o"))
+    whole = F.array(F.struct(get("o.agentIds", F.lit(0)).alias("agentId"), c("o.price").alias("price")))
+    out = out.withColumn("item", F.explode(F.when(F.size("o.items") > 0, c("o.items")).otherwise(whole)))
+    price = F.coalesce("item.price", "o.price")
+    out = out.withColumns({"unit": price["unit"], "total_fare": S.unit_price(price["amount"].try_cast("double"), price["unit"]), "agent_id": F.coalesce("item.agentId", get("o.agentIds", F.lit(0)))}).where("total_fare > 0")
+    brands = F.array_join("o.pricingOptionFare.brandNames", " | ")
+    out = out.withColumn("fare_class_raw", F.coalesce(F.nullif(brands, F.lit("")), F.lit(UNCLASSIFIED)))
+    fare = S.fare_class_of(c("fare_class_raw"), mappings, known)
+    return out.select(
+        "query_id", "collected_at", "itinerary_id", c("o.id").alias("pricing_option_id"), "agent_id", F.element_at("agents", c("agent_id"))["name"].alias("agent"), "total_fare", c("unit").alias("price_unit"),
+        "fare_class_raw", fare["value"].alias("fare_class"), fare["action"].alias("fare_class_action"), c("carrier.iata").alias("carrier_code"), c("carrier.name").alias("carrier"), c("segment.marketingFlightNumber").alias("flight_number"),
+        _iso(c("segment.departureDateTime")).alias("departure_at"), _iso(c("segment.arrivalDateTime")).alias("arrival_at"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import anomaly, backtest, collection, consolidation, dashboard, index, routes, validation
 from .indexing import ITEMS, ROUTED, TRAFFIC, cells, event_basket, grain_a, items, routed
+from .reports import MONTHS, comparison
 from .roles import QUOTES, RAW, STAGES, quotes, raw_observations, registry, table
 from .screening import FLIGHTS, POINTS, _rank
 
@@ -177,3 +178,32 @@ def daily_levels(spark, sf_dir):
 def look_back(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("date").alias("day"))
     return dashboard.look_back(e, "day", "1M").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {MONTHS} SELECT 'LINE_VALUE' AS reference_series_id, 'PRICE' AS classification, min(month) AS date_start, max(month) AS date_end, count(*) AS observation_count, count(*) - count(ref) AS missing_value_count, TRUE AS valid_comparison_target, 'MONTHLY_COMPLETE_ONLY' AS valid_comparison_grains FROM b""")
+def reference_metadata(spark, sf_dir):
+    series = comparison(spark, sf_dir).where("reference_level is not null").select("month", F.col("reference_level").alias("value"))
+    return backtest.reference_metadata(series, "LINE_VALUE", True)
+
+
+@query(f"""WITH {MONTHS}, s AS (SELECT month, match_status, 'INDEX' AS input_role, level AS v FROM cmp WHERE level IS NOT NULL UNION ALL SELECT month, match_status, 'REFERENCE', ref FROM cmp WHERE ref IS NOT NULL)
+SELECT metric, input_role, month AS period_id, round(v, 4) AS source_value, CASE WHEN match_status <> 'MATCHED_COMPLETE_MONTH' THEN match_status END AS exclusion, CASE WHEN match_status = 'MATCHED_COMPLETE_MONTH' THEN 'RESOLVED' ELSE 'BLOCKED_INPUT_TRACED' END AS lineage_status
+FROM s, (SELECT unnest({list(backtest.MINIMUM)}) AS metric) m""")
+def metric_lineage(spark, sf_dir):
+    c = comparison(spark, sf_dir)
+    return backtest.metric_lineage(backtest.metrics(backtest.pairs(c)), c).withColumn("source_value", F.round("source_value", 4))
+
+
+_PAYLOAD = """concat('{"content":{"results":{"itineraries":{"direct":{"legIds":["l0"],"pricingOptions":[{"id":"o1","agentIds":["a1"],"price":{"amount":"', cents, '","unit":"PRICE_UNIT_CENTI"},"pricingOptionFare":{"brandNames":["Saver"]},"items":[]},',
+  '{"id":"o2","agentIds":["a2"],"items":[{"agentId":"a1","price":{"amount":"', event_id, '","unit":"PRICE_UNIT_WHOLE"}},{"agentId":"gone","price":{"amount":"x","unit":"PRICE_UNIT_WHOLE"}}]}]},"return":{"legIds":["l0","l0"],"pricingOptions":[]}},',
+  '"legs":{"l0":{"stopCount":', user_id % 2, ',"segmentIds":["s0"]}},"segments":{"s0":{"marketingCarrierId":"c0","marketingFlightNumber":"', user_id, '","departureDateTime":{"year":2026,"month":9,"day":', event_id % 32, ',"hour":8}}},"carriers":{"c0":{"iata":"ZZ","name":"Zed"}},"agents":{"a1":{"name":"First"}}}}}')"""
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cents, CASE WHEN event_id % 32 BETWEEN 1 AND 30 THEN '2026-09-' || lpad(CAST(event_id % 32 AS VARCHAR), 2, '0') || 'T08:00:00' END AS departure_at FROM events WHERE user_id % 2 = 0)
+SELECT event_id AS query_id, 'direct' AS itinerary_id, 'o1' AS pricing_option_id, 'a1' AS agent_id, 'First' AS agent, cents / 100 AS total_fare, 'Saver' AS fare_class_raw, 'Economy Saver' AS fare_class, 'ZZ' AS carrier_code, CAST(user_id AS VARCHAR) AS flight_number, departure_at FROM e WHERE cents > 0
+UNION ALL SELECT event_id, 'direct', 'o2', 'a1', 'First', event_id, 'ECONOMY_UNCLASSIFIED', 'ECONOMY_UNCLASSIFIED', 'ZZ', CAST(user_id AS VARCHAR), departure_at FROM e WHERE event_id > 0""")
+def itinerary_offers(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("cents", S.cents(F.col("value")))
+    payloads = e.select(F.col("event_id").alias("query_id"), F.col("ts").alias("collected_at"), F.expr(_PAYLOAD).alias("payload"))
+    o = collection.itinerary_offers(payloads, {"Saver": "Economy Saver"}, ("Economy Saver",))
+    return o.select("query_id", "itinerary_id", "pricing_option_id", "agent_id", "agent", F.col("total_fare").cast("double").alias("total_fare"), "fare_class_raw", "fare_class", "carrier_code", "flight_number", "departure_at")

@@ -124,9 +124,13 @@ def thin_r09(spark, sf_dir):
     return anomaly.cell_rules(cells(spark, sf_dir)).select("rule_id", "entity_id", "reason")
 
 
-@query(f"WITH {STAGES} SELECT 'SERIES::' || origin || '|' || destination || '|' || fare_class || '|T45(40-50)|2024-03-01' AS entity_id, CAST(count(*) FILTER (alignment = 'ANCHORED' AND cents IS NOT NULL) AS DOUBLE) AS value FROM cell GROUP BY origin, destination, fare_class HAVING count(*) FILTER (alignment = 'ANCHORED' AND cents IS NOT NULL) <= 3")
+#: Series by the last digits of the fare, so that some are short at every size.
+@query(f"""WITH {STAGES}, fine AS (SELECT 'SERIES::' || origin || '|' || destination || '|' || fare_class || ' ' || (coalesce(cents, 0) % 9973) || '|T45(40-50)|2024-03-01' AS entity_id, alignment = 'ANCHORED' AND cents IS NOT NULL AS there FROM cell)
+SELECT entity_id, CAST(count(*) FILTER (there) AS DOUBLE) AS value FROM fine GROUP BY entity_id HAVING count(*) FILTER (there) <= 3""")
 def history_r10(spark, sf_dir):
-    return anomaly.history_rules(cells(spark, sf_dir)).select("entity_id", "value")
+    c = cells(spark, sf_dir)
+    fine = c.withColumn("fare_class", F.concat("fare_class", F.lit(" "), (F.coalesce("fare_cents", F.lit(0)) % 9973).cast("string")))
+    return anomaly.history_rules(fine).select("entity_id", "value")
 
 
 PEERS = (

@@ -87,6 +87,14 @@ def test_planned_searches(spark):
         collection.planned_searches(b, "2026-09-01", ("AAA-XXX",))
 
 
+def test_itinerary_offers_of_odd_payloads(spark):
+    good = '{"content":{"results":{"itineraries":{"i":{"legIds":["l"],"pricingOptions":[{"id":"o","agentIds":[],"price":{"amount":"12500","unit":"%s"}}]}},"legs":{"l":{"stopCount":"0"}}}}}'
+    bodies = [good % "PRICE_UNIT_CENTI", good % "PRICE_UNIT_UNSPECIFIED", good.replace('"0"', '"many"') % "PRICE_UNIT_CENTI", "{}", "no json", None, good.replace('"l"]', '"lost"]') % "PRICE_UNIT_CENTI"]
+    p = spark.createDataFrame([(str(k), "t", x) for k, x in enumerate(bodies)], "query_id string, collected_at string, payload string")
+    rows = collection.itinerary_offers(p, {"Saver": "Economy Saver"}, ("Economy Saver",)).collect()
+    assert [(r.query_id, r.total_fare, r.agent, r.carrier, r.departure_at, r.fare_class_action) for r in rows] == [("0", Decimal("125.00"), None, None, None, "UNKNOWN_FARE_CLASS")]
+
+
 def test_full_measures_of_cells_without_observations(spark):
     c = cells(spark, {("AAA", "BBB", "x"): [100, 0]}).withColumns({"severity": F.lit("HIGH"), "flagged_rules": F.array(F.lit("R09")), "not_evaluable_rules": F.array().cast("array<string>")})
     b = routes.route_cells(c, spark.createDataFrame([("AAA-BBB",)], "route_id string"))
