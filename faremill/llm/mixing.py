@@ -17,6 +17,8 @@ from . import common
 
 #: Digits of the key that name a bucket: 65,536 buckets a source.
 BUCKET_DIGITS = 4
+#: Digits that name a run of buckets: 256 runs of 256 buckets a source.
+HIGH_DIGITS = 2
 MOST_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 _FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
@@ -62,8 +64,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     narrow = common.materialize(narrow, "sizes").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     by_bucket = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     by_source = targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
-    offsets = by_bucket.withColumn("offset", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(_FIRST, -1)))
-    offsets = offsets.join(by_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "bucket", F.coalesce("offset", F.lit(0)).alias("offset"), "source_size", "target")
+    # Prefix sums of the buckets in two steps, so that no window holds all of a source's.
+    by_bucket = by_bucket.withColumn("high", F.substring("bucket", 1, HIGH_DIGITS))
+    ahead = lambda size, order, *keys: F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(_FIRST, -1)), F.lit(0))
+    by_high = by_bucket.groupBy("source", "high").agg(F.sum("bucket_size").alias("high_size")).select(F.col("source").alias("hs"), F.col("high").alias("hh"), ahead("high_size", "high", "source").alias("high_offset"))
+    offsets = by_bucket.withColumn("low_offset", ahead("bucket_size", "bucket", "source", "high"))
+    offsets = offsets.join(by_high, F.col("source").eqNullSafe(F.col("hs")) & (F.col("high") == F.col("hh"))).withColumn("offset", F.col("high_offset") + F.col("low_offset"))
+    offsets = offsets.join(by_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", "bucket", "offset", "source_size", "target")
     named = offsets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(_FIRST, -1)
     alike = narrow.groupBy("source", "bucket", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
