@@ -81,6 +81,12 @@ def money(c: Column) -> Column:
     return F.round(F.trim(c).try_cast("decimal(20,6)"), 2).cast("decimal(18,2)")
 
 
+def integer(c: Column) -> Column:
+    """The whole part of a number in text, cut towards zero; null on junk."""
+    n = F.trim(c).try_cast("decimal(38,6)")
+    return F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("long")
+
+
 def strict_money(c: Column) -> Column:
     """Money that must parse: junk raises, blank is null."""
     tidy = blank_to_null(c)
@@ -226,7 +232,13 @@ def is_sold_out(status: Column) -> Column:
 
 
 def cell_price_state(status: Column, fare: Column) -> Column:
-    return F.when(fare.isNotNull(), "PRICED").when(status == "NO_PRICE_ALL_SOLD_OUT", "SOLD_OUT").when(status == "NO_PRICE_ALL_MISSING", "MISSING_PRICE").otherwise("NO_PRICE")
+    return F.when((status == "CONSOLIDATED") & fare.isNotNull(), "PRICED").otherwise("NO_PRICE_CELL")
+
+
+def flight_price_state(fare: Column, sold_out: Column, priced: Column) -> Column:
+    """Of a flight's captures without a fare, one that was sold out decides."""
+    none = F.coalesce(priced, F.lit(0)) == 0
+    return F.when(fare.isNotNull(), "PRICED").when(none & (sold_out > 0), "SOLD_OUT").otherwise("MISSING_PRICE")
 
 
 def observation_price_state(status: Column, fare: Column) -> Column:
@@ -329,6 +341,27 @@ def unpacked(c: Column, separator: str = ";") -> Column:
     return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def unpacked_map(c: Column) -> Column:
+    """A map of text to money from a=1;b=2; members that do not parse are left out, and
+    of members with one name the last counts."""
+    pair = F.transform(unpacked(F.coalesce(c, F.lit(""))), lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^=]*)=", 1)).alias("name"), money(F.regexp_extract(x, "^[^=]*=(.*)$", 1)).alias("fare")))
+    good = F.filter(pair, lambda p: p["fare"].isNotNull())
+    names = F.array_distinct(F.transform(good, lambda p: p["name"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(good, lambda p: p["name"] == n), -1)["fare"]))
+
+
+def search_problem(origin: Column, destination: Column, travel: Column, collection: Column) -> Column:
+    """Why a live search may not run; null if it may.  A collection day may be absent."""
+    a, b = F.upper(F.trim(origin)), F.upper(F.trim(destination))
+    no_code = lambda x: ~F.coalesce(x.rlike("^[A-Z]{3}$"), F.lit(False))
+    return (
+        F.when(no_code(a), "INVALID_ORIGIN")
+        .when(no_code(b), "INVALID_DESTINATION")
+        .when(a == b, "ORIGIN_EQUALS_DESTINATION")
+        .when(travel < collection, "TRAVEL_BEFORE_COLLECTION")
+    )
+
+
 def redacted(c: Column) -> Column:
     """A string map without the values of secret-looking keys."""
     return F.transform_values(c, lambda k, v: F.when(F.lower(k).rlike("key|token|secret|password|authorization"), F.lit("[REDACTED]")).otherwise(v))

@@ -46,7 +46,8 @@ def members(canonical: DataFrame) -> DataFrame:
     cell = F.concat(S.key("CELL::", *[c(n) for n in PRODUCT]), F.lit("::"), c("collection_round_id"))
     out = out.withColumn("consolidation_cell_id", F.when(c("in_cell"), cell))
     time = S.departure_time(text("departure_time"))
-    return out.withColumn("flight_cell_id", F.when(c("in_cell"), F.concat(c("consolidation_cell_id"), S.key("::FLT::", c("carrier"), c("flight_number"), time))))
+    out = out.withColumn("departure_time_normalized", time)
+    return out.withColumn("flight_cell_id", F.when(c("in_cell"), F.concat(c("consolidation_cell_id"), S.key("::FLT::", c("carrier"), c("flight_number"), c("departure_time_normalized")))))
 
 
 def source_values(rows: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def source_values(rows: DataFrame) -> DataFrame:
     is_ = lambda name: F.count_if(F.col("participation_status") == name)
     fare = F.when(priced, F.col("fare_cents"))
     return rows.where("in_cell").groupBy("consolidation_cell_id", "flight_cell_id", "source").agg(
-        *[F.min(n).alias(n) for n in (*PRODUCT, *FLIGHT[:2], *ROUND)],
+        *[F.min(n).alias(n) for n in (*PRODUCT, *FLIGHT[:2], "departure_time_normalized", *ROUND)],
         S.midpoint_cents(fare).alias("source_cents"),
         F.count(F.lit(1)).alias("observations"),
         F.count_if(priced).alias("priced_observations"),
@@ -78,14 +79,14 @@ def flight_cells(rows: DataFrame) -> DataFrame:
     there = F.col("source_cents").isNotNull()
     out = source_values(rows).groupBy("consolidation_cell_id", "flight_cell_id").agg(
         *_totals(),
-        *[F.min(n).alias(n) for n in FLIGHT[:2]],
+        *[F.min(n).alias(n) for n in (*FLIGHT[:2], "departure_time_normalized")],
         S.midpoint_cents(F.col("source_cents")).alias("flight_cents"),
         F.nullif(F.count("source_cents"), F.lit(0)).alias("priced_sources"),
         (F.max("source_cents") - F.min("source_cents")).alias("source_spread_cents"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(there, F.struct("source", "source_cents"))))).alias("source_fares"),
         F.collect_set("source").alias("seen_sources"),
     )
-    state = F.when(F.col("flight_cents").isNotNull(), "PRICED").when(F.col("sold_out_observations") == F.col("observations"), "SOLD_OUT").otherwise("MISSING_PRICE")
+    state = S.flight_price_state(F.col("flight_cents"), F.col("sold_out_observations"), F.col("priced_observations"))
     return out.withColumns({"flight_price_state": state, "source_fares": F.when(F.size("source_fares") > 0, F.col("source_fares"))})
 
 

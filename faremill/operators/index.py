@@ -38,6 +38,23 @@ def eligible(grain_a: DataFrame, variants: tuple[str, ...] = VARIANTS) -> DataFr
     return out.withColumn("index_eligibility_status", status).drop("_raw")
 
 
+def checked(grain_a: DataFrame, basket: DataFrame) -> DataFrame:
+    """Grain A, once its contract holds: routes of the basket only, one row an item and
+    round, one sort key and alignment a round, positive fares where a row is priced."""
+    seen = grain_a.where("route_price_state <> 'NO_OBSERVATIONS'")
+    priced, fare = F.col("route_price_state") == "PRICED", F.col("median_cents")
+    faults = {
+        "a route outside the basket": grain_a.join(small(basket.select("route_id")), "route_id", "left_anti"),
+        "an item twice in a round": seen.groupBy(*ITEM, "collection_round_id").count().where("count > 1"),
+        "a round with two sort keys or alignments": seen.select("collection_round_id", "round_sort_key", "round_alignment").distinct().groupBy("collection_round_id").count().where("count > 1"),
+        "a priced row without a positive fare": seen.where(priced & ~F.coalesce(fare > 0, F.lit(False))),
+    }
+    for name, rows in faults.items():
+        if not rows.isEmpty():
+            raise ValueError(f"grain A: {name}")
+    return grain_a
+
+
 def rounds(grain_a: DataFrame) -> DataFrame:
     """Anchored rounds in order: link_sequence from 0, and the round before."""
     order = Window.orderBy("round_sort_key")

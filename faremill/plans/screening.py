@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, consolidation, normalization
 from .indexing import cells
-from .roles import STAGES, quotes, registry
+from .roles import QUOTES, STAGES, quotes, registry
 
 QUERIES, ORACLES, query = registry()
 
@@ -64,6 +64,51 @@ POINTS = (
 )
 
 
+def _renamed(df):
+    """Carriers and flight numbers of mixed spelling."""
+    return df.withColumns({"carrier": F.when(F.col("carrier") == "C0", F.lit(" 6e")).otherwise(F.col("carrier")), "flight_number": F.lower("flight_number")})
+
+
+_FLAGS = lambda *parts: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {when} THEN '{name}' END" for name, when in parts) + "], lambda x: x IS NOT NULL), '|')"
+
+
+@query(
+    f"""WITH {STAGES} SELECT cell_id AS consolidation_cell_id, CASE WHEN observations % 3 = 0 THEN 'Mystery' ELSE fare_class END AS fare_class_canonical, observations % 3 <> 0 AS fare_class_is_known,
+  CASE WHEN observations % 3 <> 0 THEN list_position(['Economy Saver', 'Economy Standard', 'Economy Flexi'], fare_class) END AS fare_class_tier_rank, CASE WHEN cents IS NOT NULL THEN 'PRICED' ELSE 'NO_PRICE_CELL' END AS price_state,
+  CAST(cents / 100 AS DOUBLE) AS consolidated_fare, round_key AS round_sort_key, CASE WHEN alignment = 'ANCHORED' THEN 'ANCHOR_TIMESTAMP' ELSE 'ROUND_ID' END AS round_sort_key_source,
+  {_FLAGS(("MISSING_PRICE", "cents IS NULL"), ("UNKNOWN_FARE_CLASS", "observations % 3 = 0"))} AS normalization_flags FROM cell"""
+)
+def normalized_cells(spark, sf_dir):
+    c = consolidation.cells(consolidation.members(quotes(spark, sf_dir)))
+    n = F.col("observations")
+    out = normalization.normalized_cells(c.withColumn("fare_class", F.when(n % 3 == 0, F.lit(" Mystery")).when(n % 2 == 0, F.upper("fare_class")).otherwise(F.col("fare_class"))))
+    return out.select("consolidation_cell_id", "fare_class_canonical", "fare_class_is_known", "fare_class_tier_rank", "price_state", F.col("consolidated_fare_normalized").cast("double").alias("consolidated_fare"), "round_sort_key", "round_sort_key_source", "normalization_flags")
+
+
+@query(
+    f"""WITH {STAGES}, f AS (SELECT cell_id, flight, carrier, flight_number, any_value(round_key) AS round_key, count(cents) AS priced, count(*) FILTER (sold) AS sold FROM quotes GROUP BY ALL)
+SELECT cell_id || '::FLT::' || flight || '|08:10' AS flight_cell_id, CASE WHEN carrier = 'C0' THEN '6E' ELSE carrier END AS carrier_canonical, carrier = 'C0' AS carrier_is_known, flight_number AS flight_number_canonical, '08:10' AS departure_time_canonical,
+  CASE WHEN priced > 0 THEN 'PRICED' WHEN sold > 0 THEN 'SOLD_OUT' ELSE 'MISSING_PRICE' END AS price_state, round_key AS round_sort_key, {_FLAGS(("UNKNOWN_CARRIER", "carrier <> 'C0'"))} AS normalization_flags FROM f"""
+)
+def normalized_flight_cells(spark, sf_dir):
+    f = consolidation.flight_cells(consolidation.members(quotes(spark, sf_dir)))
+    return normalization.normalized_flight_cells(_renamed(f)).select("flight_cell_id", "carrier_canonical", "carrier_is_known", "flight_number_canonical", "departure_time_canonical", "price_state", "round_sort_key", "normalization_flags")
+
+
+@query(
+    f"""WITH {QUOTES}, m AS (SELECT *, event_id AS n, CASE WHEN event_id % 17 <> 0 THEN cents + CASE WHEN event_id % 19 = 0 THEN 500 ELSE 0 END END AS total FROM quotes),
+d AS (SELECT *, total IS NOT NULL AND n % 11 <> 0 AS complete FROM m)
+SELECT observation_id, CASE WHEN n % 13 = 0 THEN 'Somewhere' ELSE source END AS source_canonical, n % 13 <> 0 AS source_is_known, CASE WHEN carrier = 'C0' THEN '6E' ELSE carrier END AS carrier_canonical, strftime(cts, '%Y-%m-%dT%H:%M:%S') AS collection_timestamp_iso, round_key AS round_sort_key,
+  CASE WHEN sold THEN 'SOLD_OUT' WHEN total IS NULL THEN 'MISSING_PRICE' ELSE 'PRICED' END AS price_state, complete AS fare_decomposition_complete, CASE WHEN complete THEN n % 19 <> 0 END AS fare_components_reconcile,
+  {_FLAGS(("FARE_COMPONENTS_MISMATCH", "complete AND n % 19 = 0"), ("FARE_DECOMPOSITION_INCOMPLETE", "NOT complete"), ("MISSING_PRICE", "total IS NULL AND NOT sold"), ("UNKNOWN_CARRIER", "carrier <> 'C0'"), ("UNKNOWN_SOURCE", "n % 13 = 0"))} AS normalization_flags FROM d"""
+)
+def normalized_map(spark, sf_dir):
+    q = quotes(spark, sf_dir)
+    n = F.col("observation_id").cast("long")
+    rows = _renamed(consolidation.members(q)).withColumns({"source": F.when(n % 13 == 0, F.lit("Somewhere")).otherwise(F.col("source")), "total_fare": F.when(n % 17 != 0, F.col("total_fare") + F.when(n % 19 == 0, 5).otherwise(0))})
+    return normalization.normalized_map(rows, q).select("observation_id", "source_canonical", "source_is_known", "carrier_canonical", "collection_timestamp_iso", "round_sort_key", "price_state", "fare_decomposition_complete", "fare_components_reconcile", "normalization_flags")
+
+
 def _rank(v):
     return f"CASE WHEN {v} > 0.3 THEN (CASE WHEN coherent THEN 'REVIEW' ELSE 'HIGH' END) ELSE (CASE WHEN coherent THEN 'INFO' ELSE 'REVIEW' END) END"
 

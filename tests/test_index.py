@@ -347,3 +347,19 @@ def test_orders_and_whitelists(spark, two):
     assert dashboard.only(r, ("status", "rule_id")).columns == ["status", "rule_id"]
     with pytest.raises(ValueError):
         dashboard.only(r, ("colour",))
+
+
+def test_grain_a_contract(spark):
+    b = basket.weighted(spark.createDataFrame([("AAA-BBB", 600), ("CCC-DDD", 300)], "route_id string, passengers long"))
+    good = routes.grain_a(routes.route_cells(cells(spark, {("AAA", "BBB", "x"): [100, 0, 120]}), b), b)
+    assert index.checked(good, b).count() == 4
+    first = good.where("collection_round_id = 'ROUND-2026-09-01 09:00'")
+    faulty = {
+        "outside": good.withColumn("route_id", F.lit("XXX-YYY")),
+        "twice": good.unionByName(first),
+        "two sort keys": good.unionByName(first.withColumn("fare_class", F.lit("y")).withColumn("round_sort_key", F.lit("2026-09-09 09:00"))),
+        "positive": good.withColumn("median_cents", F.when(F.col("median_cents") == 100, 0).otherwise(F.col("median_cents")).cast("long")),
+    }
+    for name, df in faulty.items():
+        with pytest.raises(ValueError, match=name):
+            index.checked(df, b)

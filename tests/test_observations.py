@@ -206,3 +206,59 @@ def test_scalars(spark):
         one(S.strict_boolean(t("false")))
     with pytest.raises(Exception, match="not a route"):
         one(S.checked_route_id(t("DELBOM")))
+
+
+def test_price_states_of_cells_and_flights(spark):
+    rows = [("CONSOLIDATED", 5, 0, 1), ("CONSOLIDATED", None, 1, 0), ("NO_PRICE_ALL_SOLD_OUT", None, 2, 0), ("NO_PRICE_NO_USABLE_FARE", None, 1, None), ("NO_PRICE_ALL_MISSING", None, 0, 0), ("CONSOLIDATED", None, 3, 1)]
+    df = spark.createDataFrame(rows, "status string, fare long, sold long, priced long")
+    got = df.select(S.cell_price_state(F.col("status"), F.col("fare")).alias("cell"), S.flight_price_state(F.col("fare"), F.col("sold"), F.col("priced")).alias("flight")).collect()
+    assert [r.cell for r in got] == ["PRICED"] + ["NO_PRICE_CELL"] * 5
+    assert [r.flight for r in got] == ["PRICED", "SOLD_OUT", "SOLD_OUT", "SOLD_OUT", "MISSING_PRICE", "MISSING_PRICE"]
+
+
+def test_whole_numbers_maps_and_searches(spark):
+    df = spark.createDataFrame([(" 12.9 ", "a=1.5; b=x;c;a=2"), ("-3.7", ""), ("1,000", None), (None, "n=-1.005")], "i string, m string")
+    got = df.select(S.integer(F.col("i")).alias("i"), S.unpacked_map(F.col("m")).alias("m")).collect()
+    assert [r.i for r in got] == [12, -3, None, None]
+    assert [{k: str(v) for k, v in r.m.items()} for r in got] == [{"a": "2.00"}, {}, {}, {"n": "-1.01"}]
+    searches = [(" del", "BOM", "2026-09-02", "2026-09-01"), ("DEL", "bom", "2026-09-02", None), ("D1L", "BOM", "2026-09-02", None), ("DEL", None, "2026-09-02", None), ("DEL", "del ", "2026-09-02", None), ("DEL", "BOM", "2026-08-31", "2026-09-01")]
+    df = spark.createDataFrame(searches, "a string, b string, t string, c string")
+    got = df.select(S.search_problem(F.col("a"), F.col("b"), F.to_date("t"), F.to_date("c")).alias("p")).collect()
+    assert [r.p for r in got] == [None, None, "INVALID_ORIGIN", "INVALID_DESTINATION", "ORIGIN_EQUALS_DESTINATION", "TRAVEL_BEFORE_COLLECTION"]
+
+
+def test_map_flags(spark):
+    rows = frame(
+        spark, {}, {"source": "mmt ", "carrier": "ZZ", "departure_time": "8:10"}, {"source": "", "fare_class": "Mystery", "origin": " "}, {"collection_timestamp": "soon", "travel_date": "2026-02-30"},
+        {"collection_timestamp": "", "total_fare": "n/a"}, {"fees": "", "total_fare": "5000"}, {"taxes": "900"}, {"availability_status": "Sold Out", "total_fare": ""}, {"departure_time": "noon", "advance_purchase_window": "T9"},
+    )
+    mapped = consolidation.members(rows)
+    got = {r.observation_id: r for r in normalization.normalized_map(mapped, rows.where("observation_id <> 'OBS0'")).collect()}
+    flags = {k: r.normalization_flags for k, r in got.items()}
+    assert flags == {
+        "OBS0": "FARE_DECOMPOSITION_INCOMPLETE",
+        "OBS1": "UNKNOWN_CARRIER",
+        "OBS2": "MISSING_ORIGIN|MISSING_SOURCE|UNKNOWN_FARE_CLASS",
+        "OBS3": "INVALID_TRAVEL_DATE_FORMAT|MISSING_ROUND_SORT_KEY|UNPARSEABLE_COLLECTION_TIMESTAMP",
+        "OBS4": "FARE_DECOMPOSITION_INCOMPLETE|MISSING_COLLECTION_TIMESTAMP|MISSING_PRICE|MISSING_ROUND_SORT_KEY|UNPARSEABLE_MONETARY_VALUE",
+        "OBS5": "FARE_DECOMPOSITION_INCOMPLETE",
+        "OBS6": "FARE_COMPONENTS_MISMATCH",
+        "OBS7": "FARE_DECOMPOSITION_INCOMPLETE",
+        "OBS8": "UNKNOWN_ADVANCE_PURCHASE_WINDOW",
+    }
+    assert got["OBS1"].source_canonical == "MMT" and got["OBS1"].departure_time_canonical == "08:10" and got["OBS1"].carrier_canonical == "ZZ"
+    assert got["OBS7"].price_state == "SOLD_OUT" and got["OBS4"].price_state == "MISSING_PRICE"
+    assert (got["OBS6"].fare_decomposition_complete, got["OBS6"].fare_components_reconcile, got["OBS5"].fare_components_reconcile) == (True, False, None)
+    assert normalization.normalized_map(mapped.limit(0), rows).count() == 0
+
+
+def test_cells_and_flights_stay_one_row_each(spark):
+    rows = consolidation.members(frame(spark, {}, {"source": "Goibibo", "availability_status": "Sold Out", "total_fare": ""}, {"fare_class": "Mystery", "total_fare": ""}, {"collection_timestamp": "2026-09-01 11:00"}))
+    cells = {r.consolidation_cell_id: r for r in normalization.normalized_cells(consolidation.cells(rows)).collect()}
+    assert sorted((r.price_state, r.round_sort_key, r.round_sort_key_source, r.normalization_flags) for r in cells.values()) == [
+        ("NO_PRICE_CELL", "2026-09-01 09:00", "ANCHOR_TIMESTAMP", "MISSING_PRICE|UNKNOWN_FARE_CLASS"),
+        ("PRICED", "2026-09-01 09:00", "ANCHOR_TIMESTAMP", ""),
+        ("PRICED", "2026-09-01 11:00", "ROUND_ID", ""),
+    ]
+    flights = normalization.normalized_flight_cells(consolidation.flight_cells(rows)).collect()
+    assert sorted((r.price_state, r.round_sort_key, r.departure_time_canonical) for r in flights) == [("MISSING_PRICE", "2026-09-01 09:00", "08:10"), ("PRICED", "2026-09-01 09:00", "08:10"), ("PRICED", "2026-09-01 11:00", "08:10")]

@@ -35,7 +35,7 @@ def test_oracles_bind(duck):
         assert duck.execute(f"select * from ({sql}) limit 0").description, name
 
 
-@pytest.mark.parametrize("name", ["validate_rows", "dedup_sweep", "cell_median", "route_grain_a", "backtest_metrics", "lead_time_pivot", "query_matrix", "source_gate", "nearest_round", "cpi_comparison", "live_quotes", "basket_diversified", "observation_bundles", "route_measures", "item_states", "series_report", "validation_totals", "quality_trend", "itinerary_offers", "metric_lineage", "history_r10"])
+@pytest.mark.parametrize("name", ["validate_rows", "dedup_sweep", "cell_median", "route_grain_a", "backtest_metrics", "lead_time_pivot", "query_matrix", "source_gate", "nearest_round", "cpi_comparison", "live_quotes", "basket_diversified", "observation_bundles", "route_measures", "item_states", "series_report", "validation_totals", "quality_trend", "itinerary_offers", "metric_lineage", "history_r10", "normalized_cells", "normalized_flight_cells", "normalized_map"])
 def test_oracle(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
