@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from .embedding_dedup import OP8_SQL, op8_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fill_in_middle import OP13_SQL, op13_fill_in_middle
 from .mixing import OP9_SQL, op9_source_mix
 from .packing import op10_best_fit_packing
 from .pii import op4_pii
@@ -19,6 +20,7 @@ from .secret_scan import op1_secret_scan
 from .simhash_dedup import op5_simhash_dedup
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .toxicity import op2_toxicity
+from .vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -31,6 +33,8 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -39,4 +43,6 @@ ORACLES = {
     "op7_exact_dedup": OP7_SQL,
     "op8_embedding_dedup": OP8_SQL,
     "op9_source_mix": OP9_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
