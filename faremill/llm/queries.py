@@ -2,7 +2,7 @@
 
 Without SQL, and tested against brute force or held-out labels instead: op1 and op4
 (positions of matches), op2 and op6 (trained models), op5 (XXH64), op10 (a sequential
-packing).
+packing), op11 (rounds of propagation).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from .packing import op10_best_fit_packing
 from .pii import op4_pii
 from .quality import op6_quality
 from .secret_scan import op1_secret_scan
+from .sharding import op11_sharding
 from .simhash_dedup import op5_simhash_dedup
 from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .toxicity import op2_toxicity
@@ -33,6 +34,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_sharding": op11_sharding,
     "op12_vector_codes": op12_vector_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,9 +12,105 @@ import pytest
 from pyspark.sql import functions as F
 
 from faremill.llm import fill_in_middle as fim
-from faremill.llm import vector_codes
-
-from .conftest import odd_rows
+from faremill.llm import sharding, vector_codes
+
+from .conftest import odd_rows, words
+
+
+# --- sharding -----------------------------------------------------------------------
+def check_shards(rows, got, shards=8):
+    """What holds whatever the links: rows, sizes, equal counts, gapless slots, and no
+    more parted groups than cuts.  Returns shards by text."""
+    data = [(t or "").encode() for _, t in rows]
+    assert Counter((r.doc_id, r.size, r.crc) for r in got) == Counter((i, len(b) + 1, zlib.crc32(b)) for (i, _), b in zip(rows, data))
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    have = [len(by[s]) for s in range(shards)]
+    assert set(by) <= set(range(shards)) and max(have) - min(have) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    ids = defaultdict(set)
+    for (i, _), b in zip(rows, data):
+        ids[i].add(b)
+    where = defaultdict(Counter)
+    for r in got:
+        if len(ids[r.doc_id]) == 1:
+            where[next(iter(ids[r.doc_id]))][r.shard] += 1
+    least = sum(math.ceil(sum(c.values()) / max(have)) - 1 for c in where.values())
+    assert sum(len(c) - 1 for c in where.values()) <= least + shards - 1
+    return where
+
+
+def test_shards_of_odd_rows(spark, odd, none):
+    rows = [r[:2] for r in odd_rows()]
+    check_shards(rows, sharding.sharded(odd).collect())
+    assert sharding.sharded(none).count() == 0
+    few = spark.createDataFrame([(1, "a"), (None, None), (1, "")], "doc_id long, text string")
+    check_shards([(1, "a"), (None, None), (1, "")], sharding.sharded(few).collect())
+
+
+def test_shards_keep_links_and_split_hot_groups(spark):
+    """A third of all rows of one text fill whole shards; other copies stay together,
+    and nearly all near copies do; a rerun over other partitions gives the same."""
+    rng = random.Random(5)
+    rows, families = [(i, "hot text of many rows") for i in range(1300)] + [(None, "none")] * 90, []
+    i = 2000
+    for g in range(250):
+        sentences = [words(1000 * g + k, 8, 5000) for k in range(12)]
+        mine = []
+        for _ in range(rng.randrange(2, 7)):
+            own = [words(rng.randrange(1 << 30), 8, 5000) if rng.random() < 0.08 else s for s in sentences]
+            mine.append(i)
+            rows.append((i, ". ".join(own)))
+            i += 1
+        families.append(mine)
+    rows += [(i + k, words(7_000_000 + k, 30, 5000) + ". A line that a great many documents have in common") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(df.repartition(5)).collect()
+    where = check_shards(rows, got)
+    assert len(where[b"hot text of many rows"]) <= 4
+    at = {r.doc_id: r.shard for r in got}
+    together = sum(max(Counter(at[i] for i in f).values()) for f in families) / sum(map(len, families))
+    assert together > 0.9
+    again = sharding.sharded(df.repartition(3)).collect()
+    key = lambda rows: sorted((repr(r.doc_id), r.shard, r.slot) for r in rows)
+    assert key(got) == key(again)
+
+
+def test_propagation_moves_units_to_their_neighbours_within_the_room(spark):
+    """Random labels end with fewer cut links, and no shard above its room."""
+    rng = random.Random(6)
+    links = [(u, u // 8, 1) for u in range(1600)] + [(u, 10_000 + rng.randrange(100), 1) for u in range(0, 1600, 4)]
+    labels = [(u, 1, rng.randrange(4)) for u in range(1600)]
+    room = 450
+    # what is above its room at first may only shrink
+    first = Counter(x for _, _, x in labels)
+    ld = spark.createDataFrame(links, "unit long, hub long, n long")
+    out = {r.unit: r.label for r in sharding.propagated(ld, spark.createDataFrame(labels, "unit long, n long, label int"), range(4), room, 6).collect()}
+    load = Counter(out.values())
+    assert len(out) == 1600 and all(load[s] <= max(room, first[s]) for s in range(4))
+    kept = lambda lab: sum(lab[u] == lab[u + 1] for u in range(1600) if u % 8 < 7)
+    assert kept(out) > 2 * kept({u: x for u, _, x in labels})
+
+
+def test_votes_against_a_plain_count(spark):
+    rng = random.Random(7)
+    links = sorted({(rng.randrange(60), rng.randrange(25)) for _ in range(200)})
+    n, label = {u: rng.randrange(1, 5) for u in range(60)}, {u: rng.randrange(3) for u in range(60)}
+    got = sharding.votes(spark.createDataFrame([(u, h, n[u]) for u, h in links], "unit long, hub long, n long"), spark.createDataFrame([(u, n[u], label[u]) for u in range(60)], "unit long, n long, label int"), range(3))
+    members = defaultdict(list)
+    for u, h in links:
+        members[h].append(u)
+    want = defaultdict(lambda: [0, 0, 0])
+    for u, h in links:
+        others = [v for v in members[h] if v != u]
+        for s in range(3):
+            want[u][s] += math.floor(1e6 * sum(n[v] for v in others if label[v] == s) / sum(n[v] for v in others)) if others else 0
+    assert {r.unit: [r.v0, r.v1, r.v2] for r in got.collect()} == dict(want)
+
+
+def test_sharding_runs_no_python(odd):
+    plan = sharding.sharded(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 # --- fill-in-middle -----------------------------------------------------------------
