@@ -62,24 +62,36 @@ def rounds(grain_a: DataFrame) -> DataFrame:
     return seen.withColumn("link_sequence", F.row_number().over(order) - 1).withColumn("previous_round_id", F.lag("collection_round_id").over(order))
 
 
-def _sequenced(items: DataFrame) -> DataFrame:
-    return items.where("index_eligibility_status = 'ELIGIBLE'").join(F.broadcast(rounds_of(items)), "collection_round_id").select("variant", "link_sequence", "item_id", *ITEM, "median_cents")
+def rounds_of(items: DataFrame) -> DataFrame:
+    """Rounds with their place in the chain, and the last place that has an eligible item."""
+    seen = items.where("round_alignment = 'ANCHORED'").groupBy("collection_round_id", "round_sort_key").agg(F.bool_or(F.col("index_eligibility_status") == "ELIGIBLE").alias("_any"))
+    placed = seen.withColumn("link_sequence", F.row_number().over(Window.orderBy("round_sort_key")) - 1)
+    return placed.select("collection_round_id", "link_sequence", F.max(F.when(F.col("_any"), F.col("link_sequence"))).over(Window.partitionBy(F.lit(0))).alias("_last"))
+
+
+def _links(items: DataFrame) -> DataFrame:
+    """Every eligible item of every link, with its price in this round and in the one
+    before.  An item stands in its own link and in the next one, so one grouping meets
+    both prices; nothing is joined with itself.  Link 0 is the base round."""
+    now = items.where("index_eligibility_status = 'ELIGIBLE'").join(F.broadcast(rounds_of(items)), "collection_round_id")
+    at = lambda step, cur, prev, sev: F.struct((F.col("link_sequence") + step).alias("link"), cur.alias("cur"), prev.alias("prev"), sev.alias("sev"))
+    cents, none = F.col("median_cents"), F.lit(None).cast(items.schema["median_cents"].dataType)
+    severity = F.coalesce("max_severity", F.lit("NONE")) if "max_severity" in items.columns else F.lit("NONE")
+    both = F.explode(F.array(at(0, cents, none, severity), at(1, none, cents, F.lit(None).cast("string"))))
+    tall = now.select("variant", "item_id", "route_id", "_last", both.alias("x")).where("x.link <= _last")
+    return tall.groupBy("variant", F.col("x.link").alias("link_sequence"), "item_id").agg(
+        F.max("route_id").alias("route_id"), F.max("x.cur").alias("current_cents"), F.max("x.prev").alias("previous_cents"), F.max("x.sev").alias("severity")
+    )
 
 
-def rounds_of(items: DataFrame) -> DataFrame:
-    return rounds(items).select("collection_round_id", "link_sequence")
+def _status():
+    return F.when(F.col("link_sequence") == 0, "BASE").when(F.col("previous_cents").isNull(), "ENTERING").when(F.col("current_cents").isNull(), "LEAVING").otherwise("MATCHED")
 
 
 def item_relatives(items: DataFrame) -> DataFrame:
     """Every item of every link: MATCHED with its price relative, ENTERING or LEAVING."""
-    now = _sequenced(items)
-    last = now.agg(F.max("link_sequence").alias("_last"))
-    before = now.select("variant", (F.col("link_sequence") + 1).alias("link_sequence"), "item_id", F.col("route_id").alias("_route"), F.col("median_cents").alias("previous_cents"))
-    out = now.withColumnRenamed("median_cents", "current_cents").where("link_sequence > 0").join(before, ["variant", "link_sequence", "item_id"], "full_outer")
-    out = out.crossJoin(F.broadcast(last)).where(F.col("link_sequence") <= F.col("_last")).drop("_last")
-    status = F.when(F.col("previous_cents").isNull(), "ENTERING").when(F.col("current_cents").isNull(), "LEAVING").otherwise("MATCHED")
     relative = F.col("current_cents") / F.col("previous_cents")
-    return out.select("variant", "link_sequence", "item_id", F.coalesce("route_id", "_route").alias("route_id"), "current_cents", "previous_cents", status.alias("item_status"), relative.alias("price_relative"))
+    return _links(items).where("link_sequence > 0").select("variant", "link_sequence", "item_id", "route_id", "current_cents", "previous_cents", _status().alias("item_status"), relative.alias("price_relative"))
 
 
 def unpriced(items: DataFrame) -> DataFrame:
@@ -96,17 +108,22 @@ def item_rows(items: DataFrame) -> DataFrame:
     return item_relatives(items).unionByName(unpriced(items), allowMissingColumns=True)
 
 
-def _route_parts(items: DataFrame, basket: DataFrame) -> DataFrame:
+def _route_counts(items: DataFrame) -> DataFrame:
     """Item counts and mean logarithm of each route in a link, in one grouping."""
-    is_ = lambda name: F.col("item_status") == name
-    parts = item_relatives(items).groupBy("variant", "link_sequence", "route_id").agg(
-        F.count_if(is_("MATCHED")).alias("matched_items"),
-        F.count_if(is_("ENTERING")).alias("entering_items"),
-        F.count_if(is_("LEAVING")).alias("leaving_items"),
-        F.avg(F.ln("price_relative")).alias("mean_log"),
+    is_ = lambda name: F.count_if(_status() == name)
+    return _links(items).groupBy("variant", "link_sequence", "route_id").agg(
+        is_("MATCHED").alias("matched_items"),
+        is_("ENTERING").alias("entering_items"),
+        is_("LEAVING").alias("leaving_items"),
+        is_("BASE").alias("base_items"),
+        F.avg(F.ln(F.col("current_cents") / F.col("previous_cents"))).alias("mean_log"),
     )
-    parts = parts.join(small(basket.select("route_id", F.col("traffic_weight").cast("double").alias("weight"))), "route_id")
-    there = F.when(F.col("matched_items") > 0, F.col("weight"))
+
+
+def _route_parts(items: DataFrame, basket: DataFrame) -> DataFrame:
+    """Routes of a link with their weight among those there."""
+    parts = _route_counts(items).join(small(basket.select("route_id", F.col("traffic_weight").cast("double").alias("weight"))), "route_id")
+    there = F.when(F.col("matched_items") + F.col("base_items") > 0, F.col("weight"))
     share = there / F.sum(there).over(Window.partitionBy("variant", "link_sequence"))
     parts = parts.withColumns({"weight": there, "normalized_weight": share})
     return parts.withColumns({"route_index": F.exp("mean_log"), "log_contribution": F.col("normalized_weight") * F.col("mean_log")})
@@ -115,7 +132,7 @@ def _route_parts(items: DataFrame, basket: DataFrame) -> DataFrame:
 def route_components(items: DataFrame, basket: DataFrame) -> DataFrame:
     """Elementary index of each route in a link, its weight among the routes there, and
     its part of the link's logarithm."""
-    return _route_parts(items, basket).where("matched_items > 0").drop("entering_items", "leaving_items")
+    return _route_parts(items, basket).where("matched_items > 0").drop("entering_items", "leaving_items", "base_items")
 
 
 def coverage_status(represented, total):
@@ -127,16 +144,13 @@ def round_index(items: DataFrame, basket: DataFrame) -> DataFrame:
     a matched item holds the level; the base round is covered by its eligible items."""
     counts = [F.sum(n).alias(n) for n in ("matched_items", "entering_items", "leaving_items", "weight")]
     links = _route_parts(items, basket).groupBy("variant", "link_sequence").agg(F.sum("log_contribution").alias("log_factor"), F.count("weight").alias("routes"), *counts)
-    base = _sequenced(items).where("link_sequence = 0").select("variant", "route_id").distinct().join(small(basket.select("route_id", F.col("traffic_weight").cast("double").alias("w"))), "route_id").groupBy("variant").agg(F.count(F.lit(1)).alias("base_routes"), F.sum("w").alias("base_weight"))
     size = basket.agg(F.count(F.lit(1)).alias("basket_routes"))
     out = rounds(items).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS])))
-    out = out.join(links, ["variant", "link_sequence"], "left").join(F.broadcast(base), "variant", "left").crossJoin(F.broadcast(size))
-    first = F.col("link_sequence") == 0
+    out = out.join(links, ["variant", "link_sequence"], "left").crossJoin(F.broadcast(size))
     line = Window.partitionBy("variant").orderBy("link_sequence")
     total = F.sum(F.coalesce("log_factor", F.lit(0.0))).over(line.rowsBetween(Window.unboundedPreceding, 0))
     out = out.withColumn("_level", BASE_LEVEL * F.exp(total))
-    routes = F.coalesce(F.when(first, F.col("base_routes")).otherwise(F.col("routes")), F.lit(0))
-    weight = F.coalesce(F.when(first, F.col("base_weight")).otherwise(F.col("weight")), F.lit(0.0))
+    routes, weight = F.coalesce("routes", F.lit(0)), F.coalesce("weight", F.lit(0.0))
     return out.select(
         "variant",
         "link_sequence",
@@ -160,10 +174,8 @@ def period_index(round_rows: DataFrame, grains: tuple[str, ...] = ("DAILY", "WEE
     """Levels by day, ISO week and month: the last round's level, the mean, and whether
     rounds are missing.  Any partial round makes a period's coverage partial."""
     key = F.col("round_sort_key")
-    tall = None
-    for g in grains:
-        one = round_rows.withColumns({"period_grain": F.lit(g), "period_id": S.period_id(key, g), "expected_rounds": S.expected_rounds(key, g)})
-        tall = one if tall is None else tall.unionByName(one)
+    each = F.array(*[F.struct(F.lit(g).alias("period_grain"), S.period_id(key, g).alias("period_id"), S.expected_rounds(key, g).alias("expected_rounds")) for g in grains])
+    tall = round_rows.withColumn("_p", F.explode(each)).select("*", "_p.*").drop("_p")
     out = tall.groupBy("variant", "period_grain", "period_id").agg(
         F.max_by("index_level", "link_sequence").alias("end_level"),
         F.round(F.avg("index_level"), 6).alias("mean_level"),
@@ -182,10 +194,8 @@ def index_coverage(items: DataFrame, basket: DataFrame) -> DataFrame:
     """Every basket route in every anchored round and variant: eligible items, matched
     items, whether it contributes.  (Rounds by routes; both are few.)"""
     grid = rounds(items).select("collection_round_id", "link_sequence").crossJoin(basket.select("route_id", "basket_rank", "traffic_weight")).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in VARIANTS])))
-    have = _sequenced(items).groupBy("variant", "link_sequence", "route_id").agg(F.count(F.lit(1)).alias("eligible_items"))
-    match = item_relatives(items).where("item_status = 'MATCHED'").groupBy("variant", "link_sequence", "route_id").agg(F.count(F.lit(1)).alias("matched_items"))
-    keys = ["variant", "link_sequence", "route_id"]
-    out = grid.join(have, keys, "left").join(match, keys, "left")
+    seen = _route_counts(items).select("variant", "link_sequence", "route_id", (F.col("matched_items") + F.col("entering_items") + F.col("base_items")).alias("eligible_items"), "matched_items")
+    out = grid.join(seen, ["variant", "link_sequence", "route_id"], "left")
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("eligible_items", "matched_items")})
     return out.withColumn("contributes", F.when(F.col("link_sequence") == 0, F.col("eligible_items") > 0).otherwise(F.col("matched_items") > 0))
 
@@ -222,9 +232,11 @@ def unaligned_diagnostics(items: DataFrame) -> DataFrame:
     return pairs.groupBy("variant", "stray_id", "nearest_round_id", "minutes_apart").agg(F.count("item_id").alias("items"), F.count("_there").alias("items_in_nearest"))
 
 
-def rebased(round_rows: DataFrame, base_round_id: str) -> DataFrame:
-    """Levels with another round as 100."""
-    base = F.max(F.when(F.col("collection_round_id") == base_round_id, F.col("index_level"))).over(Window.partitionBy("variant"))
+def rebased(round_rows: DataFrame, base) -> DataFrame:
+    """Levels with another round as 100: the round of an id, or the one for which a
+    condition holds."""
+    at = F.col("collection_round_id") == base if isinstance(base, str) else base
+    base = F.max(F.when(at, F.col("index_level"))).over(Window.partitionBy("variant"))
     return round_rows.withColumn("rebased_level", F.round(BASE_LEVEL * S.over(F.col("index_level"), base), 6))
 
 
@@ -258,10 +270,8 @@ def coverage_disclosure(items: DataFrame, basket: DataFrame) -> DataFrame:
 def severity_counts(items: DataFrame) -> DataFrame:
     """Matched items of each link by the severity of their current price, a column a
     severity and packed."""
-    now = items.where("index_eligibility_status = 'ELIGIBLE'").join(F.broadcast(rounds_of(items)), "collection_round_id").select("variant", "link_sequence", "item_id", F.coalesce("max_severity", F.lit("NONE")).alias("severity"))
-    matched = item_relatives(items).where("item_status = 'MATCHED'").select("variant", "link_sequence", "item_id")
     each = [F.count_if(F.col("severity") == n).alias(n.lower()) for n in S.SEVERITIES]
-    out = now.join(matched, ["variant", "link_sequence", "item_id"]).groupBy("variant", "link_sequence").agg(*each)
+    out = _links(items).where(_status() == "MATCHED").groupBy("variant", "link_sequence").agg(*each)
     return out.withColumn("packed", F.concat_ws(";", *[F.concat(F.lit(f"{n}="), F.col(n.lower()).cast("string")) for n in sorted(S.SEVERITIES)]))
 
 

@@ -15,9 +15,17 @@ from ..functions import scalars as S
 MAX_BASKET = 10_000
 
 
+def fixed(basket: DataFrame) -> DataFrame:
+    """The basket's rows, computed once and held in the plan, where they are few: what
+    joins it then neither counts nor derives it again.  A larger one stays as it is."""
+    rows = basket.limit(MAX_BASKET + 1).toArrow()
+    return basket.sparkSession.createDataFrame(rows, basket.schema) if rows.num_rows <= MAX_BASKET else basket
+
+
 def small(basket: DataFrame) -> DataFrame:
-    """The basket, broadcast once its size is known to be small."""
-    return F.broadcast(basket) if basket.limit(MAX_BASKET + 1).count() <= MAX_BASKET else basket
+    """The basket, broadcast once its size is known to be small.  Rows held in the plan
+    (``fixed``) are counted without a job."""
+    return F.broadcast(basket) if len(basket.select(F.lit(1)).limit(MAX_BASKET + 1).collect()) <= MAX_BASKET else basket
 
 
 def route_cells(cells: DataFrame, basket: DataFrame) -> DataFrame:

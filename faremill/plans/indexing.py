@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import basket, consolidation, index, routes
-from .roles import RAW, STAGES, quotes, raw_observations, registry, table
+from .roles import RAW, STAGES, kept, quotes, raw_observations, registry, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -14,7 +14,8 @@ QUERIES, ORACLES, query = registry()
 def cells(spark, sf_dir):
     """Consolidated quotes; a wide range within a cell stands for its severity."""
     out = consolidation.cells(consolidation.members(quotes(spark, sf_dir)))
-    return out.withColumn("severity", F.when(F.col("max_cents") > 2 * F.col("min_cents"), "HIGH").when(F.col("max_cents") > 1.5 * F.col("min_cents"), "REVIEW").otherwise("NONE")).persist()
+    severity = F.when(F.col("max_cents") > 2 * F.col("min_cents"), "HIGH").when(F.col("max_cents") > 1.5 * F.col("min_cents"), "REVIEW").otherwise("NONE")
+    return kept(spark, sf_dir, "cells", lambda: out.withColumn("severity", severity))
 
 
 def traffic(spark, sf_dir):
@@ -25,7 +26,7 @@ def traffic(spark, sf_dir):
 
 
 def event_basket(spark, sf_dir):
-    return basket.weighted(traffic(spark, sf_dir))
+    return kept(spark, sf_dir, "basket", lambda: routes.fixed(basket.weighted(traffic(spark, sf_dir))), persist=False)
 
 
 def routed(spark, sf_dir):
@@ -34,7 +35,7 @@ def routed(spark, sf_dir):
 
 def grain_a(spark, sf_dir):
     """Read by every index table, several times by some, hence kept."""
-    return routes.grain_a(routed(spark, sf_dir), event_basket(spark, sf_dir)).persist()
+    return kept(spark, sf_dir, "grain_a", lambda: routes.grain_a(routed(spark, sf_dir), event_basket(spark, sf_dir)))
 
 
 def items(spark, sf_dir):
@@ -252,9 +253,7 @@ def nearest_round(spark, sf_dir):
 @query(f"WITH {ITEMS} SELECT variant, link_sequence, index_level, round(100 * index_level / max(CASE WHEN link_sequence = 5 THEN index_level END) OVER (PARTITION BY variant), 6) AS rebased_level FROM idx")
 def rebase(spark, sf_dir):
     rows = index.round_index(items(spark, sf_dir), event_basket(spark, sf_dir))
-    base = F.max(F.when(F.col("link_sequence") == 5, F.col("collection_round_id")))
-    base_id = index.rounds(items(spark, sf_dir)).agg(base).first()[0]
-    return index.rebased(rows, base_id).select("variant", "link_sequence", "index_level", "rebased_level")
+    return index.rebased(rows, F.col("link_sequence") == 5).select("variant", "link_sequence", "index_level", "rebased_level")
 
 
 @query(

@@ -30,6 +30,22 @@ def registry():
     return found, oracles, query
 
 
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make, persist: bool = True) -> DataFrame:
+    """A table that several queries of a folder read: made once, and persisted.  The one
+    of another folder is let go, so a session never holds two of a name."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    old, df = _KEPT.get(name, (None, None))
+    if old != at:
+        if df is not None and old[0] == at[0]:
+            df.unpersist()
+        df = make()
+        _KEPT[name] = (at, df)
+    return df.persist() if persist and not df.storageLevel.useMemory else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -163,7 +163,7 @@ def source_dev_r08(spark, sf_dir):
 
 @query(
     f"""WITH {STAGES} SELECT 'R09' AS rule_id, cell_id AS entity_id, NULL AS reason FROM cell WHERE sources <= 1
-UNION ALL SELECT 'R11', cell_id, 'SOLD_OUT' FROM cell WHERE cents IS NULL UNION ALL SELECT 'R12', cell_id, 'UNALIGNED' FROM cell WHERE alignment <> 'ANCHORED'"""
+UNION ALL SELECT 'R11', cell_id, 'NO_PRICE_CELL' FROM cell WHERE cents IS NULL UNION ALL SELECT 'R12', cell_id, 'UNALIGNED' FROM cell WHERE alignment <> 'ANCHORED'"""
 )
 def thin_r09(spark, sf_dir):
     return anomaly.cell_rules(cells(spark, sf_dir)).select("rule_id", "entity_id", "reason")
