@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import consolidation, dedup, validation
-from .roles import QUOTES, RAW, STAGES, quotes, raw_observations, registry
+from .roles import QUOTES, RAW, STAGES, kept, quotes, raw_observations, registry
 
 QUERIES, ORACLES, query = registry()
 
@@ -47,6 +47,10 @@ def _banded(spark, sf_dir):
     return q.withColumn("total_fare", (F.floor(F.col("total_fare") / 20) * 20).cast("decimal(18,2)")).where("total_fare is not null or availability_status = 'Sold Out'")
 
 
+def _deduplicated(spark, sf_dir):
+    return kept(spark, sf_dir, "deduplicated", lambda: dedup.deduplicate(_banded(spark, sf_dir)), persist=False)
+
+
 _SWEEP = (
     "WITH RECURSIVE "
     + QUOTES
@@ -71,7 +75,7 @@ _SWEEP = (
   size = 1 OR canonical = observation_id AS retained FROM swept"""
 )
 def dedup_sweep(spark, sf_dir):
-    return dedup.deduplicate(_banded(spark, sf_dir)).select("observation_id", "duplicate_group_id", "duplicate_reason", "retained")
+    return _deduplicated(spark, sf_dir).select("observation_id", "duplicate_group_id", "duplicate_reason", "retained")
 
 
 @query(
@@ -80,7 +84,7 @@ def dedup_sweep(spark, sf_dir):
   CAST(date_diff('minute', min(cts), max(cts)) AS BIGINT) AS max_delta_minutes FROM swept WHERE size > 1 GROUP BY canonical"""
 )
 def dedup_report(spark, sf_dir):
-    return dedup.duplicate_report(dedup.deduplicate(_banded(spark, sf_dir))).drop("capture_signature_agreement")
+    return dedup.duplicate_report(_deduplicated(spark, sf_dir)).drop("capture_signature_agreement")
 
 
 @query(f"WITH {STAGES} SELECT cell_id || '::FLT::' || flight || '|08:10' AS flight_cell_id, c AS flight_cents, n AS priced_sources, spread AS source_spread_cents FROM s1")

@@ -117,6 +117,36 @@ def test_sweep_of_long_stretches(spark):
     assert all(r.group_size == sizes[r.canonical] for r in out) and len(out) == 1200
 
 
+@pytest.mark.parametrize("seed, gaps", [(1, (1,)), (2, (1, 2, 7)), (3, (1, 1, 1, 14, 15, 16, 17, 40)), (4, (15,)), (5, (8, 16))])
+def test_sweep_across_blocks(spark, seed, gaps):
+    """Lines of many blocks: paths enter blocks, end in them, and cross several."""
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for b in "pq":
+        m, line = rng.randrange(-9000, 9000), []
+        for _ in range(6000):
+            m += rng.choice(gaps)
+            line.append(m)
+        for k, (m, a) in enumerate(zip(line, sweep(line))):
+            rows.append((f"{b}{k:05d}", b, m))
+            want[f"{b}{k:05d}"] = a
+    at = {(i[0], m): i for i, _, m in rows}
+    df = spark.createDataFrame(rows, "id string, bucket string, m int").withColumn("ts", F.timestamp_seconds(F.col("m") * 60).cast("timestamp_ntz")).repartition(3)
+    got = dedup.anchored_sweep(df, ["bucket"], "ts", "id").collect()
+    assert {r.id: r.canonical for r in got} == {i: at[i[0], a] for i, a in want.items()}
+
+
+def test_sweep_spreads_a_hot_bucket(spark):
+    """A bucket with a capture a minute for a hundred days is dealt out by its blocks."""
+    df = spark.range(150_000).select(F.col("id").cast("string").alias("id"), F.lit("b").alias("bucket"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    out = dedup.anchored_sweep(df, ["bucket"], "ts", "id")
+    assert out.agg(F.count_if(F.col("id") == F.col("canonical")), F.min("group_size"), F.max("group_size"), F.count(F.lit(1))).first() == (150_000 / 16, 16, 16, 150_000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "mapInArrow" not in plan and plan.count("windowspecdefinition(_bucket#") == plan.count("windowspecdefinition(_bucket#") > 0
+    for line in plan.splitlines():
+        assert "windowspecdefinition(_bucket" not in line or "_block" in line or "canonical" in line
+
+
 def test_sweep_of_nothing_and_of_missing_times(spark):
     df = spark.createDataFrame([("a", "b", None), ("c", "b", None), ("d", "b", 60)], "id string, bucket string, m int").withColumn("ts", F.timestamp_seconds("m").cast("timestamp_ntz"))
     assert {r.id: r.canonical for r in dedup.anchored_sweep(df, ["bucket"], "ts", "id").collect()} == {"a": "a", "c": "c", "d": "d"}
