@@ -264,6 +264,15 @@ def test_stages_decide_and_keep_their_columns(spark, tables):
     assert last.agg({"n_words": "sum"}).first()[0] == sizes(seen["source_mix"])
 
 
+def test_rows_are_told_apart_alike_in_every_run(spark, odd):
+    """Null and repeated ids get ids in the order of (doc_id, row), whatever the partitions."""
+    docs = odd.unionByName(odd.where("doc_id is null or doc_id = 8"))
+    runs = [sorted((r.doc_id, repr(r.row)) for r in corpus_pipeline._keyed(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and [i for i, _ in runs[0]] == list(range(docs.count()))
+    by_id = [r.row.doc_id for r in sorted(corpus_pipeline._keyed(docs).collect(), key=lambda r: r.doc_id)]
+    assert by_id == sorted(by_id, key=lambda i: (i is not None, i or 0))
+
+
 def test_stages_of_nothing(spark, tables, none):
     empty = none.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
@@ -271,8 +280,11 @@ def test_stages_of_nothing(spark, tables, none):
 
 
 def test_every_operator_is_registered():
+    import __spark_entry__
+
     found = {q.split("_")[0] for q in queries.QUERIES}
-    assert found == {f"op{n}" for n in range(1, 11)} | {"pipeline"} and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert found == {f"op{n}" for n in range(1, 14)} and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "simhash_dedup", "source_mix", "packing"]
 
 
