@@ -4,12 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet and read again as the next stage's docs.  All but the last return the columns
 of docs, whatever other columns these have.  Nulls, repeated rows and ids are treated
 as the operators' docstrings say; rows that share a doc_id, or have none, are told
-apart by a key in the order of (doc_id, hash of the row), nulls first.
+apart by their place in the order of (doc_id, hash of the row), nulls first, which a
+rerun finds again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faremill.llm import common
@@ -28,9 +29,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select(doc_id.alias("doc_id"), "text", "source", F.struct(*columns).alias("row"))
     if docs.groupBy(doc_id.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null").isEmpty():
         return rows
-    dealt = rows.withColumn("h", F.xxhash64("row")).repartitionByRange(common.shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "h")
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").drop("h")
-    return common.materialize(dealt.withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
+    # Rows alike in doc_id and hash are alike, so any order of them gives the same ids; a
+    # random third key lets them be dealt out.
+    order = [F.col("doc_id").asc_nulls_first(), "h", "r"]
+    dealt = rows.withColumns({"h": F.xxhash64("row"), "r": F.rand(7)}).repartitionByRange(common.shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = common.materialize(dealt.drop("h", "r").withColumn("at", F.monotonically_increasing_id()), "dealt")
+    dealt = dealt.withColumns({"part": F.shiftright("at", 33), "nth": F.col("at").bitwiseAND((1 << 33) - 1)}).drop("at")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("start"))  # a row a partition
+    return dealt.join(F.broadcast(starts), "part").select((F.col("start") + F.col("nth")).alias("doc_id"), "text", "source", "row")
 
 
 def _rows(kept: DataFrame, docs: DataFrame) -> DataFrame:
