@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .selection import quantiles
 
 REVIEW, HIGH = 0.15, 0.30
 Z_REVIEW, Z_HIGH = 3.5, 7.0
 PEERS_ROUND, PEERS_LEAST, PRIOR_LAG, PRIOR_DRIFT, HISTORY = 5, 3, 3, 4, 3
 SERIES = ("origin", "destination", "fare_class", "advance_purchase_window", "travel_date")
 PEER = ("origin", "destination", "fare_class")
+#: Fares are counted by ranges of 65,536 cents, then within one.
+FARE_PASSES = (16, 0)
 
 
 def _row(rule, level, entity, status, severity, reason=None, value=None):
@@ -128,11 +131,22 @@ def _spread(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return mid.join(mad, keys)
 
 
+def _wide_spread(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """The same of populations of any size, by counting: peers of all rounds."""
+    base = df.where("fare_cents is not null")
+    mid = quantiles(base, keys, "fare_cents", {"_med": 0.5, "_q1": 0.25, "_q3": 0.75}, FARE_PASSES)
+    # A median lies on whole or half cents, so deviations are counted in half cents.
+    apart = base.join(mid.select(*keys, "_med"), keys).withColumn("_apart", F.abs(2 * F.col("fare_cents") - 2 * F.col("_med")).cast("long"))
+    mad = quantiles(apart, keys, "_apart", {"_mad": 0.5}, FARE_PASSES).drop("n")
+    out = mid.join(mad, keys)
+    return out.select(*keys, F.col("n").alias(f"{tag}_n"), F.col("_med").alias(f"{tag}_med"), (F.col("_q3") - F.col("_q1")).alias(f"{tag}_iqr"), (F.col("_mad") / 2).alias(f"{tag}_mad"))
+
+
 def peer_scores(cells: DataFrame) -> DataFrame:
     """Robust z of each priced cell among its peers of the round; where these are fewer
     than five, among its peers of all rounds.  Without spread (MAD, then IQR) no z."""
     near = [*PEER, "collection_round_id"]
-    out = cells.where("fare_cents is not null").join(_spread(cells, near, "r"), near).join(_spread(cells, list(PEER), "p"), list(PEER))
+    out = cells.where("fare_cents is not null").join(_spread(cells, near, "r"), near).join(_wide_spread(cells, list(PEER), "p"), list(PEER))
     own = F.col("r_n") >= PEERS_ROUND
     pick = lambda n: F.when(own, F.col(f"r_{n}")).otherwise(F.col(f"p_{n}"))
     out = out.withColumns({"basis": F.when(own, "ROUND").otherwise("WIDENED"), "peers": pick("n"), "peer_median": pick("med"), "peer_mad": pick("mad"), "peer_iqr": pick("iqr")})

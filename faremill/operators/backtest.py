@@ -152,6 +152,48 @@ def sensitivities(primary: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
+def sensitivity_records(round_rows: DataFrame, components: DataFrame, least_coverage: float = 80.0) -> DataFrame:
+    """One row a round and method: how the level would stand under another rule, with its
+    status, and the reason where a method gives no level.  Blocked rounds keep their row.
+
+    SENS-COV-01 is the primary chain; 02 weighs a link's routes alike; 03 has only the
+    published weights' part of the logarithm, as the missing routes are not imputed; 04
+    takes rounds of enough coverage only; SENS-ANOM-01 leaves flagged items out.
+    """
+    keep = ["link_sequence", "index_level", "pct_change", "routes_represented", "weight_represented"]
+    primary = round_rows.where("variant = 'PRIMARY'").select("collection_round_id", "coverage_pct", *keep)
+    other = round_rows.where("variant = 'EXCL_REVIEW_HIGH'").select("link_sequence", *[F.col(c).alias(f"x_{c}") for c in keep[1:]])
+    parts = components.where("variant = 'PRIMARY'").groupBy("link_sequence").agg(F.avg("mean_log").alias("_equal"), F.sum(F.col("weight") * F.col("mean_log")).alias("_observed"), F.count(F.lit(1)).alias("_routes"))
+    line = Window.orderBy("link_sequence")
+    base, first = F.col("link_sequence") == 0, F.first("index_level").over(line)
+    row = primary.join(parts, "link_sequence", "left").join(other, "link_sequence", "left")
+    equal = first * F.exp(F.sum(F.coalesce("_equal", F.lit(0.0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    row = row.withColumns({"_level": equal, "_change": F.when(~base, 100 * (F.exp(F.coalesce("_equal", F.lit(0.0))) - 1))})
+    routes = F.when(base, F.col("routes_represented")).otherwise(F.coalesce("_routes", F.lit(0)))
+    none, low = F.lit(None), F.coalesce(F.col("coverage_pct"), F.lit(0.0)) < least_coverage
+    kinds = ("string", "string", "double", "double", "long", "double", "double", "string", "string")
+    names = ("sensitivity_type", "method_id", "alternative_level", "alternative_change_pct", "alternative_routes", "alternative_weight", "observed_log_contribution", "sensitivity_status", "blocked_reason")
+    own = (F.col("index_level"), F.col("pct_change"), F.col("routes_represented"), F.col("weight_represented"))
+    same = F.col("x_index_level") == F.col("index_level")
+    spec = [
+        (F.lit("COVERAGE"), F.lit("SENS-COV-01"), *own, none, F.lit("PRIMARY_BASELINE_DIAGNOSTIC"), none),
+        (F.lit("COVERAGE"), F.lit("SENS-COV-02"), F.col("_level"), F.col("_change"), routes, F.col("weight_represented"), none, F.lit("DIAGNOSTIC_COMPUTED"), none),
+        (F.lit("COVERAGE"), F.lit("SENS-COV-03"), none, none, routes, F.col("weight_represented"), F.coalesce("_observed", F.lit(0.0)), F.lit("LOG_CONTRIBUTION_ONLY_NOT_A_FULL_BASKET_INDEX"), F.lit("MISSING_ROUTES_NOT_IMPUTED")),
+        (F.lit("COVERAGE"), F.lit("SENS-COV-04"), *[F.when(~low, c) for c in own[:2]], F.when(low, 0).otherwise(own[2]), own[3], none, F.when(low, "EXCLUDED_LOW_COVERAGE").otherwise("DIAGNOSTIC_COMPUTED"), F.when(low, "LOW_COVERAGE_BELOW_80_PERCENT")),
+        (F.lit("ANOMALY"), F.lit("SENS-ANOM-01"), *[F.col(f"x_{c}") for c in keep[1:]], none, F.when(F.col("x_index_level").isNull(), "NO_ALTERNATIVE_CHAIN").when(same, "IDENTICAL_TO_PRIMARY").otherwise("DIFFERS_FROM_PRIMARY"), F.when(F.col("x_index_level").isNull(), "NO_ALTERNATIVE_CHAIN")),
+    ]
+    each = F.explode(F.array(*[F.struct(*[c.cast(k).alias(n) for c, k, n in zip(cells, kinds, names)]) for cells in spec]))
+    out = row.withColumn("s", each).select("collection_round_id", "link_sequence", "index_level", "pct_change", "s.*")
+    way = lambda c: F.coalesce(S.direction(F.col(c)), F.lit("BASE"))
+    told, plain = F.col("alternative_level").isNotNull(), lambda c, places: F.round(c, places) + 0.0  # noqa: E731  no zero below zero
+    return out.select(
+        F.concat_ws("::", F.lit("SENS"), "method_id", "collection_round_id").alias("sensitivity_record_id"), "collection_round_id", "sensitivity_type", "method_id",
+        F.col("index_level").alias("primary_level"), F.round("alternative_level", 6).alias("alternative_level"), plain(F.col("alternative_level") - F.col("index_level"), 6).alias("level_difference"), plain(100 * S.relative_change(F.col("index_level"), F.col("alternative_level")), 4).alias("level_difference_pct"),
+        F.col("pct_change").alias("primary_change_pct"), plain("alternative_change_pct", 4).alias("alternative_change_pct"), plain(F.col("alternative_change_pct") - F.col("pct_change"), 4).alias("change_difference_pp"), way("pct_change").alias("primary_direction"), F.when(told, way("alternative_change_pct")).alias("alternative_direction"),
+        "alternative_routes", "alternative_weight", F.round("observed_log_contribution", 10).alias("observed_log_contribution"), "sensitivity_status", "blocked_reason",
+    )
+
+
 #: The least basket coverage of a month, and the least changes.
 CPI_COVERAGE, CPI_MAE, CPI_CORRELATION = 80, 6, 12
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -116,11 +116,46 @@ def flattened(payloads: DataFrame) -> DataFrame:
     return out.select("query_id", "collected_at", F.col("leg.departure_airport.id").alias("origin"), F.col("leg.arrival_airport.id").alias("destination"), S.flight_number(F.col("leg.flight_number")).alias("flight_number"), F.col("leg.airline").alias("carrier"), F.regexp_extract("leg.departure_airport.time", r"(\d{2}:\d{2})", 1).alias("departure_time"), F.col("leg.travel_class").alias("fare_class"), S.cents(F.col("o.price")).alias("fare_cents"))
 
 
+#: Where providers keep what an offer needs: its list, and paths within one of its members.
+LAYOUTS = {
+    "search": {"offers": "$.best_flights", "price": "$.price", "currency": "$.currency", "origin": "$.flights[0].departure_airport.id", "destination": "$.flights[0].arrival_airport.id", "flight_number": "$.flights[0].flight_number", "fare_class": "$.flights[0].travel_class"},
+    "partner": {"offers": "$.content.results", "price": "$.pricing.total", "currency": "$.pricing.unit", "origin": "$.leg.from", "destination": "$.leg.to", "flight_number": "$.leg.number", "fare_class": "$.cabin"},
+}
+_OFFER = {"price": "decimal(18,2)", "currency": "string", "origin": "string", "destination": "string", "flight_number": "string", "fare_class": "string"}
+
+
+def provider_offers(payloads: DataFrame, layouts: dict[str, dict[str, str]] = LAYOUTS) -> DataFrame:
+    """(query_id, provider, collected_at, payload JSON) -> one row an offer, whatever the
+    shape of a provider's payload: only the paths of ``layouts`` are read.
+
+    ``offers`` may lead to a list or to an object of offers; position is the offer's index
+    or name.  A payload that is no JSON, has no offers or is of an unknown provider has no
+    row; a field that is absent or of the wrong kind is null.  Offers without a price
+    above zero are left out.
+    """
+    by = lambda field, make: F.coalesce(*[F.when(F.col("provider") == p, make(x[field])) for p, x in layouts.items() if field in x])
+    parsed = payloads.select("query_id", "provider", "collected_at", F.try_parse_json("payload").alias("p"))
+    listed = parsed.withColumn("offers", by("offers", lambda path: F.try_variant_get("p", path, "variant"))).where(F.col("offers").isNotNull()).drop("p")
+    each = listed.lateralJoin(listed.sparkSession.tvf.variant_explode(F.col("offers").outer()))
+    position = F.coalesce("key", F.col("pos").cast("string"))
+    fields = {name: by(name, lambda path, kind=kind: F.try_variant_get("value", path, kind)).alias(name) for name, kind in _OFFER.items()}
+    return each.select("query_id", "provider", "collected_at", position.alias("position"), *fields.values()).where("price > 0")
+
+
 def fresh(quotes: DataFrame, now: str, hours: int = 2, at: str = "collected_at") -> DataFrame:
     """Quotes younger than their time to live."""
     return quotes.where(F.col(at) > F.expr(f"timestamp_ntz'{now}' - make_interval(0, 0, 0, 0, {int(hours)}, 0, 0)"))
 
 
+def expiries(quotes: DataFrame, now, hours: int = 2, query_id: str = "query_id", at: str = "collected_at") -> DataFrame:
+    """(query_id, collected_at, expired_at) of the quotes whose time to live has ended at
+    ``now`` without a newer capture of the same query within it."""
+    end = F.col(at) + F.expr(f"make_interval(0, 0, 0, 0, {int(hours)}, 0, 0)")
+    seen = quotes.where(F.col(at).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("string").alias("query_id"), F.col(at).alias("collected_at"), end.alias("expired_at")).distinct()
+    later = F.lead("collected_at").over(Window.partitionBy("query_id").orderBy("collected_at"))
+    return seen.withColumn("_later", later).where((F.col("expired_at") <= now) & ~F.coalesce(F.col("_later") < F.col("expired_at"), F.lit(False))).drop("_later")
+
+
 def readiness(runs: DataFrame, now: str, hours: int = 2) -> DataFrame:
     """Per source: its last complete run, until when that is fresh, and whether it is."""
     done = runs.where("run_status in ('COMPLETE', 'PARTIAL')").groupBy("source_id").agg(F.max("completed_at").alias("completed_at"))

@@ -193,3 +193,34 @@ def quote_ranges(quotes: DataFrame) -> DataFrame:
     """Verified quotes above zero by route: least, mean, most, how many."""
     q = quotes.where("fare_cents > 0 and currency = 'INR' and price_status = 'verified'")
     return q.groupBy("route_id").agg(F.min("fare_cents").alias("minimum_cents"), F.round(F.avg("fare_cents"), 2).alias("average_cents"), F.max("fare_cents").alias("maximum_cents"), F.count(F.lit(1)).alias("quote_count"))
+
+
+#: Sections of the page bundle: the columns that name a row of each.
+SECTIONS = {"TOTAL": (), "ROUTE": ("route_id",), "DAY": ("day",), "SEVERITY": ("severity",), "FARE_CLASS": ("fare_class",), "ROUTE_ROUND": ("route_id", "round_sort_key")}
+
+
+def page_bundle(cells: DataFrame) -> DataFrame:
+    """(section, key, measure, value): what the pages show of routed cells, one tall table
+    from one scan.  Null members of a key are written as ``-``; a measure without a value,
+    such as the mean fare of rows without fares, has no row."""
+    rows = cells.withColumns({"day": F.substring("round_sort_key", 1, 10), "severity": F.coalesce("severity", F.lit("NONE"))})
+    names = list(dict.fromkeys(c for keys in SECTIONS.values() for c in keys))
+    priced = F.col("fare_cents").isNotNull()
+    measures = {
+        "cells": F.count(F.lit(1)),
+        "priced_cells": F.count("fare_cents"),
+        "observations": F.sum("observations"),
+        "sold_out_observations": F.sum("sold_out_observations"),
+        "review_cells": F.count_if(F.col("severity").isin("REVIEW", "HIGH")),
+        "average_fare": F.avg("fare_cents") / 100,
+        "minimum_fare": F.min("fare_cents") / 100,
+        "maximum_fare": F.max("fare_cents") / 100,
+        "priced_pct": 100 * F.count_if(priced) / F.count(F.lit(1)),
+    }
+    # A bit of the grouping id is set for each name that a row is not grouped by.
+    absent = {section: sum(1 << (len(names) - 1 - k) for k, c in enumerate(names) if c not in keys) for section, keys in SECTIONS.items()}
+    grouped = rows.groupingSets([[F.col(c) for c in keys] for keys in SECTIONS.values()], *names).agg(F.grouping_id().alias("_g"), *[m.cast("double").alias(k) for k, m in measures.items()])
+    section = F.element_at(F.create_map(*[F.lit(x) for s, g in absent.items() for x in (g, s)]), F.col("_g").cast("int"))
+    key = F.coalesce(*[F.when(F.col("_g") == absent[s], F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("-")) for c in keys])) for s, keys in SECTIONS.items()])
+    tall = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in measures]))
+    return grouped.select(section.alias("section"), key.alias("key"), tall.alias("m")).select("section", "key", "m.measure", "m.value").where("value is not null")

@@ -41,9 +41,9 @@ def round_assignment(spark, sf_dir):
     return m.select("observation_id", "collection_round_id", "round_alignment", "round_anchor_timestamp", S.round_sort_key(F.col("round_anchor_timestamp"), F.col("collection_round_id")).alias("round_sort_key"))
 
 
-def _banded(spark, sf_dir):
+def _banded(spark, sf_dir, events=None):
     """Quotes whose fare is a band of 20.00, so that captures repeat."""
-    q = quotes(spark, sf_dir)
+    q = quotes(spark, sf_dir, events)
     return q.withColumn("total_fare", (F.floor(F.col("total_fare") / 20) * 20).cast("decimal(18,2)")).where("total_fare is not null or availability_status = 'Sold Out'")
 
 

@@ -50,9 +50,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validated, typed-as-text observations from events."""
-    e = table(spark, sf_dir, "events")
+def quotes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Validated, typed-as-text observations from events, a table or a stream of them."""
+    e = table(spark, sf_dir, "events") if events is None else events
     hub, code = F.lit("ZZZ"), F.upper(F.substring("event_type", 1, 3))
     odd = F.col("user_id") % 2 == 1
     cents = F.round(F.col("value") * 100).cast("long")

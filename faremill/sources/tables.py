@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ def text_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns=None, blank_is_null: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], columns=None, blank_is_null: bool = True) -> DataFrame:
     """A CSV with every column as text, and the header's byte-order mark removed.  The
     header must be ``columns`` where they are given."""
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
@@ -70,22 +69,51 @@ def store_artifacts(df: DataFrame, path: str) -> None:
     digest.withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("append").partitionBy("source", "prefix").parquet(path)
 
 
+#: A manifest: {"tables": {name: {"files": {file: sha256}, "columns": [...], "schema_version": v}}};
+#: "file" and "sha256" may stand for a table of one file.
+MANIFEST = "struct<tables:map<string,struct<files:map<string,string>,file:string,sha256:string,columns:array<string>,schema_version:string>>>"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, columns, schema_version, files): a row a table, read by Spark."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST, {"mode": "FAILFAST"}).alias("m"))
+    t = text.select(F.explode("m.tables").alias("name", "t"))
+    return t.select("name", "t.columns", "t.schema_version", F.coalesce("t.files", F.create_map("t.file", "t.sha256")).alias("files"))
+
+
+def digests(spark: SparkSession, root: str) -> DataFrame:
+    """(file, bytes, sha256, sha256_unix) of every file below a folder.  Executors read
+    the files, one a row; the second digest takes line ends of either kind as the same."""
+    at = re.sub(r"^[a-z0-9]+:/+", "/", root.rstrip("/"))
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    text = F.replace(F.decode("content", F.lit("ISO-8859-1")), F.lit("\r\n"), F.lit("\n"))
+    relative = F.expr(f"substring(path, locate('{at}/', path) + {len(at) + 1})")
+    return f.select(relative.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("sha256_unix"))
+
+
+def verified(spark: SparkSession, root: str, manifest: str) -> DataFrame:
+    """(name, file, status) of every file that the manifest names: MATCH, CHANGED or
+    MISSING.  Digests are made and compared on executors."""
+    named = read_manifest(spark, manifest).select("name", F.explode("files").alias("file", "expected"))
+    found = named.join(digests(spark, root), "file", "left")
+    same = (F.col("expected") == F.col("sha256")) | (F.col("expected") == F.col("sha256_unix"))
+    return found.select("name", "file", F.when(F.col("sha256").isNull(), "MISSING").when(same, "MATCH").otherwise("CHANGED").alias("status"))
+
+
 def load_snapshot(spark: SparkSession, root: str, manifest: str) -> dict[str, DataFrame]:
-    """Published tables by name, once each one's bytes, header and schema version match
-    the manifest: {"tables": {name: {"file", "sha256", "columns", "schema_version"}}}."""
-    with open(manifest) as f:
-        tables = json.load(f)["tables"]
+    """Published tables by name, once every file's bytes, each header and each schema
+    version match the manifest; else none is published."""
+    bad = verified(spark, root, manifest).where("status <> 'MATCH'").orderBy("name", "file").limit(20).collect()
+    if bad:
+        raise ValueError("content differs from the manifest: " + ", ".join(f"{r.name}: {r.file} {r.status}" for r in bad))
     out = {}
-    for name, x in tables.items():
-        with open(f"{root}/{x['file']}", "rb") as f:
-            raw = f.read()
-        if x["sha256"] not in {hashlib.sha256(b).hexdigest() for b in (raw, raw.replace(b"\r\n", b"\n"))}:
-            raise ValueError(f"{name}: content differs from the manifest")
-        df = read_csv(spark, f"{root}/{x['file']}", x["columns"])
-        if "schema_version" in df.columns and not df.where(F.col("schema_version") != x["schema_version"]).isEmpty():
-            raise ValueError(f"{name}: schema version is not {x['schema_version']}")
+    for x in read_manifest(spark, manifest).collect():  # a row a table
+        df = read_csv(spark, [f"{root}/{f}" for f in sorted(x.files)], x.columns)
+        if "schema_version" in df.columns and not df.where(~F.col("schema_version").eqNullSafe(F.lit(x.schema_version))).isEmpty():
+            raise ValueError(f"{x.name}: schema version is not {x.schema_version}")
+        out[x.name] = df
+    for name, df in out.items():
         df.createOrReplaceTempView(name)
-        out[name] = df
     return out
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import scalars as S
+from ..sources import scratch
 
 
 def rounds(stream: DataFrame, ts: str, observation_id: str) -> DataFrame:
@@ -56,12 +58,105 @@ def sweep(stream: DataFrame, bucket: list[str], ts: str, order: str, tolerance_m
     return keyed.groupBy("bucket").applyInPandasWithState(settle, "bucket string, id string, canonical string", "held array<struct<t:long,id:string>>, anchor struct<t:long,id:string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def split_late(batch: DataFrame, ts: str, mark: str) -> tuple[DataFrame, DataFrame]:
-    """(in time, late) of a micro-batch, for a side table in ``foreachBatch``."""
-    late = F.col(ts) < F.lit(mark).cast("timestamp")
+def split_late(batch: DataFrame, ts: str, mark) -> tuple[DataFrame, DataFrame]:
+    """(in time, late) of a micro-batch: a row is late if it lies before the mark; without
+    a mark none is, and a row without a time never is."""
+    late = F.coalesce(F.col(ts) < F.lit(mark).cast("timestamp"), F.lit(False))
     return batch.where(~late), batch.where(late)
 
 
+class Delivery:
+    """A ``foreachBatch`` sink that keeps every row: those in time below ``on_time``, the
+    late ones below ``late``, each batch in a folder of its own.
+
+    The mark of a batch is the latest time of the batches before it, less the delay, as
+    for a watermark.  Each batch notes its latest time below ``marks``.  All three are
+    overwritten by batch id, and a batch reads the notes of earlier ones only, so a batch
+    that is replayed, after a failure at any point, leaves what it left before.
+    """
+
+    def __init__(self, path: str, ts: str, late: str = "30 minutes"):
+        self.path, self.ts, self.delay = path.rstrip("/"), ts, late
+
+    def _notes(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("latest timestamp, batch_id long").parquet(f"{self.path}/marks")
+
+    def mark(self, spark: SparkSession, batch_id: int):
+        """The mark of a batch, or None for the first one."""
+        if batch_id == 0:
+            return None
+        earlier = self._notes(spark).where(F.col("batch_id") < batch_id)
+        return earlier.agg((F.max("latest") - F.expr(f"interval {self.delay}")).alias("m")).first().m
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = self.mark(spark, batch_id)
+        batch = batch.persist()
+        try:
+            for name, rows in zip(("on_time", "late"), split_late(batch, self.ts, mark)):
+                rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
+            batch.agg(F.max(F.col(self.ts).cast("timestamp")).alias("latest")).write.mode("overwrite").parquet(f"{self.path}/marks/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    def table(self, spark: SparkSession, name: str, schema) -> DataFrame:
+        """``on_time`` or ``late``, with batch_id."""
+        return spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}").withColumn("batch_id", F.regexp_extract(F.input_file_name(), r"batch_id=(\d+)", 1).cast("long"))
+
+
+class _Expiry(StatefulProcessor):
+    """Captures of one query that may still expire, each with a timer at its end."""
+
+    def __init__(self, life: int):
+        self.life = life
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "at long", "one boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for at in {row["at"] for row in rows}:
+            if not self.held.containsKey((at,)):
+                self.held.updateValue((at,), (True,))
+                self.handle.registerTimer(at + self.life - 1)  # a timer fires once the mark is beyond it
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at = expiredTimerInfo.getExpiryTimeInMs() + 1 - self.life
+        renewed = any(at < later < at + self.life for (later,) in self.held.keys())
+        self.held.removeKey((at,))
+        if not renewed:
+            yield Row(query_id=key[0], at=at)
+
+    def close(self) -> None:
+        pass
+
+
+#: transformWithState keeps its timers in this store.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def expiries(stream: DataFrame, query_id: str, ts: str, hours: int = 2, late: str = "30 minutes") -> DataFrame:
+    """(query_id, collected_at, expired_at) of each quote, emitted once the watermark has
+    reached the end of its time to live, unless the same query was captured anew before
+    that.  What expires goes from the state.  Equal to ``collection.expiries`` of all
+    rows that were not late, at every watermark."""
+    stream.sparkSession.conf.set(*ROCKSDB)
+    life = hours * 3_600_000
+    rows = stream.withWatermark(ts, late).where(F.col(ts).isNotNull() & F.col(query_id).isNotNull()).select(F.col(query_id).cast("string").alias("query_id"), F.unix_millis(F.col(ts)).alias("at"), F.col(ts).alias("event_time"))
+    out = rows.groupBy("query_id").transformWithState(_Expiry(life), "query_id string, at long", "Append", "EventTime")
+    return out.select("query_id", F.timestamp_millis("at").alias("collected_at"), F.timestamp_millis(F.col("at") + life).alias("expired_at"))
+
+
+def replayed(stream: DataFrame, tag: str) -> DataFrame:
+    """What a stream of the files there are appends in all, as a table."""
+    spark = stream.sparkSession
+    path = scratch.folder(spark, tag)
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def live_quotes(stream: DataFrame, ts: str, hours: int = 2) -> DataFrame:
     """Each quote once within its time to live: the watermark drops the state of older
     ones."""

@@ -11,6 +11,8 @@ from faremill.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries without a row on the smallest tables: they have no gap and no repeated key.
+EMPTY = ("month_gaps", "key_duplicates")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
@@ -35,13 +37,14 @@ def test_oracles_bind(duck):
         assert duck.execute(f"select * from ({sql}) limit 0").description, name
 
 
-@pytest.mark.parametrize("name", ["validate_rows", "dedup_sweep", "cell_median", "route_grain_a", "backtest_metrics", "lead_time_pivot", "query_matrix", "source_gate", "nearest_round", "cpi_comparison", "live_quotes", "basket_diversified", "observation_bundles", "route_measures", "item_states", "series_report", "validation_totals", "quality_trend", "itinerary_offers", "metric_lineage", "history_r10", "normalized_cells", "normalized_flight_cells", "normalized_map"])
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
     want = sorted((tuple(plain(x) for x in r) for r in duck.execute(f'select {", ".join(chr(34) + c + chr(34) for c in cols)} from ({registry.ORACLES[name]})').fetchall()), key=repr)
     assert got == want
+    assert got or name in EMPTY
 
 
 def test_month_gaps_reads_every_row(spark, duck):
