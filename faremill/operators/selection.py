@@ -44,7 +44,7 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks, passes
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float], passes: tuple[int, ...] = PASSES) -> DataFrame:
     """(keys, n, a column a fraction): quantiles between the two nearest values, as
-    ``percentile`` has them."""
+    ``percentile`` has them.  Without keys there is one row, of nulls if nothing counts."""
     place = lambda n, p: (n - 1) * F.lit(float(p))
     ranks = lambda n: {f"{name}{end}": cut(place(n, p)) for name, p in fractions.items() for end, cut in (("<", F.floor), (">", F.ceil))}
     found = order_statistics(rows, keys, value, ranks, passes)

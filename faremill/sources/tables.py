@@ -86,7 +86,7 @@ def digests(spark: SparkSession, root: str) -> DataFrame:
     the files, one a row; the second digest takes line ends of either kind as the same."""
     at = re.sub(r"^[a-z0-9]+:/+", "/", root.rstrip("/"))
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    text = F.replace(F.decode("content", F.lit("ISO-8859-1")), F.lit("\r\n"), F.lit("\n"))
+    text = F.replace(F.decode("content", "ISO-8859-1"), F.lit("\r\n"), F.lit("\n"))
     relative = F.expr(f"substring(path, locate('{at}/', path) + {len(at) + 1})")
     return f.select(relative.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.sha2(F.encode(text, "ISO-8859-1"), 256).alias("sha256_unix"))
 
