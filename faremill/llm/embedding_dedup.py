@@ -4,13 +4,16 @@ Unit vectors x, y of cosine c have projections on a Gaussian direction that are
 bivariate normal with correlation c, whatever the number of dimensions.
 
 1. Candidates.  In each of L tables a vector is dealt to a bucket by which side of
-   ``k`` of the ``SIDES`` directions it lies on.  A bucket is sorted along the table's
-   lead projection, and a query meets the vectors in the window of ``WINDOW`` cells on
-   each side of it.
+   ``k`` of the ``SIDES`` directions it lies on.  What travels is its number, its sides
+   and the cells of its projections, 64 bytes, not the vector.  A bucket is sorted along
+   the table's lead projection, and a query meets the vectors in the window of
+   ``WINDOW`` cells on each side of it.
 2. Counting.  Of a pair that meets, the projections are counted in which one vector
-   falls into the window around the other.  Pairs that reach ``least_count`` go on.
-3. Verification, in double precision.  A pair that meets in several tables counts in
-   the first of them only.
+   falls into the window around the other.  A bucket returns which of its vectors have a
+   partner that reaches ``least_count``; only these go on, with their vectors.
+3. Verification, in double precision.  The bucket counts again among them and compares
+   the pairs that pass.  A pair that meets in several tables counts in the first of
+   them only; of a pair's earlier tables one in five has met it, so few are looked at.
 
 k grows with the logarithm of the number of distinct vectors, so that a bucket holds
 about ``PARTNERS`` of them; L and the least count are calibrated (``tables``,
@@ -100,14 +103,17 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _sided(batches):
-    """The sides of each vector as 64-bit words."""
+    """The cells of each vector's projections, a byte each, and its sides as 64-bit words."""
     for batch in batches:
         dims, words = batch["dims"].to_numpy(), np.zeros((batch.num_rows, len(WORDS)), dtype=np.uint64)
+        cells = np.zeros((batch.num_rows, PROJECTIONS), dtype=np.uint8)
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
-            sides = (_matrix(batch["vector"].take(pa.array(at))) @ _directions(int(d))[:, PROJECTIONS:]) > 0
-            words[at] = np.packbits(sides, axis=1, bitorder="little").view("<u8")
-        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(len(WORDS))]], names=[*batch.schema.names, *WORDS])
+            along = _matrix(batch["vector"].take(pa.array(at))) @ _directions(int(d))
+            words[at] = np.packbits(along[:, PROJECTIONS:] > 0, axis=1, bitorder="little").view("<u8")
+            cells[at] = np.clip(np.floor(along[:, :PROJECTIONS] / CELL) + 128, 0, 255)
+        packed = pa.array([c.tobytes() for c in cells], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, packed, *[pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(len(WORDS))]], names=[*batch.schema.names, "cells", *WORDS])
 
 
 def _meeting(ca: np.ndarray, cb: np.ndarray, lead: int, same: bool, least: int):
@@ -132,32 +138,48 @@ def _meeting(ca: np.ndarray, cb: np.ndarray, lead: int, same: bool, least: int):
         yield u, v
 
 
+def _sorted(table: pa.Table):
+    """A task's rows along its table's lead: order, cells (a row a projection), the lead,
+    and the places of either block."""
+    lead = table["t"][0].as_py() % PROJECTIONS
+    cells = np.frombuffer(b"".join(table["cells"].to_pylist()), dtype=np.uint8).reshape(-1, PROJECTIONS)
+    order = np.argsort(cells[:, lead], kind="stable")
+    block = table["block"].to_numpy()[order]
+    return order, np.ascontiguousarray(cells[order].T), lead, np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
+
+
+def _met(table: pa.Table, least: int) -> pa.Table:
+    """The rows of a task that have a partner of enough collisions."""
+    table = table.combine_chunks()
+    order, cells, lead, mine, other = _sorted(table)
+    hit = np.zeros(len(order), dtype=bool)
+    for u, v in _meeting(cells[:, mine], cells[:, other], lead, table["i"][0] == table["j"][0], least):
+        hit[mine[u]] = hit[other[v]] = True
+    return table.take(pa.array(np.sort(order[hit])))
+
+
 def _bucket(table: pa.Table, cosine: float, least: int, masks: np.ndarray) -> pa.Table:
     table = table.combine_chunks()
-    t, i, j = table["t"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
-    lead, dims = t % PROJECTIONS, table["dims"][0].as_py()
-    vectors = _matrix(table["vector"])
-    cells = np.clip(np.floor(vectors @ _directions(dims)[:, :PROJECTIONS] / CELL) + 128, 0, 255).astype(np.uint8)
-    order = np.argsort(cells[:, lead], kind="stable")
-    vectors, cells = vectors[order], np.ascontiguousarray(cells[order].T)
-    node, times, block = (table[c].to_numpy()[order] for c in ("node", "times", "block"))
+    t = table["t"][0].as_py()
+    order, cells, lead, mine, other = _sorted(table)
+    vectors = _matrix(table["vector"])[order]
+    node, times = (table[c].to_numpy()[order] for c in ("node", "times"))
     sides = np.stack([table[c].to_numpy()[order] for c in WORDS], axis=1).view(np.uint64)
-    mine, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
     label, count = np.arange(len(node)), np.zeros(len(node), np.int64)
     us, vs = [], []
-    for u, v in _meeting(cells[:, mine], cells[:, other], lead, i == j, least):
+    for u, v in _meeting(cells[:, mine], cells[:, other], lead, table["i"][0] == table["j"][0], least):
         for at in range(0, len(u), 1 << 16):
             x, y = mine[u[at : at + (1 << 16)]], other[v[at : at + (1 << 16)]]
             near = np.einsum("nd,nd->n", vectors[x], vectors[y]) >= cosine
             x, y = x[near], y[near]
             differ = sides[x] ^ sides[y]
             fresh = ~(differ & masks[t]).any(axis=1)
-            for e in range(t):
-                if len(x):
-                    met = ~(differ & masks[e]).any(axis=1)
-                    p = e % PROJECTIONS
-                    fresh &= ~(met & (np.abs(cells[p, x].astype(np.int16) - cells[p, y]) <= WINDOW))
-            x, y = x[fresh], y[fresh]
+            for e in range(t + 1):
+                x, y, differ = x[fresh], y[fresh], differ[fresh]
+                if e == t or not len(x):
+                    break
+                p = e % PROJECTIONS
+                fresh = (differ & masks[e]).any(axis=1) | (np.abs(cells[p, x].astype(np.int16) - cells[p, y]) > WINDOW)
             np.add.at(count, x, times[y])
             np.add.at(count, y, times[x])
             us.append(x)
@@ -177,11 +199,11 @@ def _bucket(table: pa.Table, cosine: float, least: int, masks: np.ndarray) -> pa
 
 
 def buckets(distinct: DataFrame, masks: np.ndarray) -> DataFrame:
-    """Each vector in its bucket of each table; t, bucket, i and j name a task's work:
-    a whole bucket, or a pair of blocks of a long one."""
+    """Each vector's number, sides and cells in its bucket of each table; t, bucket, i
+    and j name a task's work: a whole bucket, or a pair of blocks of a long one."""
     read = F.array(*[F.struct(F.lit(t).alias("t"), *[F.lit(int(m)).alias(w) for m, w in zip(row, WORDS)]) for t, row in enumerate(masks.view(np.int64))])
     rows = distinct.withColumn("m", F.explode(read)).withColumn("bucket", F.xxhash64(*[F.col(w).bitwiseAND(F.col(f"m.{w}")) for w in WORDS]))
-    rows = rows.select("node", "times", "vector", "dims", *WORDS, F.col("m.t").alias("t"), "bucket")
+    rows = rows.select("node", "times", "cells", "dims", *WORDS, F.col("m.t").alias("t"), "bucket")
     key = ["dims", "t", "bucket"]
     long = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     long = common.materialize(long.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long-buckets")
@@ -207,11 +229,14 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     units = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(sound, raw).alias("vector"))
     distinct = units.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("times"))
     distinct = distinct.withColumns({"node": F.monotonically_increasing_id(), "dims": F.size("vector")})
-    distinct = common.materialize(distinct.mapInArrow(_sided, f"vector {kind}, least_id long, times long, node long, dims int, " + ", ".join(f"{w} long" for w in WORDS)), "vectors")
+    distinct = common.materialize(distinct.mapInArrow(_sided, f"vector {kind}, least_id long, times long, node long, dims int, cells binary, " + ", ".join(f"{w} long" for w in WORDS)), "vectors")
     rows, n = distinct.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
     masks, least = _masks(tables(max(0, math.ceil(math.log2(max(1, n) / PARTNERS))), cosine)), least_count(cosine)
-    dealt = buckets(distinct, masks).groupBy("dims", "t", "bucket", "i", "j")
-    found = common.materialize(dealt.applyInArrow(lambda b: _bucket(b, cosine, least, masks), "node long, root long, links long"), "collisions")
+    work = ["dims", "t", "bucket", "i", "j"]
+    dealt = buckets(distinct, masks)
+    met = common.materialize(dealt.groupBy(*work).applyInArrow(lambda b: _met(b, least), dealt.schema), "met")
+    carried = met.join(distinct.select("node", "vector").hint("merge"), "node").groupBy(*work)
+    found = common.materialize(carried.applyInArrow(lambda b: _bucket(b, cosine, least, masks), "node long, root long, links long"), "collisions")
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = distinct.select("node", "least_id", "times", "vector").join(groups, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
