@@ -35,6 +35,8 @@ from . import common
 
 FINGERPRINT_BITS, BLOCK_ROWS = 48, 1 << 16
 BITS_EACH, MOST_BITS, PROBES = 10, 1 << 28, 4
+#: Rows whose fingerprints one owner decodes at once, on average, at most.
+OWNED = 1 << 22
 _BLOCK = "block long, owner int, base long, shift int, n int, codes binary, repeated binary, rows array<int>, ids array<long>, shas binary"
 
 
@@ -162,7 +164,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    owner_bits = max(1, math.ceil(math.log2(4 * common.shuffle_partitions(spark))))
+    owners = max(4 * common.shuffle_partitions(spark), docs.count() / OWNED)
+    owner_bits = max(1, math.ceil(math.log2(owners)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = common.materialize(rows.mapInArrow(lambda it: _blocks(it, owner_bits), _BLOCK), "fingerprints")
     answers = blocks.select("block", "owner", "base", "shift", "n", "codes").groupBy("owner").applyInArrow(_answer, "block long, owner int, hits binary")

@@ -6,9 +6,13 @@ anchor (winnowing).  The steps:
 
 1. seed: every document yields the runs of consecutive windows that share an
    anchor; runs are range-sorted by anchor, and an anchor seen once is done with;
-2. extend: a run with a repeated anchor is extended both ways from the anchor to
-   all windows that contain it, and these meet the windows of the anchor's other
-   runs in (document, start) order: every window but the earliest is a repeat;
+2. extend: around each place of a repeated anchor, the run's windows reach from it both
+   ways as far as they contain it, up to CUT at a time.  Each is a 64-bit hash of its
+   words, and these meet those of the anchor's other places in (document, start) order:
+   every window but the earliest is a repeat.  Texts are not read again to compare words:
+   of two windows that share an anchor and differ, one in 2^64 passes for a repeat, which
+   is less than one false removal a terabyte even where a passage stands in a third of all
+   documents (some 3e9 windows, each against 1e9 of its anchor: 0.2);
 3. repeats that overlap or touch merge to maximal repeats of at least ``WINDOW``
    words, and their words go.
 
