@@ -55,7 +55,8 @@ def metrics(matched: DataFrame) -> DataFrame:
 
     MAPE is of rebased levels, whose reference must be positive; TURNING_AGREEMENT is
     the share of changes at which both series turn, or neither; PEAK_TIMING the months
-    by which the index peaks after the reference (the first peak of either); YOY the
+    by which the index peaks after the reference (the first peak of either; troughs are
+    in ``extreme_timing``); YOY the
     mean absolute difference of the changes over a year.
     """
     line = Window.orderBy("month")
@@ -100,6 +101,20 @@ def metrics(matched: DataFrame) -> DataFrame:
     return out.select("metric", F.col("n").alias("sample"), "required", F.when(enough, F.round("raw", 6)).alias("value"), F.when(~enough, "INSUFFICIENT_SAMPLE").when(F.col("raw").isNull(), "UNDEFINED").otherwise("COMPUTED").alias("status"))
 
 
+def extreme_timing(matched: DataFrame) -> DataFrame:
+    """(extreme, index_month, reference_month, months_apart, sample, status): the first
+    peak and the first trough of either series, and the months by which the index's comes
+    after the reference's; a value only with as many months as PEAK_TIMING needs."""
+    number = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")
+    first = lambda x, sign: F.min_by(F.struct("month", number.alias("i")), F.struct(sign * F.col(x), "month"))
+    row = matched.agg(F.count(F.lit(1)).alias("sample"), *[first(x, sign).alias(f"{name}_{x}") for name, sign in (("PEAK", -1), ("TROUGH", 1)) for x in ("a", "b")])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("extreme"), F.col(f"{name}_a").alias("a"), F.col(f"{name}_b").alias("b")) for name in ("PEAK", "TROUGH")]))
+    out = row.select("sample", each.alias("x")).select("sample", "x.*")
+    enough = F.col("sample") >= MINIMUM["PEAK_TIMING"]
+    told = lambda c: F.when(enough, c)
+    return out.select("extreme", told(F.col("a.month")).alias("index_month"), told(F.col("b.month")).alias("reference_month"), told(F.col("a.i") - F.col("b.i")).cast("long").alias("months_apart"), "sample", F.when(enough, "COMPUTED").otherwise("INSUFFICIENT_SAMPLE").alias("status"))
+
+
 def calendar_changes(series: DataFrame) -> DataFrame:
     """(month, value) with the change in percent from the calendar month before and the
     year before; a gap breaks both."""

@@ -25,19 +25,24 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, ranks, passes
     """
     group = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
     counts = rows.where(F.col(value).isNotNull()).select(group.alias("g"), F.col(value).cast("long").alias("v")).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy("g").agg(F.sum("n").alias("total"))
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks(F.col("total")).items()]))
-    wanted = total.select("g", F.col("total"), each.alias("w")).select("g", "total", F.col("w.name").alias("name"), F.col("w.rank").alias("rank"), F.col("w.rank").alias("left"), F.lit(0).cast("long").alias("up"))
-    above = None
+    named = lambda n: F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks(n).items()]))
+    wanted, above = None, None
     for bits in passes:
-        up = F.shiftright("v", above) if above is not None else F.lit(0).cast("long")
-        ranges = counts.groupBy("g", up.alias("up"), F.shiftright("v", bits).alias("d")).agg(F.sum("n").alias("n"))
-        if above is not None:
-            ranges = ranges.join(wanted.select("g", "up").distinct(), ["g", "up"], "left_semi")
-        upto = F.sum("n").over(Window.partitionBy("g", "up").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
-        ranges = ranges.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n")).drop("n")
-        met = wanted.join(ranges, ["g", "up"]).where((F.col("left") >= F.col("before")) & (F.col("left") < F.col("upto")))
-        wanted = met.select("g", "total", "name", "rank", (F.col("left") - F.col("before")).alias("left"), F.col("d").alias("up"))
+        place = F.shiftright("v", bits).alias("d")
+        if wanted is None:  # all ranges of a group, and its count with them
+            part = ["g"]
+            ranges = counts.groupBy("g", place).agg(F.sum("n").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("g")))
+        else:  # the ranges within the one that a rank was found in
+            part = ["g", "name"]
+            inner = counts.withColumn("up", F.shiftright("v", above))
+            inner = inner.select("g", "up", "n", place) if bits == 0 else inner.groupBy("g", "up", place).agg(F.sum("n").alias("n"))
+            ranges = inner.join(wanted, ["g", "up"])
+        upto = F.sum("n").over(Window.partitionBy(*part).orderBy("d").rowsBetween(Window.unboundedPreceding, 0))
+        ranges = ranges.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+        if wanted is None:
+            ranges = ranges.withColumn("w", named(F.col("total"))).withColumns({"name": F.col("w.name"), "rank": F.col("w.rank"), "left": F.col("w.rank")})
+        found = ranges.where((F.col("left") >= F.col("before")) & (F.col("left") < F.col("upto")))
+        wanted = found.select("g", "total", "name", "rank", (F.col("left") - F.col("before")).alias("left"), F.col("d").alias("up"))
         above = bits
     return wanted.select(*[F.col("g").getField(k).alias(k) for k in keys], "name", "rank", F.col("up").alias("value"), F.col("total").alias("n"))
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import backtest, basket, collection, dashboard, index, lookup, routes, selection, validation
+from ..operators import anomaly, backtest, basket, collection, consolidation, dashboard, dedup, index, lookup, routes, selection, validation
 from ..sources import ordered
 from ..streaming import ingest
 from .indexing import ITEMS, ROUTED, TRAFFIC, cells, event_basket, items, routed
 from .quotes import _SWEEP, _banded
-from .roles import QUOTES, RAW, raw_observations, registry, table
+from .reports import MONTHS, comparison
+from .roles import QUOTES, RAW, STAGES, quotes, raw_observations, registry, table
+from .screening import FLIGHTS, PEERS
 
 QUERIES, ORACLES, query = registry()
 
@@ -215,3 +217,52 @@ def pair_eligibility(spark, sf_dir):
 def series_rebased(spark, sf_dir):
     m = table(spark, sf_dir, "orders").groupBy(S.month_id(F.col("o_orderdate")).alias("month")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("value"))
     return dashboard.compare_levels(m).select("month", F.round("rebased", 4).alias("rebased"))
+
+
+# --- identities, duplicates and extremes ------------------------------------------------------------
+@query("""SELECT c_custkey, substring(sha256('customer:{"key":' || c_custkey || ',"name":"' || c_name || '"}'), 1, 32) AS customer_id, 'K::' || c_custkey || '|' || c_mktsegment AS label FROM customer""")
+def stable_ids(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", S.stable_id("customer", name=F.col("c_name"), key=F.col("c_custkey")).alias("customer_id"), S.key("K::", F.col("c_custkey"), F.col("c_mktsegment")).alias("label"))
+
+
+@query(
+    _SWEEP
+    + """, signed AS (SELECT swept.*, CASE WHEN CAST(observation_id AS BIGINT) % 5 <> 0 THEN substring(md5(split_part(bucket, '|', 6) || '|' || (CAST(observation_id AS BIGINT) // 7 % 2)), 1, 12) END AS sig FROM swept)
+SELECT 'DUPGRP-' || canonical AS duplicate_group_id, count(*) AS group_size, CASE WHEN count(sig) = count(*) THEN min(sig) = max(sig) END AS capture_signature_agreement FROM signed WHERE size > 1 GROUP BY canonical"""
+)
+def signature_agreement(spark, sf_dir):
+    """Duplicate groups whose captures carry one signature, several, or not all one."""
+    n = F.col("observation_id").cast("long")
+    signed = _banded(spark, sf_dir).withColumn("capture_signature", F.when(n % 5 != 0, S.capture_signature(F.col("source"), (F.floor(n / 7) % 2).cast("string"))))
+    return dedup.duplicate_report(dedup.deduplicate(signed)).select("duplicate_group_id", "group_size", "capture_signature_agreement")
+
+
+@query(f"""WITH {MONTHS}, i AS (SELECT month, a, b, CAST(substring(month, 1, 4) AS INTEGER) * 12 + CAST(substring(month, 6, 2) AS INTEGER) AS i FROM m1),
+x AS (SELECT 'PEAK' AS extreme, arg_min(month, (-a, month)) AS ma, arg_min(month, (-b, month)) AS mb, arg_min(i, (-a, month)) - arg_min(i, (-b, month)) AS d, count(*) AS n FROM i UNION ALL SELECT 'TROUGH', arg_min(month, (a, month)), arg_min(month, (b, month)), arg_min(i, (a, month)) - arg_min(i, (b, month)), count(*) FROM i)
+SELECT extreme, CASE WHEN n >= 12 THEN ma END AS index_month, CASE WHEN n >= 12 THEN mb END AS reference_month, CASE WHEN n >= 12 THEN CAST(d AS BIGINT) END AS months_apart, n AS sample, CASE WHEN n >= 12 THEN 'COMPUTED' ELSE 'INSUFFICIENT_SAMPLE' END AS status FROM x""")
+def extreme_timing(spark, sf_dir):
+    return backtest.extreme_timing(backtest.pairs(comparison(spark, sf_dir)))
+
+
+@query("""WITH e AS (SELECT event_id, ts, CAST(round(value, 2) AS DECIMAL(18,2)) AS price, upper(substring(event_type, 1, 3)) AS code, user_id % 5 AS seat FROM events WHERE event_id % 31 <> 0 AND event_id % 4 < 2)
+SELECT CAST(event_id AS VARCHAR) AS query_id, code AS origin, 'ZZZ' AS destination, 'C-' || seat AS flight_number, CAST(round((price - n * 100) * 100) AS BIGINT) AS fare_cents FROM e, (VALUES (0), (1)) v(n) WHERE price - n * 100 > 0""")
+def search_offers(spark, sf_dir):
+    """Recorded search payloads by their declared schema."""
+    p = _payloads(spark, sf_dir).where("provider = 'search'")
+    return collection.flattened(p).select("query_id", "origin", "destination", "flight_number", "fare_cents")
+
+
+@query(f"""WITH {FLIGHTS}{PEERS.removeprefix(STAGES)}, o AS (SELECT source, cell_id, flight, NOT sold AND event_id % 41 = 0 AS r01, NOT sold AND event_id % 11 <> 0 AND CASE WHEN event_id % 41 = 0 THEN all_cents > 50 ELSE event_id % 43 = 0 END AS r03 FROM quotes),
+h AS (SELECT cell_id, flight FROM fx WHERE k >= 2 AND lo > 0 AND (hi - lo) / nullif(lo, 0) > 0.15), p AS (SELECT cell_id FROM z WHERE abs(z) > 3.5)
+SELECT source, CAST(sum(CAST(r01 AS INTEGER) + CAST(r03 AS INTEGER)) AS BIGINT) AS flags, count(*) FILTER (r01 OR r03) AS high_severity_observations, count(DISTINCT h.cell_id || h.flight) AS r07_flight_cells, count(DISTINCT p.cell_id) AS r13_cells
+FROM o LEFT JOIN h ON h.cell_id = o.cell_id AND h.flight = o.flight LEFT JOIN p ON p.cell_id = o.cell_id GROUP BY source""")
+def source_flag_totals(spark, sf_dir):
+    """All three kinds of flags a source can have: some fares are turned around or off by
+    five, for the rules on observations."""
+    q = quotes(spark, sf_dir)
+    n = F.col("observation_id").cast("long")
+    odd = q.withColumn("total_fare", F.when(n % 41 == 0, -F.col("total_fare")).when(n % 43 == 0, F.col("total_fare") + 5).otherwise(F.col("total_fare")))
+    m, c = consolidation.members(q), cells(spark, sf_dir)
+    found = anomaly.observation_rules(odd).unionByName(anomaly.flight_rules(consolidation.flight_cells(m), c)).unionByName(anomaly.peer_rules(c))
+    return anomaly.source_flags(m, found).select("source", "flags", "high_severity_observations", "r07_flight_cells", "r13_cells")
