@@ -226,6 +226,11 @@ def month_number(name: Column) -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.initcap(F.trim(name)))
 
 
+def month_start(year: Column, name: Column) -> Column:
+    """First day of a year's month by its English name; null if there is none."""
+    return F.make_date(year.cast("int"), F.nullif(month_number(name), F.lit(0)).cast("int"), F.lit(1))
+
+
 # --- states ------------------------------------------------------------------------
 def is_sold_out(status: Column) -> Column:
     return F.lower(F.trim(status)) == "sold out"

@@ -91,6 +91,21 @@ def lead_time_steps(lead: DataFrame) -> DataFrame:
     return out.select("days", "next_days", F.round(step, 4).alias("step_pct"), F.when(F.abs(step) > 15, "high").when(F.abs(step) > 7, "medium").otherwise("low").alias("step_level"), F.round(elastic, 6).alias("elasticity"), level.alias("elasticity_level"))
 
 
+#: Pairs of windows between which a booking step is shown.
+STEPS = ((1, 7), (15, 30), (30, 45))
+
+
+def booking_steps(lead: DataFrame, steps: tuple[tuple[int, int], ...] = STEPS) -> DataFrame:
+    """(from_days, to_days, step_pct, step_level) of the named pairs of windows: one row a
+    pair, NO_PAIRED_OBSERVATIONS where one of its windows has no fare or the first is zero."""
+    means = [F.avg(F.when(F.col("days") == d, F.col("average_cents"))).alias(f"m{d}") for d in sorted({d for pair in steps for d in pair})]
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("from_days"), F.lit(b).alias("to_days"), (100 * S.relative_change(F.col(f"m{a}"), F.col(f"m{b}"))).alias("step")) for a, b in steps]))
+    out = lead.agg(*means).select(each.alias("x")).select("x.*")
+    size = F.abs("step")
+    level = F.when(F.col("step").isNull(), "NO_PAIRED_OBSERVATIONS").when(size > 15, "high").when(size > 7, "medium").otherwise("low")
+    return out.select("from_days", "to_days", F.round("step", 4).alias("step_pct"), level.alias("step_level"))
+
+
 def lead_time_extremes(lead: DataFrame) -> DataFrame:
     """Cheapest and dearest window, and the premium of the last day over the first."""
     mean = lead.groupBy("days").agg(F.avg("average_cents").alias("a"))

@@ -10,7 +10,7 @@ from ..sources import ordered
 from ..streaming import ingest
 from .indexing import ITEMS, ROUTED, TRAFFIC, cells, event_basket, items, routed
 from .quotes import _SWEEP, _banded
-from .reports import MONTHS, comparison
+from .reports import LEAD, MONTHS, _lead, comparison
 from .roles import QUOTES, RAW, STAGES, quotes, raw_observations, registry, table
 from .screening import FLIGHTS, PEERS
 
@@ -266,3 +266,58 @@ def source_flag_totals(spark, sf_dir):
     m, c = consolidation.members(q), cells(spark, sf_dir)
     found = anomaly.observation_rules(odd).unionByName(anomaly.flight_rules(consolidation.flight_cells(m), c)).unionByName(anomaly.peer_rules(c))
     return anomaly.source_flags(m, found).select("source", "flags", "high_severity_observations", "r07_flight_cells", "r13_cells")
+
+
+# --- small operators over whole tables ------------------------------------------------------------------
+@query(f"""WITH {LEAD}, x AS (SELECT a, b, 100 * ((SELECT m.a FROM mean m WHERE days = b) / (SELECT m.a FROM mean m WHERE days = v.a) - 1) AS step FROM (VALUES (1, 7), (15, 30), (30, 45)) v(a, b))
+SELECT a AS from_days, b AS to_days, round(step, 4) AS step_pct, CASE WHEN step IS NULL THEN 'NO_PAIRED_OBSERVATIONS' WHEN abs(step) > 15 THEN 'high' WHEN abs(step) > 7 THEN 'medium' ELSE 'low' END AS step_level FROM x""")
+def booking_steps(spark, sf_dir):
+    return dashboard.booking_steps(_lead(spark, sf_dir))
+
+
+@query(f"""WITH {QUOTES} SELECT cell_id AS consolidation_cell_id, CAST(floor((epoch(max(cts)) - epoch(min(cts))) / 60) AS BIGINT) AS round_time_spread_minutes,
+  array_to_string(list_filter(['AirlineSite', 'Cleartrip', 'Goibibo', 'MMT'], lambda s: NOT list_contains(coalesce(list(DISTINCT source) FILTER (cents IS NOT NULL), []), s)), ';') AS missing_sources FROM quotes GROUP BY cell_id""")
+def cell_time_spread(spark, sf_dir):
+    return cells(spark, sf_dir).select("consolidation_cell_id", "round_time_spread_minutes", F.array_join(F.array_sort("missing_sources"), ";").alias("missing_sources"))
+
+
+@query(f"WITH {ITEMS} SELECT row_number() OVER (ORDER BY CASE variant WHEN 'PRIMARY' THEN 1 ELSE 2 END, link_sequence) AS ordinal, variant, collection_round_id, index_level FROM idx WHERE round_sort_key BETWEEN '2024-01-05' AND '2024-01-25'")
+def ordered_index(spark, sf_dir):
+    """Rounds of a span of days, numbered in the order of their output."""
+    rows = dashboard.filtered(index.round_index(items(spark, sf_dir), event_basket(spark, sf_dir)), "2024-01-05", "2024-01-25")
+    place = F.array_position(F.array(*[F.lit(v) for v in index.VARIANTS]), F.col("variant"))
+    return ordered.numbered(rows, [place, F.col("link_sequence")]).select("ordinal", "variant", "collection_round_id", "index_level")
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, [200, 204, 404, 408, 429, 500, 503][l_partkey % 7 + 1] AS status, l_suppkey % 4 + 1 AS attempt, l_orderkey % 11 = 0 AS blocked, CASE WHEN l_linenumber = 1 THEN 7 END AS after FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN blocked THEN 'COMPLIANCE_BLOCK' WHEN status < 300 THEN 'SUCCESS' WHEN (status IN (408, 500, 503) OR (status = 429 AND after IS NOT NULL)) AND attempt < 3 THEN 'RETRYABLE' ELSE 'PERMANENT_FAILURE' END AS outcome,
+  CASE WHEN blocked OR status < 300 THEN 0 WHEN (status IN (408, 500, 503) OR (status = 429 AND after IS NOT NULL)) AND attempt < 3 THEN coalesce(after, CASE attempt WHEN 1 THEN 30 WHEN 2 THEN 120 END) ELSE 0 END AS wait_seconds FROM r""")
+def retry_outcomes(spark, sf_dir):
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 204, 404, 408, 429, 500, 503)]), (F.col("l_partkey") % 7 + 1).cast("int"))
+    r = S.retry(status, F.col("l_suppkey") % 4 + 1, F.col("l_orderkey") % 11 == 0, F.when(F.col("l_linenumber") == 1, 7))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r.alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+
+
+@query(f"""WITH {RAW}, x AS (SELECT observation_id, CASE WHEN l_linenumber = 1 THEN lower('N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0')) WHEN s_nationkey % 3 = 0 THEN 'A' || chr(65 + CAST(s_nationkey AS INTEGER)) || 'X' ELSE 'B' || chr(65 + CAST(s_nationkey AS INTEGER)) || 'X' END AS a, CASE WHEN c_nationkey = 0 THEN '  ' ELSE ' b' || chr(65 + CAST(c_nationkey AS INTEGER)) || 'x ' END AS b, gap FROM raw)
+SELECT observation_id, CASE WHEN NOT regexp_matches(upper(a), '^[A-Z]{{3}}$') THEN 'INVALID_ORIGIN' WHEN trim(b) = '' THEN 'INVALID_DESTINATION' WHEN upper(trim(a)) = upper(trim(b)) THEN 'ORIGIN_EQUALS_DESTINATION' WHEN gap < 0 THEN 'TRAVEL_BEFORE_COLLECTION' END AS problem FROM x""")
+def search_checks(spark, sf_dir):
+    """Which raw observations could not be searched live, and why."""
+    raw = raw_observations(spark, sf_dir)
+    number = lambda c: F.substring(c, 2, 2).cast("int")
+    letter = lambda c: F.chr(number(c) + 65)
+    a = F.when(F.substring_index("observation_id", "-", -1) == "1", F.lower("origin")).when(number("origin") % 3 == 0, F.concat(F.lit("A"), letter("origin"), F.lit("X"))).otherwise(F.concat(F.lit("B"), letter("origin"), F.lit("X")))
+    b = F.when(number("destination") == 0, "  ").otherwise(F.concat(F.lit(" b"), letter("destination"), F.lit("x ")))
+    travel = S.date(F.col("travel_date"))
+    left = F.when(F.col("collection_timestamp").isNotNull(), S.timestamp(F.col("collection_timestamp")).cast("date"))
+    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.date_add("o_orderdate", 5000).alias("ordered"))
+    rows = raw.withColumn("k", F.substring_index("observation_id", "-", 1).cast("long")).join(known, "k").withColumns({"a": a, "b": b})
+    return rows.select("observation_id", S.search_problem(F.col("a"), F.col("b"), travel, F.coalesce(left, F.col("ordered").cast("date"))).alias("problem"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 3 THEN strftime(o_orderdate, '%Y-%m-01') END AS period FROM orders")
+def month_periods(spark, sf_dir):
+    """Periods from a year and an English month name, in odd case and spacing; some names
+    are none."""
+    o = table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderkey") % 10 == 3, "Brumaire").otherwise(F.concat(F.lit(" "), F.upper(F.date_format("o_orderdate", "MMMM"))))
+    return o.select("o_orderkey", F.date_format(S.month_start(F.year("o_orderdate"), name), "yyyy-MM-dd").alias("period"))
