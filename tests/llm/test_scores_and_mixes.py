@@ -291,3 +291,15 @@ def test_every_operator_is_registered():
 def test_packing_reruns_agree(spark, odd):
     runs = [sorted(map(repr, packing.packed(odd.repartition(n), 100, 2).collect())) for n in (1, 5)]
     assert runs[0] == runs[1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_quality_of_documents_that_were_not_taught(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in quality.quality_scores(docs, labels).where("held_out").collect() if truth.get(r.doc_id) is not None]
+    right = sum(r.predicted == truth[r.doc_id] for r in rows)
+    good, bad = ([r.score for r in rows if truth[r.doc_id] == y] for y in (1, 0))
+    assert len(rows) > 700 and right / len(rows) > 0.95 and min(len(good), len(bad)) > 50
+    above = sum(sum(g > b for b in bad) + 0.5 * sum(g == b for b in bad) for g in good)
+    assert above / (len(good) * len(bad)) > 0.98
