@@ -213,10 +213,10 @@ def pair_eligibility(spark, sf_dir):
     return basket.eligibility(basket.totals(p)).select("city_1", "total_conservative", "total_zero_treated", "exclusion_reason", "mapping_status")
 
 
-@query("WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM orders GROUP BY 1) SELECT month, round(100 * value / first_value(value) OVER (ORDER BY month), 4) AS rebased FROM m")
+@query("WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM orders GROUP BY 1) SELECT month, round(100 * value / first_value(value) OVER (ORDER BY month), 6) AS rebased FROM m")
 def series_rebased(spark, sf_dir):
     m = table(spark, sf_dir, "orders").groupBy(S.month_id(F.col("o_orderdate")).alias("month")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("value"))
-    return dashboard.compare_levels(m).select("month", F.round("rebased", 4).alias("rebased"))
+    return dashboard.compare_levels(m).select("month", "rebased")
 
 
 # --- identities, duplicates and extremes ------------------------------------------------------------
