@@ -57,8 +57,7 @@ def votes(links: DataFrame, labels: DataFrame, labelled: range) -> DataFrame:
     at = common.materialize(links.select("unit", "hub", "n").join(labels.select("unit", "label"), "unit"), "placed")
     counts = [F.sum(F.when(F.col("label") == s, F.col("n")).otherwise(0)).alias(f"t{s}") for s in labelled]
     tally = common.materialize(at.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("rows"), *counts), "tally")
-    total = tally.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    back = common.met(at, tally, "hub", "members", total)
+    back = common.met(at, tally, "hub", "members", at.count())
     others = lambda s: F.col(f"t{s}") - F.when(F.col("label") == s, F.col("n")).otherwise(0)
     part = {f"v{s}": F.when(F.col("rows") > F.col("n"), F.floor(UNIT * others(s) / (F.col("rows") - F.col("n")))).otherwise(0) for s in labelled}
     return back.select("unit", "n", "label", *[x.alias(k) for k, x in part.items()]).groupBy("unit").agg(F.max("n").alias("n"), F.max("label").alias("label"), *[F.sum(k).alias(k) for k in part])
@@ -91,11 +90,11 @@ def propagated(links: DataFrame, labels: DataFrame, labelled: range, room: int,
     """(unit, hub, n), (unit, n, label) -> labels after some rounds of moves."""
     for turn in range(rounds):
         movers = common.materialize(_movers(votes(links, labels, labelled), labelled, turn), "movers")
+        if movers.isEmpty():
+            break
         loads = labels.groupBy("label").agg(F.sum("n").alias("load"))
         # At most shards squared times classes and buckets: 32,768 rows with 8 shards.
         moved = movers.join(F.broadcast(admitted(movers, loads, room)), ["from", "to", "level", "bucket"]).select("unit", "to")
-        if moved.isEmpty():
-            break
         labels = common.materialize(labels.join(moved, "unit", "left").select("unit", "n", F.coalesce("to", "label").alias("label")), "labels")
     return labels
 
