@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import anomaly, backtest, basket, collection, consolidation, dashboard, dedup, index, lookup, routes, selection, validation
-from ..sources import ordered
+from ..sources import ordered, scratch, tables
 from ..streaming import ingest
 from .indexing import ITEMS, ROUTED, TRAFFIC, cells, event_basket, items, routed
 from .quotes import _SWEEP, _banded
@@ -321,3 +321,52 @@ def month_periods(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     name = F.when(F.col("o_orderkey") % 10 == 3, "Brumaire").otherwise(F.concat(F.lit(" "), F.upper(F.date_format("o_orderdate", "MMMM"))))
     return o.select("o_orderkey", F.date_format(S.month_start(F.year("o_orderdate"), name), "yyyy-MM-dd").alias("period"))
+
+
+# --- text tables, packed values, ordered reports ----------------------------------------------------------
+def _texts(spark, sf_dir):
+    """Customers as text, with blank, quoted and broken-over-lines members."""
+    k = F.col("c_custkey")
+    comment = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit('say "'), F.col("c_name"), F.lit('", twice'))).when(k % 4 == 2, F.concat(F.col("c_name"), F.lit("\nnext line")))
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("custkey"), F.col("c_mktsegment").alias("segment"), comment.alias("comment"))
+
+
+def _read_back(spark, sf_dir, blank_is_null):
+    path = scratch.folder(spark, "text")
+    df = _texts(spark, sf_dir)
+    tables.write_table(df if blank_is_null else df.fillna(""), path, ("custkey", "comment", "segment"), forbidden=("balance",), order=("custkey",), kind="csv")
+    return tables.read_csv(spark, path, ("custkey", "comment", "segment"), blank_is_null)
+
+
+_COMMENT = "CASE c_custkey % 4 WHEN 1 THEN 'say \"' || c_name || '\", twice' WHEN 2 THEN c_name || chr(10) || 'next line' END"
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS custkey, {_COMMENT} AS comment, c_mktsegment AS segment FROM customer")
+def text_blank_is_null(spark, sf_dir):
+    """Through a sorted text sink and back: a blank member is null."""
+    return _read_back(spark, sf_dir, True)
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS custkey, coalesce({_COMMENT}, '') AS comment, c_mktsegment AS segment FROM customer")
+def text_blank_kept(spark, sf_dir):
+    return _read_back(spark, sf_dir, False)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber = 2 THEN 'a=' || l_partkey || '.00' ELSE 'a=' || l_partkey || '.00;b=7.50' END AS fares, CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber = 2 THEN 1 ELSE 2 END AS members,
+  CASE WHEN l_linenumber % 2 = 0 THEN '[REDACTED]' ELSE CAST(l_suppkey AS VARCHAR) END AS shown FROM lineitem""")
+def packed_maps(spark, sf_dir):
+    """Packed fares with members that do not parse and one given twice, unpacked and packed
+    again; and a map whose secret-looking member is not shown."""
+    li, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    text = F.when(n == 1, "b=x; ;c").when(n == 2, F.concat(F.lit("a=1;a="), F.col("l_partkey").cast("string"), F.lit(";b=-"))).otherwise(F.concat(F.lit("b=7.5; a="), F.col("l_partkey").cast("string")))
+    fares = S.unpacked_map(text)
+    setting = F.create_map(F.when(n % 2 == 0, "Api_Key").otherwise("city"), F.col("l_suppkey").cast("string"))
+    return li.select("l_orderkey", "l_linenumber", S.packed_map(fares).alias("fares"), F.size(fares).alias("members"), F.map_values(S.redacted(setting))[0].alias("shown"))
+
+
+@query(f"""WITH {STAGES}, r AS (SELECT 'R09' AS rule_id, cell_id FROM cell WHERE sources <= 1 UNION ALL SELECT 'R11', cell_id FROM cell WHERE cents IS NULL UNION ALL SELECT 'R12', cell_id FROM cell WHERE alignment <> 'ANCHORED')
+SELECT row_number() OVER (ORDER BY rule_id, cell_id) AS ordinal, rule_id, cell_id AS entity_id FROM r""")
+def ordered_flags(spark, sf_dir):
+    """The report of the rules on cells, numbered in the order of its output."""
+    rows = anomaly.cell_rules(cells(spark, sf_dir))
+    return ordered.numbered(rows, [F.col(c) for c in ("rule_id", "entity_level", "entity_id", "status")]).select("ordinal", "rule_id", "entity_id")

@@ -26,7 +26,7 @@ def read_csv(spark: SparkSession, path: str | list[str], columns=None, blank_is_
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     if columns is not None and tuple(df.columns) != tuple(columns):
         raise ValueError(f"{path}: header {df.columns}")
-    return df.fillna("") if not blank_is_null else df
+    return df.replace("", None) if blank_is_null else df.fillna("")
 
 
 def require(df: DataFrame, columns) -> DataFrame:
@@ -51,7 +51,8 @@ def write_table(df: DataFrame, path: str, columns, forbidden=(), order=(), kind:
         out = out.orderBy(*order)
     writer = out.write.mode("overwrite")
     if kind == "csv":
-        writer.option("header", True).option("lineSep", "\n").csv(path)
+        # As read_csv reads: quotes doubled, spaces kept, an empty text quoted and a null bare.
+        writer.options(header=True, lineSep="\n", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     elif kind == "json":
         writer.json(path)
     else:
