@@ -24,8 +24,15 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{root(spark)}/faremill-core/{tag}-{uuid.uuid4().hex}"
 
 
+def dropped_at_exit(spark: SparkSession, path: str) -> None:
+    """A folder that is there goes when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table of its own: its lineage is cut, and what was random is fixed."""
     path = folder(df.sparkSession, tag)
     df.write.parquet(path)
+    dropped_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

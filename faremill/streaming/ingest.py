@@ -154,6 +154,7 @@ def replayed(stream: DataFrame, tag: str) -> DataFrame:
     path = scratch.folder(spark, tag)
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
+    scratch.dropped_at_exit(spark, path)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
