@@ -6,20 +6,23 @@ anchor (winnowing).  The steps:
 
 1. seed: every document yields the runs of consecutive windows that share an
    anchor; runs are range-sorted by anchor, and an anchor seen once is done with;
-2. extend: around each place of a repeated anchor, the run's windows reach from it both
-   ways as far as they contain it, up to CUT at a time.  Each is a 64-bit hash of its
-   words, and these meet those of the anchor's other places in (document, start) order:
-   every window but the earliest is a repeat.  Texts are not read again to compare words:
-   of two windows that share an anchor and differ, one in 2^64 passes for a repeat, which
-   is less than one false removal a terabyte even where a passage stands in a third of all
-   documents (some 3e9 windows, each against 1e9 of its anchor: 0.2);
+2. extend: around each place of a repeated anchor, a stretch of words reaches from it
+   both ways as far as windows contain it, up to CUT windows at a time.  The stretches
+   of an anchor meet in (document, start) order.  Hashes of windows propose the earliest
+   place of each; neighbouring windows with neighbouring proposals are one match, which
+   is compared word by word, and where hashes collide the words decide: every window
+   but the earliest of its words is a repeat;
 3. repeats that overlap or touch merge to maximal repeats of at least ``WINDOW``
    words, and their words go.
 
-Nothing is paired: a frequent passage costs rows in proportion to its copies.  Runs
+Nothing is paired: a frequent passage costs rows in proportion to its copies.  Stretches
 are dealt by range over (anchor, document, start), so one hot anchor spreads over
 tasks; of a group that touches a task's edge (or outgrows its buffer), each task adds
-the windows that are earliest there, and a minimum per window settles these.
+the windows that are earliest there, and a minimum per window settles these.  Windows of
+different tasks are told apart by 128-bit BLAKE2 digests of their words.
+
+Texts are shuffled once: all three steps that read them have the same grouping below
+them, whose exchange Spark reuses.
 """
 
 from __future__ import annotations
@@ -46,24 +49,28 @@ def _distinct(docs: DataFrame) -> DataFrame:
     return rows.groupBy("key", F.xxhash64("text").alias("n")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"), F.count("doc_id").alias("known"))
 
 
+def _within(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word of every window that lies within a row."""
+    n = max(0, int(first[-1]) - window + 1)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+    at = np.flatnonzero(np.arange(n) <= first[1:][row] - window)
+    return row[at], at
+
+
 def _windows(data: np.ndarray, offs: np.ndarray, window: int, seed: int):
-    """Of rows in one buffer: window hashes, anchors, row of each window, first word
-    of each row, where a run of one anchor begins, and the grams.  Only windows within
-    a row."""
+    """Of rows in one buffer: anchor, row and first word of each window, first word of
+    each row, where a run of one anchor begins, the grams, and the spans of the words.
+    Only windows within a row."""
     starts, ends, first = common.word_spans(data, offs)
     h = common.hash_words(data, starts, ends)
-    n = max(0, len(h) - window + 1)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(first))[:n]
-    at = np.flatnonzero(np.arange(n) <= first[1:][row] - window)
-    hashes = common.rolling(h, window)[at]
+    row, at = _within(first, window)
     grams = common.rolling(h, seed)
     anchors = common.sliding_min(grams, window - seed + 1)[at] >> np.uint64(16)
-    row = row[at]
     begin = np.ones(len(at), dtype=bool)
     begin[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
     lead = np.flatnonzero(begin)
     inside = np.arange(len(at)) - np.repeat(lead, np.diff(np.append(lead, len(at))))
-    return hashes, anchors.astype(np.int64), row, at, first, inside % CUT == 0, grams
+    return anchors.astype(np.int64), row, at, first, inside % CUT == 0, grams, starts, ends
 
 
 def _recurs(grams: np.ndarray, reach: int) -> np.ndarray:
@@ -83,7 +90,7 @@ def _runs(batches, window, seed):
         key, n = batch["key"].to_numpy(), batch["n"].to_numpy()
         for a, b in common.row_chunks(offs):
             lo = offs[a]
-            _, anchors, row, at, first, begin, grams = _windows(data[lo : offs[b]], offs[a : b + 1] - lo, window, seed)
+            anchors, row, at, first, begin, grams, _, _ = _windows(data[lo : offs[b]], offs[a : b + 1] - lo, window, seed)
             lead = np.flatnonzero(begin)
             close = np.concatenate(([0], np.cumsum(_recurs(grams, CUT + window - seed))))
             until = at[np.append(lead[1:], len(at))[: len(lead)] - 1] + window - seed + 1
@@ -116,8 +123,19 @@ def _repeated(batches):
         yield held.select(["key", "n", "i0"])
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each begins there."""
+    size = ends - starts
+    at = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, dtype=np.uint8)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at, size) + inside] = data[np.repeat(starts, size) + inside]
+    return out, at
+
+
 def _extended(batches, window, seed):
-    """The window hashes of each run that was found to be repeated."""
+    """The stretch of words of each run that was found to be repeated: all words of its
+    windows, with one space between them."""
     for batch in batches:
         data, offs = common.text_buffer(batch["text"])
         key, n = batch["key"].to_numpy(), batch["n"].to_numpy()
@@ -125,50 +143,96 @@ def _extended(batches, window, seed):
         s_off, s_at = seeds.offsets.to_numpy(), seeds.values.to_numpy()
         for a, b in common.row_chunks(offs):
             lo = offs[a]
-            hashes, anchors, row, at, first, begin, _ = _windows(data[lo : offs[b]], offs[a : b + 1] - lo, window, seed)
+            anchors, row, at, first, begin, _, starts, ends = _windows(data[lo : offs[b]], offs[a : b + 1] - lo, window, seed)
             marked = np.zeros(first[-1] + 1, dtype=bool)
             owner = np.repeat(np.arange(b - a), np.diff(s_off[a : b + 1]))
             marked[first[owner] + s_at[s_off[a] : s_off[b]]] = True
-            run = np.cumsum(begin) - 1
-            on = marked[at[begin]]
-            wins = on[run]
-            r, heads = row[begin][on], at[begin][on]
-            sizes = np.bincount(run, minlength=len(on))[on]
-            bounds = np.zeros(len(r) + 1, dtype=np.int32)
-            np.cumsum(sizes * 8, out=bounds[1:])
-            packed = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(hashes[wins].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[begin][on]), pa.array(key[a + r]), pa.array(n[a + r]), pa.array((heads - first[r]).astype(np.int32)), packed], names=["m", "key", "n", "i0", "wins"])
-
-
-def _unpacked(wins: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Window hashes of a binary column and how many each row has."""
-    offs = np.frombuffer(wins.buffers()[1], dtype=np.int32)[wins.offset : wins.offset + len(wins) + 1]
-    return np.frombuffer(wins.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]].copy().view(np.uint64), np.diff(offs) // 8
-
-
-def _later(batch: pa.RecordBatch, whole: bool):
-    """Of a sorted batch of runs: rows with a mask, whose bit j says that the run's
-    window j occurs earlier in the batch.  Unless the batch holds ``whole`` groups,
-    the earliest occurrence of each window, too, with its hash."""
+            lead = np.flatnonzero(begin)
+            last = np.append(lead[1:], len(at))[: len(lead)] - 1
+            on = marked[at[lead]]
+            lead, last = lead[on], last[on]
+            text, place = _joined(data[lo : offs[b]], starts, ends)
+            tail = at[last] + window - 1
+            begins, size = place[at[lead]], place[tail] + ends[tail] - starts[tail] - place[at[lead]]
+            for c, d in common.row_chunks(np.concatenate(([0], np.cumsum(size)))):
+                r, bounds = row[lead[c:d]], np.zeros(d - c + 1, dtype=np.int32)
+                np.cumsum(size[c:d], out=bounds[1:])
+                words = text[np.arange(bounds[-1]) + np.repeat(begins[c:d] - bounds[:-1], size[c:d])]
+                words = pa.Array.from_buffers(pa.binary(), d - c, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(words.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[lead[c:d]]), pa.array(key[a + r]), pa.array(n[a + r]), pa.array((at[lead[c:d]] - first[r]).astype(np.int32)), words], names=["m", "key", "n", "i0", "words"])
+
+
+def _hashed(data: np.ndarray, offs: np.ndarray, window: int):
+    """Row, hash and span of bytes of every window of some stretches."""
+    found = []
+    for a, b in common.row_chunks(offs):
+        lo = offs[a]
+        part = data[lo : offs[b]]
+        starts, ends, first = common.word_spans(part, offs[a : b + 1] - lo)
+        row, at = _within(first, window)
+        found.append((a + row, common.rolling(common.hash_words(part, starts, ends), window)[at], lo + starts[at], lo + ends[at + window - 1]))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _differ(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at ``one`` and at ``two`` differ within ``size``, eight a step."""
+    lanes = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    other, rows = np.zeros(len(one), dtype=bool), np.arange(len(one))
+    for step in range(0, int(size.max(initial=0)), 8):
+        rows = rows[(size[rows] > step) & ~other[rows]]
+        bits = np.uint64(8) * np.maximum(0, step + 8 - size[rows]).astype(np.uint64)
+        other[rows] = (lanes[one[rows] + step] ^ lanes[two[rows] + step]) << bits != 0
+    return other
+
+
+def _earliest(data, row, hashes, starts, ends) -> np.ndarray:
+    """For each window, the earliest one with the same words.  Hashes propose it; matches
+    of neighbouring windows are compared as one stretch, and words decide where it fails."""
+    _, lead, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    lead = lead[inverse]
+    late = np.flatnonzero(lead != np.arange(len(lead)))
+    if not len(late):
+        return lead
+    from_, new = lead[late], np.ones(len(late), dtype=bool)
+    new[1:] = (np.diff(late) != 1) | (np.diff(from_) != 1) | (np.diff(row[late]) != 0) | (np.diff(row[from_]) != 0)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(late)) - 1
+    size, there = (ends[x[tail]] - starts[x[head]] for x in (late, from_))
+    other = size != there
+    other[~other] = _differ(data, starts[late[head]][~other], starts[from_[head]][~other], size[~other])
+    if other.any():
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(hashes, hashes[late[np.repeat(other, tail - head + 1)]])):
+            lead[i] = seen.setdefault(data[starts[i] : ends[i]].tobytes(), i)
+    return lead
+
+
+def _later(batch: pa.RecordBatch, whole: bool, window: int):
+    """Of a sorted batch of stretches: rows with a mask, whose bit j says that the
+    stretch's window j occurs earlier in the batch.  Unless the batch holds ``whole``
+    groups, the earliest occurrence of each window, too, with a digest of its words."""
     key, n, i0 = (batch[c].to_numpy() for c in ("key", "n", "i0"))
-    hashes, sizes = _unpacked(batch["wins"])
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    data, offs = common.text_buffer(batch["words"])
+    owner, hashes, starts, ends = _hashed(data, offs, window)
+    sizes = np.bincount(owner, minlength=len(key))
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    _, lead, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    dup = lead[inverse] != np.arange(len(hashes))
+    lead = _earliest(data, owner, hashes, starts, ends)
+    dup = lead != np.arange(len(lead))
     mask = np.bincount(owner[dup], weights=(1 << inside[dup]).astype(float), minlength=len(sizes)).astype(np.int32)
     at = np.flatnonzero(mask)
-    yield _row(key[at], n[at], i0[at], mask[at], pa.nulls(len(at), pa.int64()))
+    yield _row(key[at], n[at], i0[at], mask[at], pa.nulls(len(at), pa.binary()))
     if not whole:
+        lead = np.flatnonzero(~dup)
+        w = pa.array([hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(starts[lead], ends[lead])], pa.binary())
         at = owner[lead]
-        yield _row(key[at], n[at], (i0[at] + inside[lead]).astype(np.int32), np.zeros(len(at), np.int32), pa.array(hashes[lead].view(np.int64)))
+        yield _row(key[at], n[at], (i0[at] + inside[lead]).astype(np.int32), np.zeros(len(at), np.int32), w)
 
 
 def _row(key, n, i0, mask, w) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(i0, pa.int32()), pa.array(mask, pa.int32()), w], names=["key", "n", "i0", "mask", "w"])
 
 
-def _settled(batches):
+def _settled(batches, window):
     """Settle each anchor whose runs all lie within this task.  Of the task's first
     and last anchor, and of one too frequent to hold, other tasks may know earlier
     windows: what is earliest here goes on, one row a window."""
@@ -186,16 +250,16 @@ def _settled(batches):
         if cut:
             loose = (m[:cut] == edge) | (m[:cut] == (edge if over is None else over))
             if loose.any():
-                yield from _later(head.filter(pa.array(loose)), False)
+                yield from _later(head.filter(pa.array(loose)), False, window)
             if not loose.all():
-                yield from _later(head.filter(pa.array(~loose)), True)
+                yield from _later(head.filter(pa.array(~loose)), True, window)
         if tail.num_rows > HELD:
             over = m[-1]
-            yield from _later(tail, False)
+            yield from _later(tail, False, window)
         else:
             held = tail
     if held is not None:
-        yield from _later(held, False)
+        yield from _later(held, False, window)
 
 
 def _kept(batches, window):
@@ -259,21 +323,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     grouped by doc_id alone, so one id may have any number of rows.  Other columns of
     ``docs`` are not read.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts = 2 * common.shuffle_partitions(spark)
-    rows = _distinct(docs)
-    runs = rows.select("key", "n", "text").mapInArrow(lambda it: _runs(it, window, seed), "m long, key long, n long, i0 int")
-    seeds = runs.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_repeated, "key long, n long, i0 int")
+    parts = 2 * common.shuffle_partitions(docs.sparkSession)
+    rows, place = _distinct(docs), ["m", "key", "n", "i0"]
+    # Every reader of ``rows`` takes all its columns, so that one exchange serves them all.
+    runs = rows.mapInArrow(lambda it: _runs(it, window, seed), "m long, key long, n long, i0 int")
+    seeds = runs.repartitionByRange(parts, *place).sortWithinPartitions(*place).mapInArrow(_repeated, "key long, n long, i0 int")
     seeds = seeds.groupBy("key", "n").agg(F.collect_list("i0").alias("seeds"))
-    extended = rows.select("key", "n", "text").join(seeds.hint("merge"), ["key", "n"]).mapInArrow(lambda it: _extended(it, window, seed), "m long, key long, n long, i0 int, wins binary")
-    settled = common.materialize(extended.repartitionByRange(parts, "m", "key", "n", "i0").sortWithinPartitions("m", "key", "n", "i0").mapInArrow(_settled, "key long, n long, i0 int, mask int, w long"), "repeats")
-    first = F.struct("key", "n", "i0")
-    loose = settled.where("w is not null")
-    least = loose.groupBy("w").agg(F.min(first).alias("lead"), F.count(F.lit(1)).alias("times")).where("times > 1").select("w", "lead")
-    late = loose.join(least.hint("merge"), "w").where(first != F.col("lead")).select("key", "n", "i0", F.lit(1).alias("mask"))
-    hits = settled.where("w is null").select("key", "n", "i0", "mask").unionByName(late)
+    extended = rows.join(seeds.hint("merge"), ["key", "n"]).mapInArrow(lambda it: _extended(it, window, seed), "m long, key long, n long, i0 int, words binary")
+    settled = extended.repartitionByRange(parts, *place).sortWithinPartitions(*place).mapInArrow(lambda it: _settled(it, window), "key long, n long, i0 int, mask int, w binary")
+    # Windows of different tasks: the least place of each stays.  A window has a place a
+    # task and one for HELD stretches of its anchor; rows without w are alone.
+    loose, first = F.col("w").isNotNull(), F.struct("key", "n", "i0")
+    alone = [F.when(~loose, F.col(k)).alias(f"_{k}") for k in ("key", "n", "i0")]
+    same = settled.groupBy("w", *alone).agg(F.min(first).alias("least"), F.collect_list(F.struct("key", "n", "i0", "mask")).alias("places"))
+    late = same.select("w", "least", F.inline("places")).where(~loose | (first != F.col("least")))
+    hits = late.select("key", "n", "i0", F.when(loose, 1).otherwise(F.col("mask")).alias("mask"))
     hits = hits.groupBy("key", "n").agg(F.collect_list(F.struct("i0", "mask")).alias("hits"))
-    final = rows.join(hits.hint("merge"), ["key", "n"], "left").select("key", "copies", "known", "text", "hits")
+    final = rows.join(hits.hint("merge"), ["key", "n"], "left")
     return final.mapInArrow(lambda it: _kept(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<start:int,end:int>>")
 
 

@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from faremill.llm import common, components, embedding_dedup, exact_dedup, simhash_dedup, substring_dedup
@@ -112,6 +114,57 @@ def test_hot_passage_spreads_and_stays_exact(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute_repeats(rows))
 
 
+def stretches(texts, anchor, window=20, cut=16):
+    """Sorted stretches of one anchor: (m, key, n, i0, words), up to ``cut`` windows each."""
+    rows = []
+    for k, t in enumerate(texts):
+        w = t.split()
+        rows += [(anchor, k, 0, i, " ".join(w[i : i + cut + window - 1]).encode()) for i in range(0, len(w) - window + 1, cut)]
+    m, key, n, i0, text = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(m), pa.array(key), pa.array(n), pa.array(i0, pa.int32()), pa.array(text, pa.binary())], names=["m", "key", "n", "i0", "words"])
+
+
+def settled_places(batches):
+    """Repeated windows (key, place) from what ``_settled`` gives, as the job settles it."""
+    out = [r for b in substring_dedup._settled(iter(batches), 20) for r in b.to_pylist()]
+    least = {}
+    for r in out:
+        if r["w"] is not None:
+            least[r["w"]] = min(least.get(r["w"], (r["key"], r["i0"])), (r["key"], r["i0"]))
+    late = {(r["key"], r["i0"]) for r in out if r["w"] is not None and (r["key"], r["i0"]) != least[r["w"]]}
+    return late | {(r["key"], r["i0"] + j) for r in out if r["w"] is None for j in range(16) if r["mask"] >> j & 1}
+
+
+@pytest.mark.parametrize("bits", [0, 2, 64])
+@pytest.mark.parametrize("held", [5, 100_000])
+def test_words_decide_where_hashes_of_windows_collide(monkeypatch, bits, held):
+    rolling = common.rolling
+    monkeypatch.setattr(common, "rolling", lambda h, k: rolling(h, k) & np.uint64((1 << bits) - 1))
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    shared = words(3, 70)
+    texts = [" ".join((words(50 + k, k % 7), shared, words(90 + k, 5))) for k in range(8)] + [shared.replace("w1", "v1", 1), words(4, 60), words(4, 59) + " w", "a b " * 40]
+    seen, want = set(), set()
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 19):
+            if tuple(w[i : i + 20]) in seen:
+                want.add((k, i))
+            seen.add(tuple(w[i : i + 20]))
+    batch = stretches(texts, 5)
+    assert settled_places([batch]) == want
+    apart = [stretches(["left " + words(8, 30)] * 2, 1), batch.slice(0, 7), batch.slice(7), stretches([words(9, 30)] * 2, 9)]
+    assert {x for x in settled_places(apart) if x[0] > 1} == {x for x in want if x[0] > 1}
+
+
+def test_texts_are_shuffled_once(spark):
+    rows = [(i, words(i % 40, 60), None, "s", 0) for i in range(120)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == sorted(brute_repeats(rows))
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    texts = [line for line in final.splitlines() if "hashpartitioning(key" in line and "first" not in line]
+    assert final.count("ReusedExchange") >= 2, texts
+
+
 def signed_hash(t):
     h = xxhash.xxh64_intdigest((t or "").encode(), 42)
     return h - (1 << 64) if h >> 63 else h
