@@ -332,11 +332,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     extended = rows.join(seeds.hint("merge"), ["key", "n"]).mapInArrow(lambda it: _extended(it, window, seed), "m long, key long, n long, i0 int, words binary")
     settled = extended.repartitionByRange(parts, *place).sortWithinPartitions(*place).mapInArrow(lambda it: _settled(it, window), "key long, n long, i0 int, mask int, w binary")
     # Windows of different tasks: the least place of each stays.  A window has a place a
-    # task and one for HELD stretches of its anchor; rows without w are alone.
-    loose, first = F.col("w").isNotNull(), F.struct("key", "n", "i0")
-    alone = [F.when(~loose, F.col(k)).alias(f"_{k}") for k in ("key", "n", "i0")]
-    same = settled.groupBy("w", *alone).agg(F.min(first).alias("least"), F.collect_list(F.struct("key", "n", "i0", "mask")).alias("places"))
-    late = same.select("w", "least", F.inline("places")).where(~loose | (first != F.col("least")))
+    # task and one for HELD stretches of its anchor; rows without w need no company.
+    loose, at = F.col("w").isNotNull(), F.struct("key", "n", "i0", "mask")
+    same = settled.groupBy("w", F.when(~loose, F.xxhash64("key", "n", "i0")).alias("alone")).agg(F.collect_list(at).alias("places"))
+    late = same.select("w", F.array_min("places").alias("least"), F.inline("places")).where(~loose | (at != F.col("least")))
     hits = late.select("key", "n", "i0", F.when(loose, 1).otherwise(F.col("mask")).alias("mask"))
     hits = hits.groupBy("key", "n").agg(F.collect_list(F.struct("i0", "mask")).alias("hits"))
     final = rows.join(hits.hint("merge"), ["key", "n"], "left")
