@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .consolidation import in_cells
 
 MAX_BASKET = 10_000
 
@@ -112,7 +113,7 @@ def observation_bundles(rows: DataFrame) -> DataFrame:
     cell is one product in one round, so its lists are short."""
     ids = lambda c: F.array_sort(F.collect_set(c))
     mine = lambda status: F.when(F.col("participation_status") == status, F.col("observation_id").cast("string"))
-    return rows.where("consolidation_cell_id is not null").groupBy("consolidation_cell_id").agg(
+    return in_cells(rows).groupBy("consolidation_cell_id").agg(
         F.count(F.lit(1)).alias("mapped_observations"),
         ids(mine("PARTICIPATED")).alias("contributing_ids"),
         ids(mine("EXCLUDED_SOLD_OUT")).alias("excluded_sold_out_ids"),
