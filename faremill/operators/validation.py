@@ -14,17 +14,21 @@ from ..functions import scalars as S
 AVAILABILITY = ("Available", "Sold Out")
 PARTS = ("base_fare", "taxes", "fees")
 OPTIONAL = ("departure_time", "base_fare", "taxes", "fees")
+NUMBERS = ("advance_purchase_days", "total_fare", *PARTS)
 
 
 def _parsed() -> dict[str, Column]:
-    """What several rules read, parsed once a row in a projection of its own."""
-    return {"_travel": S.date(F.col("travel_date")), "_captured": S.timestamp(F.col("collection_timestamp"))} | {f"_n_{n}": S.number(F.col(n)) for n in ("advance_purchase_days", "total_fare", *PARTS)}
+    """What several rules read, parsed once a row in a projection of its own.  Numbers by
+    one lambda: it keeps this projection out of the generated method of the rules, which
+    would else have more than 8,000 bytes, and the JVM leaves such a method uncompiled."""
+    return {"_travel": S.date(F.col("travel_date")), "_captured": S.timestamp(F.col("collection_timestamp")), "_numbers": F.transform(F.array(*NUMBERS), S.number)}
 
 
 def _codes() -> list[Column]:
     c = F.col
-    travel, captured, gap, days, total = c("_travel"), c("_captured"), c("_gap"), c("_n_advance_purchase_days"), c("_n_total_fare")
-    parts = {n: c(f"_n_{n}") for n in PARTS}
+    travel, captured, gap = c("_travel"), c("_captured"), c("_gap")
+    days, total, *rest = (c("_numbers")[k] for k in range(len(NUMBERS)))
+    parts = dict(zip(PARTS, rest))
     there = lambda n: ~S.is_missing(c(n))
     known = gap.isNotNull() & (gap >= 0)
     rules = [
@@ -55,15 +59,21 @@ def _codes() -> list[Column]:
         ("TOTAL_FARE_LESS_THAN_COMPONENTS", total < parts["base_fare"] + parts["taxes"] + parts["fees"] - S.COMPONENT_TOLERANCE),
         ("MISSING_SOURCE", ~there("source")),
     ]
-    return [F.when(F.coalesce(hit, F.lit(False)), F.lit(code)) for code, hit in rules]
+    return [F.when(F.coalesce(hit, F.lit(False)), F.lit(code)).otherwise("") for code, hit in rules]
+
+
+def _given(names: list[Column]) -> Column:
+    """Those of the texts that aren't empty.  By ``array_remove``, which is generated code:
+    ``array_compact`` is a filter with a lambda, under which all is interpreted."""
+    return F.array_remove(F.array(*names), "")
 
 
 def validate(raw: DataFrame) -> DataFrame:
     """Adds validation_errors (array), validation_status, validation_reason, is_valid."""
     parsed = _parsed()
     out = raw.withColumns(parsed).withColumn("_gap", F.datediff("_travel", F.col("_captured").cast("date")))
-    out = out.withColumn("validation_errors", F.array_compact(F.array(*_codes()))).drop(*parsed, "_gap")
-    missing = F.array_compact(F.array(*[F.when(S.is_missing(F.col(n)), F.lit(n)) for n in OPTIONAL]))
+    out = out.withColumn("validation_errors", _given(_codes())).drop(*parsed, "_gap")
+    missing = _given([F.when(S.is_missing(F.col(n)), F.lit(n)).otherwise("") for n in OPTIONAL])
     status = (
         F.when(F.size("validation_errors") > 0, "INVALID")
         .when(F.trim("availability_status") == "Sold Out", "NON_PRICE_AVAILABILITY")
